@@ -19,9 +19,61 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_report(table(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    from terracause.llm.vocab import read_tokenizer
+
+    return read_tokenizer(public_tokenizers.path(name))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracause.llm.tokenfile import documents_report
+
+    return documents_report(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
+
+
+def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracause.llm.wordbpe import documents_report
+
+    return documents_report(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracause.llm.quality import documents_report
+
+    return documents_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracause.llm.language import documents_report
+
+    return documents_report(table(spark, sf_dir, "documents"))
+
+
+#: Production weights: units of each source in the mix.
+MIX_UNITS = {f"src{i}": 1 + i % 4 for i in range(20)}
+MIX_BLOCK = 16
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracause.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_UNITS, MIX_BLOCK)
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracause.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_fingerprints": op1_fingerprints}
+    found = [op1_fingerprints, op2_token_files, op3_word_bpe, op6_quality, op8_mixing, op9_licences, op10_language]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from terracause.llm import licences, mixing
+
+    return {"op8_mixing": mixing.oracle(MIX_UNITS, MIX_BLOCK), "op9_licences": licences.oracle()}
