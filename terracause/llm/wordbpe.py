@@ -1,7 +1,8 @@
 """Operator 3: BPE encoding and decoding through a distinct-word table.
 
 1. Each block of texts is split into words (runs of bytes other than ASCII white space);
-   its distinct words are ranked by frequency, and every position holds a rank.
+   its distinct words are numbered by word part and by frequency in the part, and every
+   position holds such a number.
 2. The distinct words of all blocks meet by a hash of the word; there each distinct word
    is encoded once, whichever block it came from.
 3. The ids go back to the blocks and are joined by position; the pieces of ids give the
@@ -17,6 +18,7 @@ stays null; repeated rows each give a row; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,27 @@ from terracause.llm.shared import cut, partitions
 from terracause.llm.textvec import U64, buffers, slices, span_hashes
 from terracause.llm.vocab import built, encode_each, text_array, words
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Effort of the compression of what is moved.
+LEVEL = 5
 
 
 def squeeze(a: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
     wide = np.ascontiguousarray(a)
-    return zstandard.compress(wide.view(np.uint8).reshape(-1, wide.itemsize).T.tobytes(), 1)
+    return zstandard.compress(wide.view(np.uint8).reshape(-1, wide.itemsize).T.tobytes(), LEVEL)
+
+
+def squeeze_codes(codes: np.ndarray) -> list[bytes]:
+    """Small numbers as one byte each; larger ones leave 255 there and go into a stream of their own."""
+    large = codes >= 255
+    return [squeeze(np.where(large, 255, codes).astype(np.uint8)), squeeze(codes[large])]
+
+
+def expand_codes(raw: list[bytes]) -> np.ndarray:
+    codes = expand(raw[0], np.uint8).astype(np.uint32)
+    codes[codes == 255] = expand(raw[1], np.uint32)
+    return codes
 
 
 def expand(raw: bytes, kind: type) -> np.ndarray:
@@ -43,6 +59,21 @@ def expand(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _coded(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the word at each position as a place among them, and how many words each row has.
+
+    Read a few MB at a time, so that a large block needs little memory.
+    """
+    seen, counts = [], []
+    for a, b in slices(buffers(column)[1]):
+        data, offsets = buffers(column.slice(a, b - a))
+        found, first = words(data, offsets)
+        seen.append(found.dictionary_encode())
+        counts.append(np.diff(first))
+    one = pa.chunked_array(seen).unify_dictionaries()
+    return one.chunk(0).dictionary, np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in one.chunks]), np.concatenate(counts)
+
+
 def _split(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -52,35 +83,30 @@ def _split(parts: int):
             for a, b in slices(buffers(batch.column(1))[1], BLOCK_BYTES):
                 block = f"{task}-{number}"
                 number += 1
-                data, offsets = buffers(batch.column(1).slice(a, b - a))
-                found, first = words(data, offsets)
-                coded = found.dictionary_encode()
-                use = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                n = len(coded.dictionary)
-                by_count = np.argsort(-np.bincount(use, minlength=n), kind="stable")
-                rank = np.empty(n, np.uint32)
-                rank[by_count] = np.arange(n, dtype=np.uint32)
-                ranked = coded.dictionary.take(pa.array(by_count))
-                raw, at = buffers(ranked)
-                part = (span_hashes(raw, at[:-1], at[1:]) % U64(parts)).astype(np.uint32)
-                order = np.argsort(part, kind="stable")
+                dictionary, use, counts = _coded(batch.column(1).slice(a, b - a))
+                n = len(dictionary)
+                raw, at = buffers(dictionary)
+                part = (span_hashes(raw, at[:-1], at[1:]) % U64(parts)).astype(np.int64)
+                order = np.lexsort((-np.bincount(use, minlength=n), part))
                 bounds = np.searchsorted(part[order], np.arange(parts + 1))
+                code = np.empty(n, np.uint32)
+                code[order] = (np.arange(n) - bounds[part[order]]) * parts + part[order]
                 filled = np.flatnonzero(np.diff(bounds))
                 blobs = []
-                grouped = ranked.take(pa.array(order))
+                grouped = dictionary.take(pa.array(order))
                 for p in filled:
                     raw, at = buffers(grouped.slice(bounds[p], bounds[p + 1] - bounds[p]))
-                    blobs.append(zstandard.compress(np.diff(at).astype("<u4").tobytes() + raw.tobytes(), 1))
+                    blobs.append(zstandard.compress(np.diff(at).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + raw.tobytes(), LEVEL))
                 k = len(filled) + 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block] * k),
                         pa.array([None, *filled.tolist()], pa.int32()),
                         pa.array([n, *np.diff(bounds)[filled].tolist()], pa.int64()),
-                        pa.array([squeeze(part), *blobs], pa.binary()),
-                        pa.array([squeeze(rank[use]), *[None] * (k - 1)], pa.binary()),
+                        pa.array([None, *blobs], pa.binary()),
+                        pa.array([squeeze_codes(code[use]), *[None] * (k - 1)], pa.list_(pa.binary())),
                         pa.array([batch.column(0).slice(a, b - a).to_pylist(), *[None] * (k - 1)], pa.list_(pa.int64())),
-                        pa.array([np.diff(first).tolist(), *[None] * (k - 1)], pa.list_(pa.int64())),
+                        pa.array([counts.tolist(), *[None] * (k - 1)], pa.list_(pa.int64())),
                     ],
                     ["block", "part", "n", "payload", "codes", "doc_ids", "counts"],
                 )
@@ -88,7 +114,7 @@ def _split(parts: int):
     return run
 
 
-_BLOCKS = "block string, part int, n long, payload binary, codes binary, doc_ids array<long>, counts array<long>"
+_BLOCKS = "block string, part int, n long, payload binary, codes array<binary>, doc_ids array<long>, counts array<long>"
 
 
 def _encode(tokenizer: str):
@@ -99,7 +125,7 @@ def _encode(tokenizer: str):
         base = 0
         for n, raw in zip(sizes, table["payload"].to_pylist(), strict=True):
             plain = zstandard.decompress(raw)
-            ends.append(np.cumsum(np.frombuffer(plain, "<u4", n).astype(np.int64)) + base)
+            ends.append(np.cumsum(np.ascontiguousarray(np.frombuffer(plain, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel().astype(np.int64)) + base)
             data.append(np.frombuffer(plain, np.uint8, offset=4 * n))
             base += len(data[-1])
         coded = text_array(np.concatenate(data), np.concatenate(ends)).dictionary_encode()
@@ -120,42 +146,48 @@ def _encode(tokenizer: str):
     return run
 
 
-def _join(tokenizer: str):
+def _join(tokenizer: str, parts: int, digests: bool):
     def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
         """One block: ids by position, pieces by id."""
         tok = built(tokenizer)
         coded = coded.sort_by("part")
-        part, codes = expand(docs["payload"][0].as_py(), np.uint32), expand(docs["codes"][0].as_py(), np.uint32)
-        if coded.num_rows:
-            counts = np.concatenate([expand(x, np.uint32) for x in coded["counts"].to_pylist()]).astype(np.int64)
+        codes = expand_codes(docs["codes"][0].as_py())
+        each = [expand(x, np.uint32).astype(np.int64) for x in coded["counts"].to_pylist()]
+        named = [np.arange(len(c)) * parts + p for c, p in zip(each, coded["part"].to_pylist(), strict=True)]
+        if each:
+            counts, numbers = np.concatenate(each), np.concatenate(named)
             ids = np.concatenate([expand(x, np.uint32) for x in coded["ids"].to_pylist()])
         else:
-            counts, ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+            counts, numbers, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         pieces = [(tok.id_to_token(i) or "").encode() for i in range(tok.get_vocab_size(with_added_tokens=True))]
         raw, stops = ids.astype("<u4").tobytes(), np.cumsum(counts)
         said = [pieces[i] for i in ids.tolist()]
-        by_rank = np.argsort(part, kind="stable")
-        as_ids, as_text = np.empty(len(part), object), np.empty(len(part), object)
-        for r, a, b in zip(by_rank.tolist(), (stops - counts).tolist(), stops.tolist(), strict=True):
+        size = int(numbers.max()) + 1 if len(numbers) else 0
+        as_ids, as_text = np.empty(size, object), np.empty(size, object)
+        for r, a, b in zip(numbers.tolist(), (stops - counts).tolist(), stops.tolist(), strict=True):
             as_ids[r], as_text[r] = raw[4 * a : 4 * b], b" ".join(said[a:b])
-        blank = {r for r in range(len(part)) if not as_ids[r]}  # a word that the normaliser removes
-        at, out_ids, out_text = 0, [], []
+        blank = set(numbers[counts == 0].tolist())  # words that the normaliser removes
+        at, sizes, out_ids, out_text = 0, [], [], []
         for n in docs["counts"][0].as_py():
             some = codes[at : at + n]
             at += n
             if blank:
                 some = some[[c not in blank for c in some.tolist()]] if n else some
-            out_ids.append(b"".join(as_ids[some].tolist()))
-            out_text.append(b" ".join(as_text[some].tolist()))
-        text = pa.array(out_text, pa.binary()).cast(pa.string())
-        return pa.table({"doc_id": docs["doc_ids"].combine_chunks().flatten(), "n_tokens": pa.array([len(x) // 4 for x in out_ids], pa.int64()), "ids": pa.array(out_ids, pa.binary()), "decoded": text})
+            one, text = b"".join(as_ids[some].tolist()), b" ".join(as_text[some].tolist())
+            sizes.append(len(one) // 4)
+            out_ids.append(sha256(one).hexdigest() if digests else one)
+            out_text.append(sha256(text).hexdigest() if digests else text)
+        ids_column = pa.array(out_ids, pa.string() if digests else pa.binary())
+        text_column = pa.array(out_text, pa.string() if digests else pa.binary()).cast(pa.string())
+        return pa.table({"doc_id": docs["doc_ids"].combine_chunks().flatten(), "n_tokens": pa.array(sizes, pa.int64()), "ids": ids_column, "decoded": text_column})
 
     return run
 
 
-def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the decoded text of each whole text.
 
+    With ``digests`` both are given as SHA-256 digests, so that they never leave the task.
     For tokenizers whose pre-tokenizer drops white space and cuts there, and whose file
     names no decoder (pieces are then joined by blanks).
     """
@@ -165,11 +197,11 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     blocks = cut(rows.mapInArrow(_split(parts), _BLOCKS), "op3")
     table = blocks.where("part is not null").select("block", "part", "n", "payload")
     coded = table.groupBy("part").applyInArrow(_encode(tokenizer), "block string, part int, counts binary, ids binary")
-    held = blocks.where("part is null").select("block", "payload", "codes", "doc_ids", "counts")
-    return held.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_join(tokenizer), "doc_id long, n_tokens long, ids binary, decoded string")
+    held = blocks.where("part is null").select("block", "codes", "doc_ids", "counts")
+    return held.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_join(tokenizer, parts, digests), f"doc_id long, n_tokens long, ids {'string' if digests else 'binary'}, decoded string")
 
 
 def documents_report(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Length and digests of each document's ids and decoded text."""
-    both = encode_decode(docs, tokenizer)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    both = encode_decode(docs, tokenizer, digests=True)
+    return both.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
