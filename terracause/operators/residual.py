@@ -15,7 +15,8 @@ def residualize_monthly(panel: DataFrame, variables: list[str], fit_end_year: in
     the fit needs two aggregations and no matrix.
     """
     t = F.col("year") * 12 + F.col("month") - 1
-    out = panel.withColumn("_t", t.cast("double"))
+    # one shuffle by pixel serves the windows by pixel and by pixel and month of all variables
+    out = panel.repartition(*KEYS).withColumn("_t", t.cast("double"))
     for v in variables:
         used = F.when((F.col("year") <= fit_end_year) & F.col(v).isNotNull(), 1)
         month = Window.partitionBy(*KEYS, "month")
