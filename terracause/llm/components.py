@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping, on tables in the shared folder."""
+"""Connected components by alternating star contraction, on tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -8,22 +8,20 @@ from pyspark.sql import functions as F
 from terracause.llm.shared import cut
 
 
-def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Lower the ``comp`` of each ``node`` to the smallest one reachable over ``links`` (a, b).
+def components(links: DataFrame) -> DataFrame:
+    """node and comp, the smallest node it is connected to, of all nodes in ``links`` (a, b) but those that are it.
 
-    ``labels`` has one row a node, ``comp`` being the node itself or one that it is known
-    to be connected to. Each round takes the smallest label of the neighbours, then the
-    label of the label; it ends when nothing changes.
+    Each round joins every node's larger neighbours, then its smaller ones, to the smallest of
+    its neighbourhood (large star, small star); it ends when all edges lead to a root.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    edge = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "other").alias("comp"))
-        # what a node's old label has learnt holds for the node as well
-        roots = lower.groupBy(F.col("old").alias("root")).agg(F.min("comp").alias("hook"))
-        hooked = lower.join(roots, lower["old"] == roots["root"]).select("node", "old", F.least("comp", "hook").alias("comp"))
-        step = cut(hooked, "labels")
-        done = step.where("comp <> old").isEmpty()
-        labels = step.select("node", "comp")
-        if done:
-            return labels
+        both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        again = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        edge = cut(again, "stars")
+        if edge.join(edge.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edge.groupBy("u").count().where("count > 1").isEmpty():
+            return edge.select(F.col("u").alias("node"), F.col("v").alias("comp"))

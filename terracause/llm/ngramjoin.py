@@ -7,8 +7,8 @@
    fewer than 75 % of its shingles shared has no partner and leaves.
 3. Shingles are ordered by that number, rarest first. Two linked sets share one of the
    first n - ceil(0.75 n) + 1 shingles of each: the prefixes.
-4. Sets with one size and one prefix are one group. Groups that share a prefix shingle and
-   whose sizes allow a link are candidates; they are expanded to members and verified on
+4. Sets with one size, one number of shared shingles and one prefix are one group. Groups that share a prefix shingle and
+   whose sizes and shared shingles allow a link are candidates; they are expanded to members and verified on
    the whole sets.
 
 A shingle that a large group of near copies shares would make all pairs of them. As the
@@ -40,7 +40,7 @@ WORDS = 5
 PERCENT = 75
 #: Pivot rounds end early once all pairs of groups left would be under this many times the postings.
 ALL_PAIRS = 4
-MOST_ROUNDS = 8
+MOST_ROUNDS = 3
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,7 +93,7 @@ def _postings(words: int, parts: int):
 
 
 def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """Shingles of one part that two sets or more hold, by set."""
+    """Shingles of one part that two sets or more hold, with their number of sets."""
     keys, counts, tokens = [], [], []
     for raw in table["sets"].to_pylist():
         k = int(np.frombuffer(raw, "<i8", 1)[0])
@@ -116,52 +116,22 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     run = np.cumsum(new) - 1
     times = np.bincount(run)[run]
     several = times > 1
-    token, owner, times = token[several], owner[several], times[several]
-    order = np.argsort(owner, kind="stable")
-    token, owner, times = token[order], owner[order], times[order].astype("<u4")
-    named = ((U64(key[0].as_py()) << U64(40)) | token).astype("<u8")
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(owner))
-    blob = lambda a, width: [a[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)] if width else []
-    return pa.table({"set_key": pa.array(all_keys[owner[first]].view(np.int64)), "tokens": pa.array(blob(named, 8), pa.binary()), "times": pa.array(blob(times, 4), pa.binary())})
-
-
-def least_overlap(n: Column | np.ndarray, percent: int):
-    """Smallest overlap that a set of n needs with any partner: ceil(percent n / 100)."""
-    return -((-percent * n) // 100)
-
-
-def _ordered(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, tokens, prefixes = [], [], [], []
-            for key, n, toks, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shared = sum(len(t) for t in toks) // 8
-                need = least_overlap(n, percent)
-                if shared < need:
-                    continue
-                token, df = np.frombuffer(b"".join(toks), "<i8"), np.frombuffer(b"".join(times), "<u4")
-                tokens.append(token[np.lexsort((token, df))])
-                keys.append(key)
-                sizes.append(n)
-                prefixes.append(n - need + 1 - (n - shared))
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64))), pa.array(prefixes, pa.int32())], ["set_key", "n", "tokens", "prefix"])
-
-    return run
+    named = ((U64(key[0].as_py()) << U64(40)) | token[several]).view(np.int64)
+    return pa.table({"set_key": pa.array(all_keys[owner[several]].view(np.int64)), "token": pa.array(named), "times": pa.array(times[several].astype(np.int32))})
 
 
 def candidate_sets(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """set_key, n, tokens (shared shingles, rarest first) and prefix length of the sets that can have a partner."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    """set_key, n, tokens (shared shingles, rarest first), prefix length and share of lone shingles of the sets that can have a partner."""
+    parts = partitions(docs.sparkSession)
     postings = docs.select("text").mapInArrow(_postings(words, parts), "part int, sets binary")
-    shared = postings.groupBy("part").applyInArrow(_shared, "set_key long, tokens binary, times binary")
-    each = shared.groupBy("set_key").agg(F.collect_list(F.struct("tokens", "times")).alias("x"))
+    shared = postings.groupBy("part").applyInArrow(_shared, "set_key long, token long, times int")
+    each = shared.groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("x"))
     sizes = sets.groupBy("set_key").agg(F.first("n_shingles").alias("n"))
-    rows = each.join(sizes, "set_key").select("set_key", "n", F.col("x.tokens").alias("tokens"), F.col("x.times").alias("times"))
-    return cut(rows.mapInArrow(_ordered(percent), "set_key long, n long, tokens array<long>, prefix int"), "op7-sets")
+    rows = each.join(sizes, "set_key").where(100 * F.size("x") >= percent * F.col("n"))
+    # of n shingles, a partner shares ceil(percent n / 100) at least; lone ones come first in the order
+    need = F.ceil(percent * F.col("n") / 100)
+    kept = rows.select("set_key", "n", F.col("x.token").alias("tokens"), (F.size("x") - need + 1).cast("int").alias("prefix"), (1 - F.size("x") / F.col("n")).alias("lone"))
+    return cut(kept, "op7-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,52 +141,66 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def _fits(m: str, n: str, percent: int) -> Column:
-    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+def _fits(n: str, shared: str, m: str, others: str, percent: int) -> Column:
+    """Whether two sets of sizes n and m with so many shared shingles can be linked: J >= p/100 needs an overlap of p (n + m) / (100 + p)."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(shared, others) >= percent * (F.col(n) + F.col(m)))
 
 
 def linked_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node (set_key) and comp of the candidate sets."""
+    """set_key and comp of the candidate sets."""
     head = F.slice("tokens", 1, F.col("prefix"))
-    member = sets.select("set_key", "n", F.xxhash64("n", head).alias("group"))
-    # a group's members share the prefix; one of them stands for it
-    first = member.groupBy("group").agg(F.min("set_key").alias("rep"))
-    member = cut(member.join(first, "group"), "op7-members")
-    posting = cut(sets.select("set_key", "n", F.explode(head).alias("token")).join(member.where("set_key = rep").select("set_key", "group"), "set_key"), "op7-postings")
-    labels = cut(sets.select(F.col("set_key").alias("node"), F.col("set_key").alias("comp")), "op7-labels")
+    named = sets.select("set_key", "n", "lone", F.size("tokens").alias("shared"), head.alias("head"), F.xxhash64("n", F.size("tokens"), head).alias("group"))
+    # a group's members share size and prefix; one of them stands for it
+    first = named.groupBy("group").agg(F.min("set_key").alias("rep"))
+    member = cut(named.join(first, "group"), "op7-members")
+    every = member.where("set_key = rep").select("set_key", "group", "n", "shared", "lone", F.explode("head").alias("token"))
+    # a set whose shared shingles don't suffice even for the smallest one beside it goes from that shingle
+    least = every.groupBy("token").agg(F.min("n").alias("_n"), F.count("*").alias("_k")).where("_k > 1")
+    posting = cut(every.join(least, "token").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("_n"))).drop("_n", "_k"), "op7-postings")
+    labels = member.select("set_key", F.col("set_key").alias("comp"))
+    known = posting.withColumns({"low": F.col("set_key"), "high": F.col("set_key")})
     count = posting.count()
     for number in range(MOST_ROUNDS):
-        known = _known(posting, member, labels)
-        chance = F.xxhash64("set_key", F.lit(number))
-        pivot = known.groupBy("token").agg(F.min(F.struct(chance.alias("_"), F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("low").alias("comp_a"))).alias("p"), F.min("low").alias("least"), F.max("high").alias("most"))
-        pivot = pivot.where("least <> most").select("token", "p.a", "p.n_a", "p.comp_a")
-        pairs = known.join(pivot, "token").where((F.col("low") != F.col("comp_a")) & _fits("n", "n_a", percent)).select("a", F.col("set_key").alias("b")).distinct()
+        # the set with the smallest share of lone shingles is the nearest to the rest; later rounds draw
+        rank = F.col("lone") if number == 0 else F.xxhash64("set_key", F.lit(number)).cast("double")
+        pivot = known.groupBy("token").agg(F.min(F.struct(rank.alias("_"), F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"), F.col("low").alias("comp_a"))).alias("p"), F.min("low").alias("least"), F.max("high").alias("most"))
+        pivot = pivot.where("least <> most").select("token", "p.a", "p.n_a", "p.s_a", "p.comp_a")
+        pairs = known.join(pivot, "token").where((F.col("low") != F.col("comp_a")) & _fits("n", "shared", "n_a", "s_a", percent)).select("a", F.col("set_key").alias("b")).distinct()
         if number == 0:
             pairs = pairs.unionByName(member.where("set_key <> rep").select(F.col("rep").alias("a"), F.col("set_key").alias("b")))
-        labels = components(labels, verified(pairs, sets, percent))
-        left = _spanning(_known(posting, member, labels))
-        work = left.agg(F.sum(F.col("few") * F.col("all"))).first()[0] or 0
+        labels = _joined(labels, verified(pairs, sets, percent))
+        known = _known(posting, member, labels)
+        spans = cut(_spanning(known), "op7-spans")
+        work = spans.agg(F.sum(F.col("few") * F.col("all"))).first()[0] or 0
         if work <= ALL_PAIRS * count:
             break
-    if not work and member.where("set_key <> rep").isEmpty():
-        return labels
-    known = cut(_known(posting, member, labels), "op7-known")
-    spans = _spanning(known).select("token", "mode")
-    side = lambda x: known.select("token", F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("low").alias(f"low{x}"), F.col("high").alias(f"high{x}"))
-    few = side("1").join(spans, "token").where("low1 <> mode or high1 <> mode")
-    spanning = (F.least("low1", "low2") != F.greatest("high1", "high2")) & _fits("n1", "n2", percent)
+    side = lambda x: known.select("token", F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"), F.col("low").alias(f"low{x}"), F.col("high").alias(f"high{x}"))
+    few = side("1").join(spans.select("token", "mode"), "token").where("low1 <> mode or high1 <> mode")
+    spanning = (F.least("low1", "low2") != F.greatest("high1", "high2")) & _fits("n1", "s1", "n2", "s2", percent)
     groups = few.join(side("2"), "token").where(spanning & (F.col("g1") != F.col("g2"))).select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct()
-    inside = known.where("low <> high").select(F.col("group").alias("g1"), F.col("group").alias("g2")).distinct()
-    of = cut(member.select("group", "set_key").join(labels.withColumnRenamed("node", "set_key"), "set_key"), "op7-of")
+    of = member.select("group", "set_key").join(labels, "set_key")
+    inside = of.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("group").alias("g1"), F.col("group").alias("g2"))
+    groups = cut(groups.unionByName(inside), "op7-groups")
+    if groups.isEmpty():
+        return labels
     end = lambda x, y: of.select(F.col("group").alias(f"g{x}"), F.col("set_key").alias(y), F.col("comp").alias(f"c{x}"))
-    pairs = groups.unionByName(inside).join(end("1", "a"), "g1").join(end("2", "b"), "g2").where("c1 <> c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return components(labels, verified(pairs, sets, percent))
+    pairs = groups.join(end("1", "a"), "g1").join(end("2", "b"), "g2").where("c1 <> c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _joined(labels, verified(pairs, sets, percent))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the components that the links connect are one."""
+    ends = cut(links, "op7-links")
+    of = lambda x: labels.select(F.col("set_key").alias(x), F.col("comp").alias(f"c{x}"))
+    over = components(ends.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    moved = labels.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
+    return cut(moved.select("set_key", F.coalesce("root", "comp").alias("comp")), "op7-labels")
 
 
 def _known(posting: DataFrame, member: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of groups with the smallest and largest component among a group's members."""
-    of = member.select("group", F.col("set_key").alias("node")).join(labels, "node").groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return posting.join(of, "group")
+    of = member.select("group", "set_key").join(labels, "set_key").groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return cut(posting.join(of, "group"), "op7-known")
 
 
 def _spanning(known: DataFrame) -> DataFrame:
@@ -232,7 +216,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     rows = cut(document_sets(docs, words), "op7-docs")
     sets = candidate_sets(docs, rows.where("n_shingles > 0"), words, percent)
-    labels = linked_components(sets, percent).withColumnRenamed("node", "set_key")
+    labels = linked_components(sets, percent)
     whole = rows.where("n_shingles > 0").join(labels, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
     least = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = whole.join(least, "comp").select("doc_id", "n_shingles", "component_id")
