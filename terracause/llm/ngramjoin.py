@@ -39,7 +39,7 @@ from terracause.llm.textvec import U64, mix64, text_shingles
 WORDS = 5
 PERCENT = 75
 #: Pivot rounds end early once all pairs of groups left would be under this many times the postings.
-ALL_PAIRS = 4
+ALL_PAIRS = 1
 MOST_ROUNDS = 3
 
 
@@ -153,7 +153,8 @@ def linked_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # a group's members share size and prefix; one of them stands for it
     first = named.groupBy("group").agg(F.min("set_key").alias("rep"))
     member = cut(named.join(first, "group"), "op7-members")
-    every = member.where("set_key = rep").select("set_key", "group", "n", "shared", "lone", F.explode("head").alias("token"))
+    # the first shingle that two sets share leaves them what stands behind it: at a place in the order, ``shared`` is the rest
+    every = member.where("set_key = rep").select("set_key", "group", "n", "lone", "shared", F.posexplode("head").alias("place", "token")).withColumn("shared", F.col("shared") - F.col("place")).drop("place")
     # a set whose shared shingles don't suffice even for the smallest one beside it goes from that shingle
     least = every.groupBy("token").agg(F.min("n").alias("_n"), F.count("*").alias("_k")).where("_k > 1")
     posting = cut(every.join(least, "token").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("_n"))).drop("_n", "_k"), "op7-postings")
