@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terracause.llm.quality import held_out
 from terracause.llm.shared import cut
-from terracause.llm.textvec import U64, buffers, slices, span_hashes, word_spans
+from terracause.llm.textvec import U64, WHITE, buffers, slices, span_hashes, word_spans
 from terracause.llm.vocab import text_array
 
 DOCUMENTS = 3_000
@@ -36,6 +36,8 @@ UNITS = 16
 EMBED = 12
 STEPS = 700
 BATCH = 256
+#: Bytes of text whose distinct runs are read together.
+SLICE = 8 << 20
 #: No letter at all, or no text.
 UNDETERMINED = "und"
 
@@ -49,12 +51,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, np
     nth = np.arange(total[-1]) - np.repeat(total[:-1], pieces)
     begin = np.repeat(starts, pieces) + nth * PIECE
     stop = np.minimum(begin + PIECE, np.repeat(ends, pieces))
-    sizes = stop - begin
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
-    compact = data[np.cumsum(inside[:-1]).astype(bool)]
-    strings = text_array(compact, np.cumsum(sizes))
+    strings = text_array(data[~WHITE[data]], np.cumsum(stop - begin))
     binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(strings), strings.buffers())
     return binary, total[first]
 
@@ -176,7 +173,7 @@ class Model:
             out[:] = float(k == 1)
             return out
         data, offsets = buffers(column)
-        for a, b in slices(offsets, 16 << 20):
+        for a, b in slices(offsets, SLICE):
             found, first = runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             coded = found.dictionary_encode()
             raw, at = _bytes(coded.dictionary)
