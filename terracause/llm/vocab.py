@@ -93,5 +93,7 @@ def whole_text_ids(tokenizer, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
     each = counts[use]
     total = np.zeros(len(use) + 1, np.int64)
     np.cumsum(each, out=total[1:])
-    source = np.repeat(begin[use] - total[:-1], each) + np.arange(total[-1])
+    kind = np.int32 if max(total[-1], len(ids)) < 1 << 31 else np.int64  # the largest arrays here
+    source = np.repeat((begin[use] - total[:-1]).astype(kind), each)
+    source += np.arange(total[-1], dtype=kind)
     return ids[source], np.diff(total[first])
