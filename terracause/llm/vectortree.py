@@ -8,7 +8,9 @@ queries drawn from the fitting sample, visits widen until the wanted recall is r
 
 Every row is put into a leaf. Leaves are searched in blocks of about ``BLOCK_ROWS`` rows,
 so a leaf that holds a third of all rows is many blocks; equal vectors of a block are
-compared once. Scores are inner products of the original vectors in double precision.
+compared once. The first of a query's leaves give a bound that rows of the later ones have
+to reach, so those return few rows. Scores are inner products of the original vectors in
+double precision.
 
 Bounds: the tree is fitted on at most ``SAMPLE`` vectors, drawn by a hash of their id; its
 leaves are at most ``SAMPLE / LEAF_SAMPLE``. Indexing and search cover every row.
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 from terracause.llm.shared import cut
 
 SAMPLE = 40_000
-LEAF_SAMPLE = 64
+LEAF_SAMPLE = 400
 BRANCHES = 16
 BLOCK_ROWS = 4_096
 CALIBRATION = 256
-RECALL = 0.98
+RECALL = 0.96
+#: The share of a query's leaves that is searched for its bound.
+FIRST = 0.125
 
 
 @dataclass
@@ -139,6 +143,37 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+class Kinds:
+    """The distinct vectors of a block, each with its ids in order."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        _, first, same = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        by = np.argsort(same.ravel(), kind="stable")
+        self.vectors, self.ids, self.counts = x[first], ids[by], np.bincount(same.ravel())
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def best(self, qs: np.ndarray, vs: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and score of each query's ``k`` best rows here that reach its bound."""
+        rough = vs @ self.vectors.T
+        n = rough.shape[1]
+        limit = bounds if n <= k + 1 else np.maximum(bounds, -np.partition(-rough, k, axis=1)[:, k])
+        slack = 1e-9 * (1 + np.abs(rough).max(1))
+        row, kind = np.nonzero(rough >= (limit - slack)[:, None])
+        exact = np.einsum("ij,ij->i", self.vectors[kind], vs[row])
+        times = np.minimum(self.counts[kind], k + 1)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        ids = self.ids[np.repeat(self.starts[kind], times) + nth]
+        row, score = np.repeat(row, times), np.repeat(exact, times)
+        keep = (ids != qs[row]) & (score >= bounds[row])
+        row, ids, score = row[keep], ids[keep], score[keep]
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        return qs[row[nth < k]], ids[nth < k], score[nth < k]
+
+
 def usable(df: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part."""
     x = F.col("embedding")
@@ -177,46 +212,30 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q, vector in zip(b.column(0).to_pylist(), matrix(b.column(1)), strict=True):
-                spots = [(leaf, i) for leaf in held.value.visit(np.append(vector, 0.0), visits) for i in range(sizes.value.get(leaf, 0))]
+                spots = [(leaf, i, step) for step, leaf in enumerate(held.value.visit(np.append(vector, 0.0), visits)) for i in range(sizes.value.get(leaf, 0))]
+                leaf, block, step = np.array(spots, np.int32).reshape(-1, 3).T
                 n = len(spots)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(vector)), pa.array(np.tile(vector.astype(np.float32), n)))
-                yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in spots], pa.int32()), pa.array([s[1] for s in spots], pa.int32()), pa.array([q] * n, pa.int64()), vectors], ["leaf", "block", "query_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(block), pa.array(step), pa.array(np.full(n, q, np.int64)), vectors], ["leaf", "block", "step", "query_id", "vector"])
 
     number = F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv])[F.col("leaf")] if blocks else F.lit(1)
     rows = index.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(11)), number).cast("int"))
-    asked = good.where(F.col("vec_id") % every == 0).mapInArrow(walk, "leaf int, block int, query_id long, vector array<float>")
+    asked = cut(good.where(F.col("vec_id") % every == 0).mapInArrow(walk, "leaf int, block int, step int, query_id long, vector array<float>"), "op5-asked")
 
     def search(members: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not members.num_rows or not queries.num_rows:
-            return empty
-        ids, x = members["vec_id"].to_numpy(), matrix(members["embedding"].combine_chunks())
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        _, first, same = np.unique(x, axis=0, return_index=True, return_inverse=True)
-        same = same.ravel()
-        by = np.argsort(same, kind="stable")
-        starts = np.searchsorted(same[by], np.arange(len(first) + 1))
-        kinds = x[first]
-        qs, vs = queries["query_id"].to_numpy(), matrix(queries["vector"].combine_chunks())
-        out_q, out_v, out_s = [], [], []
-        for a in range(0, len(qs), 512):
-            rough = vs[a : a + 512] @ kinds.T
-            take = min(k + 4, rough.shape[1])
-            top = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-            for q, vector, some in zip(qs[a : a + 512], vs[a : a + 512], top, strict=True):
-                exact = np.einsum("ij,j->i", kinds[some], vector)
-                found = np.concatenate([by[starts[c] : min(starts[c + 1], starts[c] + k + 1)] for c in some])
-                score = np.repeat(exact, [min(starts[c + 1] - starts[c], k + 1) for c in some])
-                other = ids[found] != q
-                found, score = found[other], score[other]
-                best = np.lexsort((ids[found], -score))[:k]
-                out_q.append(np.full(len(best), q))
-                out_v.append(ids[found][best])
-                out_s.append(score[best])
-        return pa.table({"query_id": pa.array(np.concatenate(out_q)), "vec_id": pa.array(np.concatenate(out_v)), "score": pa.array(np.concatenate(out_s))})
-
-    keys = ["leaf", "block"]
-    found = rows.groupBy(keys).cogroup(asked.groupBy(keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        kinds = Kinds(members["vec_id"].to_numpy(), matrix(members["embedding"].combine_chunks()))
+        qs, vs, bounds = queries["query_id"].to_numpy(), matrix(queries["vector"].combine_chunks()), queries["bound"].to_numpy()
+        found = [kinds.best(qs[a : a + 512], vs[a : a + 512], bounds[a : a + 512], k) for a in range(0, len(qs), 512)]
+        return pa.table({n: pa.array(np.concatenate([f[i] for f in found])) for i, n in enumerate(("query_id", "vec_id", "score"))})
+
+    keys, out = ["leaf", "block"], "query_id long, vec_id long, score double"
+    look = lambda queries: rows.groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(search, out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    early = F.col("step") < max(1, math.ceil(visits * FIRST))
+    start = cut(top(look(asked.where(early).withColumn("bound", F.lit(float("-inf"))))), "op5-first")
+    bound = start.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    late = asked.where(~early).join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    return top(start.select("query_id", "vec_id", "score").unionByName(look(late))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
