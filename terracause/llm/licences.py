@@ -1,22 +1,22 @@
-"""Operator 9 [native]: licence scan by a positional index of rare words.
+"""Operator 9 [native]: licence scan by a positional index of licence words.
 
 Base places are where the words of a fixed phrase stand on end. The method adds labels:
-of each file that holds a mandatory key phrase, the licence words with the highest IDF
-(over all documents) are looked up in the templates' postings; a word at place p of the
-file and place q of the template votes for offset p - q; an offset with two votes or more
-is kept if the template's key phrase stands there.
+of each file that holds a mandatory key phrase, every licence word is looked up in the
+templates' postings, so that a second notice or rarer words of the prose hide none; a word
+at place p of the file and place q of the template votes for offset p - q; an offset with
+two votes or more is kept if the template's key phrase stands there.
 
 Everything is DataFrame functions; the text is read once. The templates are a fixed
 table of a few dozen words, so they are broadcast.
 
 Defined cases: a null text counts as empty: no words, no labels, score 0. Repeated rows
-and ids each give a row. The score is the largest share of a file's looked-up words of a
-template that voted for the kept offset; a file with base places alone has 0.5.
+and ids each give a row. The score is the largest share of a template's words in a file
+that voted for the kept offset; a file with base places alone has 0.5.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracause.llm.shared import cut
@@ -34,17 +34,14 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "person obtaining a copy of this software"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 ]
-#: Rare words looked up in each file, and votes that an offset needs.
+#: Words looked up in each file by the SQL, which ranks them over all templates; the code has no such bound.
 LOOKED_UP = 4
+#: Votes that an offset needs.
 VOTES = 2
 #: What stands between words: ASCII other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, text, _ in TEMPLATES for w in text.split()})
-
-
 def _any(phrases: list[str]) -> str:
     return "(?:" + "|".join(phrases) + ")"
 
@@ -54,7 +51,7 @@ def _words_in(piece: Column) -> Column:
 
 
 def base_places(docs: DataFrame) -> DataFrame:
-    """Per row: n_words, the base places, and what the method needs: ``present`` and, with a key phrase, ``words``."""
+    """Per row: n_words, the base places, and what the method needs: with a key phrase, ``words``."""
     plain = docs.withColumn("norm", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), BETWEEN, " "))).drop("text")
     keys = sorted({*BASE, *(key for _, _, key in TEMPLATES)})
     padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
@@ -65,7 +62,6 @@ def base_places(docs: DataFrame) -> DataFrame:
     found = plain.select(
         "*",
         F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
-        F.array_intersect(lower, F.array(*map(F.lit, vocabulary()))).alias("present"),
         F.when(hot, lower).alias("words"),
         F.when(hot, split).alias("pieces"),
         F.when(hot, F.concat_ws(",", *(F.when(padded.rlike(f"(?i) {phrase} "), label) for phrase, label in sorted(BASE.items(), key=lambda x: x[1])))).otherwise("").alias("base_labels"),
@@ -91,17 +87,10 @@ def method_labels(files: DataFrame) -> DataFrame:
         keys.append((number, label, at, phrase))
     postings_df = F.broadcast(spark.createDataFrame(postings, "word string, template int, place int"))
     keys_df = F.broadcast(spark.createDataFrame(keys, "template int, label string, key_at int, key array<string>"))
-    # at most one row for each word of the templates
-    df = files.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     hot = files.where("words is not null").select("row", "words")
-    spots = hot.select("row", F.posexplode("words").alias("at", "word")).join(F.broadcast(df), "word")
-    # the highest IDF is the lowest document frequency
-    rare = Window.partitionBy("row").orderBy("df", "word")
-    looked = spots.select("row", "word", "df").distinct().withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= LOOKED_UP).select("row", "word")
-    votes = (
-        spots.select("row", "word", "at").join(looked, ["row", "word"]).join(postings_df, "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.countDistinct("word").alias("votes")).where(F.col("votes") >= VOTES)
-    )
-    asked = looked.join(postings_df, "word").groupBy("row", "template").agg(F.countDistinct("word").alias("asked"))
+    spots = hot.select("row", F.posexplode("words").alias("at", "word")).join(postings_df, "word")
+    votes = spots.groupBy("row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.countDistinct("word").alias("votes")).where(F.col("votes") >= VOTES)
+    asked = spots.groupBy("row", "template").agg(F.countDistinct("word").alias("asked"))
     start = F.col("offset") + F.col("key_at")
     kept = votes.join(keys_df, "template").join(hot, "row").where(start >= 0).where(F.slice("words", start + 1, F.size("key")) == F.col("key"))
     return kept.join(asked, ["row", "template"]).groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("votes") / F.col("asked")).alias("share"))
@@ -111,7 +100,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row a document: words, base places, labels and score. ``docs`` needs doc_id and text; other columns are not read."""
     rows = base_places(docs.select("doc_id", "text"))
     files = cut(rows.withColumn("row", F.monotonically_increasing_id()), "op9")
-    both = files.drop("present", "words").join(method_labels(files), "row", "left")
+    both = files.drop("words").join(method_labels(files), "row", "left")
     base = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
     labels = F.concat_ws(",", F.array_sort(F.array_union(base, F.coalesce("found", F.array().cast("array<string>")))))
     score = F.coalesce("share", F.when(F.col("n_base") > 0, 0.5), F.lit(0.0))
