@@ -63,10 +63,17 @@ def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, turns.where("role = 'assistant'").select("conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))
 
 
+def other_turns(turns: DataFrame) -> DataFrame:
+    """The turns of every other role, or of none: plain messages."""
+    taken = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    return turns.where(~taken).select("conv_id", "turn", "role", F.col("text").alias("content"))
+
+
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from terracause.llm.toolcalls import link
+    from terracause.llm.toolcalls import chat
 
-    return link(*calls_and_results(table(spark, sf_dir, "conversations")), TOOLS)
+    turns = table(spark, sf_dir, "conversations")
+    return chat(*calls_and_results(turns), other_turns(turns), TOOLS)
 
 
 OP4_SQL = """

@@ -7,13 +7,16 @@ meets in one task. Arguments are validated against the schema of the named tool,
 message is written as canonical JSON: sorted keys, no blanks, UTF-8 as it is.
 
 Rows of a conversation are in order when sorted by (level, call_id, kind, turn): a call
-stands after the calls it depends on, and its results stand after it.
+stands after the calls it depends on, and its results stand after it. Plain messages
+(kind 2: every turn that is neither a call nor a result, of any role) take no part in
+linking: they have no call id and no level, and stand at their turn.
 
 Defined cases: a result without a call has level null and the problem "no call"; a call
 without a result stays; calls on a cycle have level null and the problem "cycle"; a
 parent id that names no call counts as none; of calls with one id the one with the
 smallest conversation, turn and arguments counts; repeated results stay; null arguments
-are the problem "no JSON object"; an unknown tool is the problem "unknown tool".
+are the problem "no JSON object"; an unknown tool is the problem "unknown tool"; a plain message
+without a role is the problem "no role".
 """
 
 from __future__ import annotations
@@ -97,6 +100,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     said = results.join(order.withColumn("_call", F.lit(True)), "call_id", "left").select(
         "conv_id", "turn", F.lit(1).alias("kind"), "call_id", "level", F.when(F.col("_call"), 1).otherwise(0).cast("long").alias("answers"), F.lit(None).cast("string").alias("tool"), F.col("content").alias("body")
     )
+    return _messages(asked.unionByName(said), schemas)
+
+
+def chat(calls: DataFrame, results: DataFrame, plain: DataFrame, schemas: Schemas) -> DataFrame:
+    """``link`` and a row (kind 2) for each row of ``plain``, which has conv_id, turn, role and content."""
+    none = lambda kind: F.lit(None).cast(kind)
+    said = plain.select("conv_id", "turn", F.lit(2).alias("kind"), none("string").alias("call_id"), none("long").alias("level"), F.lit(0).cast("long").alias("answers"), F.col("role").alias("tool"), F.col("content").alias("body"))
+    return link(calls, results, schemas).unionByName(_messages(said, schemas))
+
+
+def _messages(rows: DataFrame, schemas: Schemas) -> DataFrame:
+    """Each row as canonical JSON, with what is wrong with it."""
     out = "conv_id long, turn long, kind int, call_id string, level long, answers long, valid boolean, problems string, json string"
     names = [x.split()[0] for x in out.split(", ")]
 
@@ -108,6 +123,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
                     found, read = problems(tool, body, schemas)
                     found += ["cycle"] * (level is None)
                     text = canonical({"arguments": read, "call_id": call_id, "name": tool, "role": "assistant"})
+                elif kind == 2:
+                    found = ["no role"] * (tool is None)
+                    text = canonical({"content": body, "role": tool})
                 else:
                     found = ["no call"] * (n == 0)
                     text = canonical({"call_id": call_id, "content": body, "role": "tool"})
@@ -115,5 +133,5 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
-    typed = asked.unionByName(said).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("kind").cast("int"), "call_id", "level", "answers", "tool", "body")
+    typed = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("kind").cast("int"), "call_id", "level", "answers", "tool", "body")
     return typed.mapInArrow(run, out)
