@@ -1,20 +1,22 @@
 """Operator 4: chat formatting by linking tool calls with their results.
 
-Calls and results are hash-joined by call id. Calls that depend on others are ordered
+Calls and results are hash-joined by conversation and call id. Calls that depend on others are ordered
 topologically: the level of a call is the length of its chain of parents, found by
-pointer doubling over joins by call id, so neither a long conversation nor a long chain
+pointer doubling over joins by these, so neither a long conversation nor a long chain
 meets in one task. Arguments are validated against the schema of the named tool, and each
 message is written as canonical JSON: sorted keys, no blanks, UTF-8 as it is.
 
-Rows of a conversation are in order when sorted by (level, call_id, kind, turn): a call
+Every call and result has a row. Rows of a conversation are in order when sorted by (level, call_id, kind, turn): a call
 stands after the calls it depends on, and its results stand after it. Plain messages
 (kind 2: every turn that is neither a call nor a result, of any role) take no part in
 linking: they have no call id and no level, and stand at their turn.
 
 Defined cases: a result without a call has level null and the problem "no call"; a call
 without a result stays; calls on a cycle have level null and the problem "cycle"; a
-parent id that names no call counts as none; of calls with one id the one with the
-smallest conversation, turn and arguments counts; repeated results stay; null arguments
+parent id that names no call counts as none; of calls with one id in a conversation
+the one with the smallest turn and arguments is linked, the others have level null, no
+answers and the problem "repeated id"; a call without an id has level null and the problem
+"no id"; rows without a conversation are one conversation; repeated results stay; null arguments
 are the problem "no JSON object"; an unknown tool is the problem "unknown tool"; a plain message
 without a role is the problem "no role".
 """
@@ -25,7 +27,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracause.llm.shared import cut
@@ -86,28 +88,61 @@ def levels(calls: DataFrame) -> DataFrame:
     return step.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
+def _order() -> list[Column]:
+    """Of calls with one id the smallest in these is linked."""
+    return [F.col("conv_id"), F.col("turn"), F.coalesce("arguments", F.lit("")).alias("_"), *map(F.col, ("arguments", "up", "tool", "call_id"))]
+
+
+def _linked(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Messages of the calls that are linked, one an ``id``, and of all results; calls have ``up``, the id of their parent."""
+    first = calls.where("id is not null").groupBy("id").agg(F.min(F.struct(*_order())).alias("c"))
+    one = cut(first.select("id", "c.conv_id", "c.turn", "c.up", "c.tool", "c.arguments", "c.call_id"), "op4-calls")
+    order = levels(one.select(F.col("id").alias("call_id"), F.col("up").alias("parent_id"))).withColumnRenamed("call_id", "id")
+    answers = results.groupBy("id").agg(F.count("*").alias("answers"))
+    asked = one.join(order, "id").join(answers, "id", "left").select(
+        "conv_id", "turn", F.lit(0).alias("kind"), "call_id", "level", F.coalesce("answers", F.lit(0)).cast("long").alias("answers"), "tool", F.col("arguments").alias("body"), F.when(F.col("level").isNull(), "cycle").alias("note")
+    )
+    said = results.join(order.withColumn("_call", F.lit(True)), "id", "left").select(
+        "conv_id",
+        "turn",
+        F.lit(1).alias("kind"),
+        "call_id",
+        "level",
+        F.when(F.col("_call"), 1).otherwise(0).cast("long").alias("answers"),
+        F.lit(None).cast("string").alias("tool"),
+        F.col("content").alias("body"),
+        F.when(F.col("_call").isNull(), "no call").alias("note"),
+    )
+    return asked.unionByName(said)
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row a message: conv_id, turn, kind (0 call, 1 result), call_id, level, answers, valid, problems, json.
+    """One row a linked call and a result, where ids are unique over all conversations; ``chat`` has every call.
 
-    ``calls`` has conv_id, turn, call_id, parent_id, tool, arguments (JSON text);
-    ``results`` has conv_id, turn, call_id, content. Other columns are not read.
+    conv_id, turn, kind (0 call, 1 result), call_id, level, answers, valid, problems, json.
+    Of calls with one id the one with the smallest conversation, turn and arguments stays; calls without an id go.
     """
-    first = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("conv_id", "turn", F.coalesce("arguments", F.lit("")).alias("_"), "arguments", "parent_id", "tool")).alias("c"))
-    one = cut(first.select("call_id", "c.conv_id", "c.turn", "c.parent_id", "c.tool", "c.arguments"), "op4-calls")
-    order = levels(one)
-    answers = results.groupBy("call_id").agg(F.count("*").alias("answers"))
-    asked = one.join(order, "call_id").join(answers, "call_id", "left").select("conv_id", "turn", F.lit(0).alias("kind"), "call_id", "level", F.coalesce("answers", F.lit(0)).cast("long").alias("answers"), "tool", F.col("arguments").alias("body"))
-    said = results.join(order.withColumn("_call", F.lit(True)), "call_id", "left").select(
-        "conv_id", "turn", F.lit(1).alias("kind"), "call_id", "level", F.when(F.col("_call"), 1).otherwise(0).cast("long").alias("answers"), F.lit(None).cast("string").alias("tool"), F.col("content").alias("body")
-    )
-    return _messages(asked.unionByName(said), schemas)
+    return _messages(_linked(calls.withColumns({"id": F.col("call_id"), "up": F.col("parent_id")}), results.withColumn("id", F.col("call_id"))), schemas)
 
 
 def chat(calls: DataFrame, results: DataFrame, plain: DataFrame, schemas: Schemas) -> DataFrame:
-    """``link`` and a row (kind 2) for each row of ``plain``, which has conv_id, turn, role and content."""
+    """One row a message: conv_id, turn, kind (0 call, 1 result, 2 plain), call_id, level, answers, valid, problems, json.
+
+    ``calls`` has conv_id, turn, call_id, parent_id, tool, arguments (JSON text); ``results``
+    has conv_id, turn, call_id, content; ``plain`` has conv_id, turn, role, content. Other
+    columns are not read. Ids need to be unique within a conversation only.
+    """
+    inside = lambda name: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"), F.col(name))
     none = lambda kind: F.lit(None).cast(kind)
-    said = plain.select("conv_id", "turn", F.lit(2).alias("kind"), none("string").alias("call_id"), none("long").alias("level"), F.lit(0).cast("long").alias("answers"), F.col("role").alias("tool"), F.col("content").alias("body"))
-    return link(calls, results, schemas).unionByName(_messages(said, schemas))
+    read = calls.select("conv_id", "turn", "call_id", "parent_id", "tool", "arguments")
+    # each call has a number of its own, written once
+    calls = cut(read.withColumns({"id": inside("call_id"), "up": inside("parent_id"), "nr": F.monotonically_increasing_id()}), "op4-every")
+    linked = _linked(calls, results.withColumn("id", inside("call_id")))
+    taken = calls.where("id is not null").groupBy("id").agg(F.min(F.struct(*_order(), "nr")).alias("c")).select("c.nr")
+    left = calls.join(taken, "nr", "left_anti")
+    more = left.select("conv_id", "turn", F.lit(0).alias("kind"), "call_id", none("long").alias("level"), F.lit(0).cast("long").alias("answers"), "tool", F.col("arguments").alias("body"), F.when(F.col("id").isNull(), "no id").otherwise("repeated id").alias("note"))
+    others = plain.select("conv_id", "turn", F.lit(2).alias("kind"), none("string").alias("call_id"), none("long").alias("level"), F.lit(0).cast("long").alias("answers"), F.col("role").alias("tool"), F.col("content").alias("body"), F.when(F.col("role").isNull(), "no role").alias("note"))
+    return _messages(linked.unionByName(more).unionByName(others), schemas)
 
 
 def _messages(rows: DataFrame, schemas: Schemas) -> DataFrame:
@@ -118,20 +153,20 @@ def _messages(rows: DataFrame, schemas: Schemas) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, turn, kind, call_id, level, n, tool, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, turn, kind, call_id, level, n, tool, body, note in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
                     found, read = problems(tool, body, schemas)
-                    found += ["cycle"] * (level is None)
                     text = canonical({"arguments": read, "call_id": call_id, "name": tool, "role": "assistant"})
                 elif kind == 2:
-                    found = ["no role"] * (tool is None)
+                    found = []
                     text = canonical({"content": body, "role": tool})
                 else:
-                    found = ["no call"] * (n == 0)
+                    found = []
                     text = canonical({"call_id": call_id, "content": body, "role": "tool"})
+                found += [note] if note else []
                 rows.append((conv, turn, kind, call_id, level, n, not found, "; ".join(found), text))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
 
-    typed = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("kind").cast("int"), "call_id", "level", "answers", "tool", "body")
+    typed = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("kind").cast("int"), "call_id", "level", "answers", "tool", "body", "note")
     return typed.mapInArrow(run, out)

@@ -29,3 +29,33 @@ def test_other_roles_and_none(spark):
     assert got[0].json == '{"content":"be \\"brief\\"","role":"system"}' and got[0].valid and got[0].level is None
     assert got[3].json == '{"content":null,"role":"critic"}'
     assert got[4].json == '{"content":"lost","role":null}' and got[4].problems == "no role"
+
+
+def test_calls_that_repeat_an_id_or_have_none_stay(spark):
+    calls = [
+        (1, 1, "call_0", None, "search", '{"text":"a"}'),
+        (1, 3, "call_1", "call_0", "search", '{"text":"b"}'),
+        (2, 1, "call_0", None, "search", '{"text":"c"}'),
+        (2, 3, "call_1", "call_0", "search", '{"text":"d"}'),
+        (2, 5, "call_1", "call_0", "search", '{"text":"e"}'),
+        (2, 5, "call_1", "call_0", "search", '{"text":"e"}'),
+        (2, 7, None, "call_1", "search", '{"text":"f"}'),
+        (3, 1, None, None, "search", None),
+        (3, 2, "only_1", "call_1", "search", '{"text":"g"}'),
+        (None, 1, "call_0", None, "search", '{"text":"h"}'),
+    ]
+    results = [(1, 2, "call_0", "A"), (2, 2, "call_0", "C"), (2, 4, "call_1", "D"), (3, 3, "call_0", "other"), (3, 4, None, "none")]
+    plain = [(3, 0, "system", "s")]
+    frames = (
+        spark.createDataFrame(calls, "conv_id long, turn long, call_id string, parent_id string, tool string, arguments string"),
+        spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"),
+        spark.createDataFrame(plain, "conv_id long, turn long, role string, content string"),
+    )
+    rows = toolcalls.chat(*frames, TOOLS).collect()
+    assert len(rows) == len(calls) + len(results) + len(plain)
+    said = sorted((r.conv_id or 0, r.turn, r.level, r.answers, r.problems) for r in rows if r.kind == 0 and r.level is not None)
+    assert said == [(0, 1, 0, 0, ""), (1, 1, 0, 1, ""), (1, 3, 1, 0, ""), (2, 1, 0, 1, ""), (2, 3, 1, 1, ""), (3, 2, 0, 0, "")]
+    rest = sorted((r.conv_id, r.turn, r.call_id or "", r.answers, r.problems) for r in rows if r.kind == 0 and r.level is None)
+    assert rest == [(2, 5, "call_1", 0, "repeated id"), (2, 5, "call_1", 0, "repeated id"), (2, 7, "", 0, "no id"), (3, 1, "", 0, "no JSON object; no id")]
+    answers = {(r.conv_id, r.turn): (r.level, r.problems) for r in rows if r.kind == 1}
+    assert answers == {(1, 2): (0, ""), (2, 2): (0, ""), (2, 4): (1, ""), (3, 3): (None, "no call"), (3, 4): (None, "no call")}
