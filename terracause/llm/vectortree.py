@@ -40,7 +40,7 @@ LEAF_SAMPLE = 400
 BRANCHES = 16
 BLOCK_ROWS = 4_096
 CALIBRATION = 256
-RECALL = 0.96
+RECALL = 0.98
 #: The share of a query's leaves that is searched for its bound.
 FIRST = 0.125
 
