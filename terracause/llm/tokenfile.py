@@ -7,11 +7,11 @@ byte offset of each block in the packed part (one more than blocks); the packed
 Each id takes the fewest bits that hold the vocabulary's largest id; a block holds a fixed
 number of ids and begins at a whole byte, so a range of ids is found by its block offsets
 and unpacked by a few numpy passes. Spark's text writer puts the segments into files,
-so any store that Spark writes to will do.
+``FILE_SEGMENTS`` in each, so any store that Spark writes to will do.
 
 Defined cases: a null text counts as the empty text (its one id is the end id); a null
-doc_id comes first in the order and stays null; equal ids are ordered by text; an empty
-table gives no rows.
+doc_id comes first in the order and stays null; rows of one id are ordered by a hash of
+their text; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terracause.llm.shared import new_path
+from terracause.llm.shared import cut, give_back, new_path
 from terracause.llm.textvec import buffers, slices
 from terracause.llm.vocab import built, whole_text_ids
 
@@ -33,6 +33,7 @@ MAGIC = b"TKB1"
 _HEAD = struct.Struct("<4s6iq")
 BLOCK_IDS = 8192
 SEGMENT_BYTES = 16 << 20
+FILE_SEGMENTS = 8
 
 
 def bits_for(vocabulary: int) -> int:
@@ -125,49 +126,40 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
                 full[keep] = ids
                 yield pa.RecordBatch.from_arrays([pa.array([segment(full, counts + 1, names[a:b], bits, shard, number)], pa.binary())], ["segment"])
                 number += 1
+                del ids, full, keep
+                give_back()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").text(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumns({"_h": F.xxhash64("text"), "_i": F.monotonically_increasing_id()})
+    # an id on very many rows is spread over ranges by a number of the rows
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_i")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """One row a document: shard, doc_id, start within its file, n_tokens, ids_crc32 and, if asked for, ids."""
-    schema = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    """One row a document: shard and segment, doc_id, start within its segment, n_tokens, ids_crc32 and, if asked for, ids."""
+    schema = "shard int, segment int, doc_id long, local_start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                base = 0
                 for seg in segments(raw.as_buffer()):
                     ids, n = seg.ids(), len(seg.counts)
                     ends = np.cumsum(seg.counts.astype(np.int64))
                     begins = ends - seg.counts
                     plain = memoryview(ids.astype("<u4").tobytes())
                     crc = [zlib.crc32(plain[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                    cols = [pa.array(np.full(n, seg.shard, np.int32)), pa.array(seg.doc_ids, pa.int64(), mask=seg.has_id == 0), pa.array(base + begins), pa.array(seg.counts.astype(np.int64)), pa.array(crc, pa.int64())]
+                    cols = [pa.array(np.full(n, x, np.int32)) for x in (seg.shard, seg.number)]
+                    cols += [pa.array(seg.doc_ids, pa.int64(), mask=seg.has_id == 0), pa.array(begins), pa.array(seg.counts.astype(np.int64)), pa.array(crc, pa.int64())]
                     if with_ids:
                         cols.append(pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1:]).astype(np.int32)), pa.array(ids.astype(np.int32))))
-                    base += len(ids)
                     yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
 
-    names = ["shard", "doc_id", "local_start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
+    names = ["shard", "segment", "doc_id", "local_start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
     return _files(spark, path).mapInArrow(run, schema)
 
 
-def shard_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """Ids in each file, from the segment heads alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                heads = [(s.shard, s.n_ids) for s in segments(raw.as_buffer())]
-                if heads:
-                    yield pa.RecordBatch.from_arrays([pa.array([heads[0][0]], pa.int32()), pa.array([sum(n for _, n in heads)], pa.int64())], ["shard", "n_ids"])
-
-    return _files(spark, path).mapInArrow(run, "shard int, n_ids long")
-
-
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
@@ -177,8 +169,10 @@ def documents_report(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     write_token_files(docs, path, tokenizer, end_id, vocabulary)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shard_sizes(spark, path).select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    # one row a file that was written: as many as the writing job had tasks
-    rows = read_token_files(spark, path).join(F.broadcast(bases), "shard")
-    return rows.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    rows = cut(read_token_files(spark, path), "op2")
+    sizes = rows.groupBy("shard", "segment").agg(F.sum("n_tokens").alias("_n"))
+    # one row a writing task, then one a segment of it
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = sizes.groupBy("shard").agg(F.sum("_n").alias("_n")).select("shard", before(Window.orderBy("shard")).alias("_shard"))
+    bases = sizes.select("shard", "segment", before(Window.partitionBy("shard").orderBy("segment")).alias("_segment")).join(shards, "shard")
+    return rows.join(bases, ["shard", "segment"]).select("doc_id", (F.col("_shard") + F.col("_segment") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
