@@ -26,13 +26,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracause.llm.shared import cut, partitions
+from terracause.llm.shared import cut, give_back, partitions
 from terracause.llm.textvec import U64, buffers, slices, span_hashes
 from terracause.llm.vocab import built, encode_each, text_array, words
 
 BLOCK_BYTES = 32 << 20
+#: Words of a block that are written out together.
+POSITIONS = 1 << 18
+#: Bytes of text for each word part at least, so that the words of a part fit in a task however long the table is.
+PART_BYTES = 128 << 20
 #: Effort of the compression of what is moved.
-LEVEL = 5
+LEVEL = 9
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -110,6 +114,7 @@ def _split(parts: int):
                     ],
                     ["block", "part", "n", "payload", "codes", "doc_ids", "counts"],
                 )
+                give_back()
 
     return run
 
@@ -120,66 +125,77 @@ _BLOCKS = "block string, part int, n long, payload binary, codes array<binary>,
 def _encode(tokenizer: str):
     def run(table: pa.Table) -> pa.Table:
         """Words of one part from all blocks: each distinct one is encoded once."""
-        tok = built(tokenizer)
-        sizes, ends, data = table["n"].to_pylist(), [], []
-        base = 0
-        for n, raw in zip(sizes, table["payload"].to_pylist(), strict=True):
-            plain = zstandard.decompress(raw)
-            ends.append(np.cumsum(np.ascontiguousarray(np.frombuffer(plain, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel().astype(np.int64)) + base)
-            data.append(np.frombuffer(plain, np.uint8, offset=4 * n))
-            base += len(data[-1])
-        coded = text_array(np.concatenate(data), np.concatenate(ends)).dictionary_encode()
-        ids, counts = encode_each(tok, coded.dictionary.to_pylist())
+        tok, coded = built(tokenizer), []
+        for n, raw in zip(table["n"].to_pylist(), table["payload"], strict=True):
+            plain = zstandard.decompress(raw.as_buffer())
+            ends = np.cumsum(np.ascontiguousarray(np.frombuffer(plain, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel().astype(np.int64))
+            coded.append(text_array(np.frombuffer(plain, np.uint8, offset=4 * n), ends).dictionary_encode())
+        one = pa.chunked_array(coded).unify_dictionaries()
+        ids, counts = encode_each(tok, one.chunk(0).dictionary.to_pylist())
         begin = np.cumsum(counts) - counts
-        use = coded.indices.to_numpy(zero_copy_only=False)
-        out_counts, out_ids, at = [], [], 0
-        for n in sizes:
-            some = use[at : at + n]
-            at += n
-            each = counts[some]
-            stop = np.cumsum(each)
-            source = np.repeat(begin[some] - (stop - each), each) + np.arange(stop[-1])
-            out_counts.append(squeeze(each.astype(np.uint32)))
-            out_ids.append(squeeze(ids[source]))
+        out_counts, out_ids = [], []
+        for chunk in one.chunks:
+            some = chunk.indices.to_numpy(zero_copy_only=False)
+            out_counts.append(squeeze(counts[some].astype(np.uint32)))
+            out_ids.append(squeeze(ids[spread(begin[some], counts[some])]))
+        give_back()
         return pa.table({"block": table["block"], "part": table["part"], "counts": pa.array(out_counts, pa.binary()), "ids": pa.array(out_ids, pa.binary())})
 
     return run
 
 
+def spread(begin: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, … as many as each[0], then the same for the next, on end."""
+    stop = np.cumsum(each)
+    total = int(stop[-1]) if len(stop) else 0
+    kind = np.int32 if max(total, int((begin + each).max(initial=0))) < 1 << 31 else np.int64
+    out = np.repeat((begin - (stop - each)).astype(kind), each)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
 def _join(tokenizer: str, parts: int, digests: bool):
     def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
-        """One block: ids by position, pieces by id."""
+        """One block: ids by position, pieces by id; about ``POSITIONS`` words at a time."""
         tok = built(tokenizer)
-        coded = coded.sort_by("part")
         codes = expand_codes(docs["codes"][0].as_py())
-        each = [expand(x, np.uint32).astype(np.int64) for x in coded["counts"].to_pylist()]
-        named = [np.arange(len(c)) * parts + p for c, p in zip(each, coded["part"].to_pylist(), strict=True)]
-        if each:
-            counts, numbers = np.concatenate(each), np.concatenate(named)
-            ids = np.concatenate([expand(x, np.uint32) for x in coded["ids"].to_pylist()])
-        else:
-            counts, numbers, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        pieces = [(tok.id_to_token(i) or "").encode() for i in range(tok.get_vocab_size(with_added_tokens=True))]
-        raw, stops = ids.astype("<u4").tobytes(), np.cumsum(counts)
-        said = [pieces[i] for i in ids.tolist()]
-        size = int(numbers.max()) + 1 if len(numbers) else 0
-        as_ids, as_text = np.empty(size, object), np.empty(size, object)
-        for r, a, b in zip(numbers.tolist(), (stops - counts).tolist(), stops.tolist(), strict=True):
-            as_ids[r], as_text[r] = raw[4 * a : 4 * b], b" ".join(said[a:b])
-        blank = set(numbers[counts == 0].tolist())  # words that the normaliser removes
-        at, sizes, out_ids, out_text = 0, [], [], []
-        for n in docs["counts"][0].as_py():
-            some = codes[at : at + n]
-            at += n
-            if blank:
-                some = some[[c not in blank for c in some.tolist()]] if n else some
-            one, text = b"".join(as_ids[some].tolist()), b" ".join(as_text[some].tolist())
-            sizes.append(len(one) // 4)
-            out_ids.append(sha256(one).hexdigest() if digests else one)
-            out_text.append(sha256(text).hexdigest() if digests else text)
+        begin, counts, ids, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        for part, each, raw in zip(coded["part"].to_pylist(), coded["counts"], coded["ids"], strict=True):
+            each = expand(each.as_buffer(), np.uint32).astype(np.int64)
+            size = (len(each) - 1) * parts + part + 1 if len(each) else 0
+            if size > len(counts):
+                begin, counts = np.pad(begin, (0, size - len(begin))), np.pad(counts, (0, size - len(counts)))
+            stop = np.cumsum(each) + held
+            begin[part:size:parts], counts[part:size:parts] = stop - each, each
+            ids.append(expand(raw.as_buffer(), np.uint32))
+            held += len(ids[-1])
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        # every piece with the blank that joins it to the next
+        pieces = [(tok.id_to_token(i) or "").encode() + b" " for i in range(tok.get_vocab_size(with_added_tokens=True))]
+        letters, lengths = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        many, stop = np.array(docs["counts"][0].as_py(), np.int64), 0
+        sizes, out_ids, out_text = [], [], []
+        for a, b in slices(np.append(0, np.cumsum(many)), POSITIONS):
+            some = codes[stop : (stop := stop + int(many[a:b].sum()))]
+            each = counts[some]
+            found = ids[spread(begin[some], each)]
+            text = letters[spread(starts[found], lengths[found])].tobytes()
+            raw = found.astype("<u4").tobytes()
+            before = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(many[a:b]))]
+            place = np.append(0, np.cumsum(lengths[found]))[before].tolist()
+            before = before.tolist()
+            for i in range(b - a):
+                one, said = raw[4 * before[i] : 4 * before[i + 1]], text[place[i] : max(place[i], place[i + 1] - 1)]
+                sizes.append(before[i + 1] - before[i])
+                out_ids.append(sha256(one).hexdigest() if digests else one)
+                out_text.append(sha256(said).hexdigest() if digests else said)
         ids_column = pa.array(out_ids, pa.string() if digests else pa.binary())
         text_column = pa.array(out_text, pa.string() if digests else pa.binary()).cast(pa.string())
-        return pa.table({"doc_id": docs["doc_ids"].combine_chunks().flatten(), "n_tokens": pa.array(sizes, pa.int64()), "ids": ids_column, "decoded": text_column})
+        out = pa.table({"doc_id": docs["doc_ids"].combine_chunks().flatten(), "n_tokens": pa.array(sizes, pa.int64()), "ids": ids_column, "decoded": text_column})
+        del codes, ids, begin, counts, out_ids, out_text
+        give_back()
+        return out
 
     return run
 
@@ -192,7 +208,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, digests: bool = False) -> Dat
     names no decoder (pieces are then joined by blanks).
     """
     spark = docs.sparkSession
-    parts = 2 * partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * partitions(spark), size // PART_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     blocks = cut(rows.mapInArrow(_split(parts), _BLOCKS), "op3")
     table = blocks.where("part is not null").select("block", "part", "n", "payload")
