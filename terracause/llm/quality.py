@@ -1,21 +1,25 @@
 """Operator 6: quality classifier on random-indexing word vectors.
 
 Tokens are runs of letters, of digits or of other visible bytes, as written. The
-``VOCABULARY`` most frequent tokens of the fitting sample have ids of their own; any
-other token has the id of its shape. Each id has a sparse random index vector; its word
-vector is the sum of the index vectors of its neighbours in the sample, within two
-tokens. A document's vector is the mean over all tokens of its whole text, with the share of
-tokens that repeat one of the two before, and the log of their number. A two-layer
-numpy network scores it; a temperature fitted on rows kept out of its training
+``VOCABULARY`` most frequent tokens of all documents have ids of their own; any other token
+has the id of its shape. Each id has a sparse random index vector; its word vector is the
+sum of the index vectors of its neighbours in all documents, within two tokens.
+
+A whole text is pooled to three vectors: the sum of its word vectors over their number
+plus ``SHRINK``, and for the pairs of tokens one and two apart the sum of the products of
+their vectors, likewise (a pair's vector, as a bigram's in random indexing). A two-layer
+numpy network scores them; a temperature fitted on rows kept out of its training
 calibrates the probability.
 
-Bounds: the classifier is fitted on at most ``sample`` labelled rows (default
-``SAMPLE``), drawn by a hash of their id; everything that reaches the driver is of a size
-fixed by the parameters. Scoring reads every document.
+Bounds: the network is fitted on at most ``sample`` labelled rows (default ``SAMPLE``),
+drawn by a hash of their id; vocabulary and word vectors come from all documents. What
+reaches the driver is of a size fixed by the parameters. Scoring reads every document.
 
 Defined cases: a null text counts as empty; an empty text is scored as the vector of
 zeros; a document labelled more than once counts with its lowest label; without both
-labels in the sample every score is the share of label 1 (0.5 without any).
+labels in the sample every score is the share of label 1 (0.5 without any). Repeated rows
+and ids each have a row; of ids on many rows as many rows are learnt from as ids were to
+be. An input column with the name of the output column is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracause.llm.shared import cut
+from terracause.llm.shared import cut, give_back
 from terracause.llm.textvec import U64, WHITE, buffers, mix64, slices, span_hashes
 
 SAMPLE = 6_000
@@ -36,8 +40,15 @@ VOCABULARY = 2_000
 DIMS = 64
 WINDOW = 2
 HIDDEN = 32
-#: Beside the pooled vector: the share of tokens that repeat one of the two before, and the log of the token count.
-WIDTH = DIMS + 2
+#: Added to the number of tokens, and of pairs, that a pooled vector is divided by: short texts stay near zero.
+SHRINK = 16
+SHRINK_PAIRS = 4
+#: Words, pairs one apart, pairs two apart.
+WIDTH = 3 * DIMS
+#: Tokens whose vectors are held at once.
+TOKENS = 1 << 11
+#: Bytes of text that one pass cuts into tokens.
+SLICE = 2 << 20
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[WHITE] = 0
@@ -95,7 +106,7 @@ def index_vectors(n: int) -> np.ndarray:
 
 def _passes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     data, offsets = buffers(column)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SLICE):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         yield a, b, *tokens(part, at)
 
@@ -105,47 +116,56 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, hashes, _, _ in _passes(batch.column(0)):
             seen, n = np.unique(hashes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["token", "n"])
+    give_back()
 
 
 def _contexts(vocabulary: np.ndarray):
+    """Rows id, v0 … of what each id's neighbours add to its word vector; whole numbers, so their order doesn't matter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(vocabulary) + SHAPES
-        index, total = index_vectors(n), np.zeros((n, DIMS), np.float64)
+        seen = np.zeros((n, n), np.int64)
         for batch in batches:
             for _, _, hashes, shape, first in _passes(batch.column(0)):
                 ids = token_ids(hashes, shape, vocabulary)
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 for step in range(1, WINDOW + 1):
                     same = row[step:] == row[:-step]
-                    pair, times = np.unique(ids[:-step][same] * n + ids[step:][same], return_counts=True)
-                    left, right = pair // n, pair % n
-                    np.add.at(total, left, index[right] * times[:, None])
-                    np.add.at(total, right, index[left] * times[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+                    seen += np.bincount(ids[:-step][same] * n + ids[step:][same], minlength=n * n).reshape(n, n)
+        index = index_vectors(n).astype(np.float64)
+        total = (seen @ index + seen.T @ index).astype(np.int64)
+        some = np.flatnonzero(seen.sum(1) + seen.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, j]) for j in range(DIMS)]], ["id", *SUMS])
+        del seen, total
+        give_back()
 
     return run
 
 
+SUMS = [f"v{j}" for j in range(DIMS)]
+
+
 def pool(column: pa.Array, vocabulary: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector of each whole text, its share of repeats and log length (rows x WIDTH)."""
-    n = len(vocabulary) + SHAPES
+    """Pooled vectors of each whole text (rows x WIDTH): of words, and of pairs one and two apart."""
     out = np.zeros((len(column), WIDTH), np.float32)
     for a, b, hashes, shape, first in _passes(column):
-        whole = np.diff(first)
-        of = np.repeat(np.arange(b - a), whole)
-        again = np.zeros(len(of), bool)
+        ids, whole = token_ids(hashes, shape, vocabulary), np.diff(first)
+        row = np.repeat(np.arange(a, b), whole)
+        for lo in range(0, len(ids), TOKENS):
+            back = min(lo, 2)  # pairs reach over the cut
+            v, of = vectors[ids[lo - back : lo + TOKENS]], row[lo - back : lo + TOKENS]
+            new = np.flatnonzero(np.diff(of[back:], prepend=-1))
+            rows = of[back:][new]
+            out[rows, :DIMS] += np.add.reduceat(v[back:], new, axis=0)
+            for step in (1, 2):
+                gap = max(step - back, 0)  # the first tokens of all have nothing before them
+                pair = np.zeros((len(v) - back, DIMS), np.float32)
+                np.multiply(v[back + gap :], v[back + gap - step : len(v) - step], out=pair[gap:])
+                pair[gap:][of[back + gap :] != of[back + gap - step : len(v) - step]] = 0
+                out[rows, step * DIMS : (step + 1) * DIMS] += np.add.reduceat(pair, new, axis=0)
+        out[a:b, :DIMS] /= (whole + SHRINK)[:, None]
         for step in (1, 2):
-            again[step:] |= (hashes[step:] == hashes[:-step]) & (of[step:] == of[:-step])
-        out[a:b, DIMS] = np.bincount(of, again, b - a) / np.maximum(whole, 1)
-        out[a:b, DIMS + 1] = np.log1p(whole)
-        ids = token_ids(hashes, shape, vocabulary)
-        for c in range(a, b, 1024):
-            d = min(c + 1024, b)
-            lo, hi = first[c - a], first[d - a]
-            lengths = np.diff(first[c - a : d - a + 1])
-            row = np.repeat(np.arange(d - c), lengths)
-            counts = np.bincount(row * n + ids[lo:hi], minlength=(d - c) * n).reshape(d - c, n).astype(np.float32)
-            out[c:d, :DIMS] = counts @ vectors / np.maximum(lengths, 1)[:, None]
+            out[a:b, step * DIMS : (step + 1) * DIMS] /= (np.maximum(whole - step, 0) + SHRINK_PAIRS)[:, None]
     return out
 
 
@@ -205,27 +225,36 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = 60) -> tupl
     return mean, scale, w, float(temps[int(np.argmin(loss))])
 
 
+def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vocabulary (sorted token hashes) and unit word vectors of all ids, from all documents."""
+    texts = docs.select("text")
+    top = texts.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(VOCABULARY)
+    vocabulary = np.sort(np.array([r.token for r in top.collect()], np.int64).view(U64))
+    sums = texts.mapInArrow(_contexts(vocabulary), ", ".join(f"{c} long" for c in ("id", *SUMS))).groupBy("id").agg(*[F.sum(c).alias(c) for c in SUMS])
+    got = sums.toPandas()  # one row an id
+    total = np.zeros((len(vocabulary) + SHAPES, DIMS))
+    total[got["id"].to_numpy(int)] = got[SUMS].to_numpy(float)
+    return vocabulary, (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled rows outside the held-out fold."""
     spark = docs.sparkSession
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` ids and labels
-    rows = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality"), "op6")
-    texts = rows.select("text")
-    top = texts.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(VOCABULARY)
-    vocabulary = np.sort(np.array([r.token for r in top.collect()], np.int64).view(U64))
-    parts = texts.coalesce(16).mapInArrow(_contexts(vocabulary), "sums binary").collect()
-    total = sum((np.frombuffer(r.sums, np.float64) for r in parts), np.zeros((len(vocabulary) + SHAPES) * DIMS)).reshape(-1, DIMS)
-    vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    vocabulary, vectors = word_vectors(docs)
     column = spark.sparkContext.broadcast((vocabulary, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pool(batch.column(0), *column.value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], ["y", "h", "t", "x"])
+        give_back()
 
-    got = rows.select("text", F.col("quality").cast("int").alias("y")).mapInArrow(run, "y int, x array<float>").toPandas()
+    # at most ``sample`` ids and labels; of ids that stand on many rows as many rows are taken
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = cut(rows.select("text", F.col("quality").cast("int").alias("y"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")), "op6")
+    got = rows.mapInArrow(run, "y int, h long, t long, x array<float>").orderBy("h", "t").limit(sample).toPandas()
     y = got["y"].to_numpy() if len(got) else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return Model(vocabulary, vectors, np.zeros(WIDTH), np.ones(WIDTH), [], 1.0, float(y.mean()) if len(y) else 0.5)
@@ -237,14 +266,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1; all other columns stay as they are."""
-    if out in docs.columns:
-        raise ValueError(f"the column {out} exists already")
+    if out == text:
+        raise ValueError(f"{out} is the column of the texts")
+    docs = docs.drop(out)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = held.value.scores(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.astype(np.float64))], [*batch.schema.names, out])
+        give_back()
 
     return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.5)).schema)
 

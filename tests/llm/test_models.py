@@ -40,8 +40,10 @@ def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.documents_report(frame(spark, rows), none).collect()} == {0.5}
     assert quality.documents_report(frame(spark, []), none).count() == 0
+    clash = quality.score(frame(spark, rows), quality.fit(frame(spark, rows), none), out="lang")
+    assert {r.lang for r in clash.collect()} == {0.5} and sorted(clash.columns) == sorted(frame(spark, rows).columns)
     with pytest.raises(ValueError):
-        quality.score(frame(spark, rows), quality.fit(frame(spark, rows), none), out="lang")
+        quality.score(frame(spark, rows), quality.fit(frame(spark, rows), none), out="text")
 
 
 def test_held_out_fold_is_crc32(spark):
