@@ -1,17 +1,19 @@
 """Operator 10: language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads runs of visible bytes (at most ``PIECE`` bytes; longer runs are read in
-pieces), once forwards and once backwards, and labels every byte. A document's
-probabilities are the means over all byte positions of its whole text. The state starts
-anew with each run, so equal runs have equal labels and each distinct run of a batch is
-read once. Training is backpropagation through time in numpy.
+The network reads the whole text, blanks too, once forwards and once backwards, and labels
+every byte. Long texts are read in windows that overlap: each labels ``CORE`` bytes and has
+read ``CONTEXT`` bytes more on either side before; all cuts are at the ends of characters. A
+document's probabilities are the means over all byte positions. Training is
+backpropagation through time in numpy. The squashing function is x / (1 + |x|).
 
-Bounds: fitted on at most ``documents`` documents outside the held-out fold, drawn by a
-hash of their id, and at most ``runs`` runs of each, drawn by a hash of the run. Scoring
-reads every document.
+Bounds: fitted on at most ``documents`` documents with a language outside the held-out
+fold, an equal number of each language (but one at least), drawn by a hash of their id, and
+at most ``WINDOWS`` windows of ``READ`` bytes of each; with ids that stand on several rows
+as many rows are drawn. Scoring reads every document.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; with a
-single language in the sample that one has score 1; without any, all are ``und``.
+single language in the sample that one has score 1; without any, all are ``und``. Repeated
+rows each have a row. An input column with the name of an output column is replaced.
 """
 
 from __future__ import annotations
@@ -21,43 +23,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracause.llm.quality import held_out
-from terracause.llm.shared import cut
-from terracause.llm.textvec import U64, WHITE, buffers, slices, span_hashes, word_spans
-from terracause.llm.vocab import text_array
+from terracause.llm.shared import cut, fresh, give_back
+from terracause.llm.textvec import buffers, slices
 
 DOCUMENTS = 3_000
-RUNS = 48
-PIECE = 24
-UNITS = 16
-EMBED = 12
-STEPS = 700
-BATCH = 256
-#: Bytes of text whose distinct runs are read together.
-SLICE = 8 << 20
+WINDOWS = 4
+#: Bytes of a training window.
+READ = 64
+CORE = 448
+CONTEXT = 32
+UNITS = 8
+EMBED = 8
+STEPS = 300
+BATCH = 128
+#: Windows that are read side by side, and bytes of text whose windows are found together.
+ROWS = 1024
+SLICE = 2 << 20
 #: No letter at all, or no text.
 UNDETERMINED = "und"
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
-    """Pieces of the runs of visible bytes, as raw bytes, and for each row the index of its first piece."""
-    starts, ends, first = word_spans(data, offsets)
-    pieces = np.maximum(1, -(-(ends - starts) // PIECE))
-    total = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(pieces, out=total[1:])
-    nth = np.arange(total[-1]) - np.repeat(total[:-1], pieces)
-    begin = np.repeat(starts, pieces) + nth * PIECE
-    stop = np.minimum(begin + PIECE, np.repeat(ends, pieces))
-    strings = text_array(data[~WHITE[data]], np.cumsum(stop - begin))
-    binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(strings), strings.buffers())
-    return binary, total[first]
+def squash(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    below = np.abs(x)
+    below += 1
+    x /= below
+    return x
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Along the first axis."""
+    e = np.exp(x - x.max(0))
+    e /= e.sum(0)
+    return e
 
 
 def start_weights(classes: int, seed: int = 3) -> dict[str, np.ndarray]:
@@ -69,66 +71,58 @@ def start_weights(classes: int, seed: int = 3) -> dict[str, np.ndarray]:
     return w
 
 
-def read(w: dict[str, np.ndarray], way: str, codes: np.ndarray, keep: bool = False):
-    """States (length x rows x UNITS) of one direction over equally long runs; with ``keep`` what the way back needs."""
-    n, length = codes.shape
-    table = w["embed"] @ w[f"{way}_in"] + w[f"{way}_bias"]
-    rec = w[f"{way}_rec"]
-    h = np.zeros((n, UNITS), np.float32)
-    states, kept = np.empty((length, n, UNITS), np.float32), []
-    u = UNITS
-    for t in range(length) if way == "f" else range(length - 1, -1, -1):
-        x, r = table[codes[:, t]], h @ rec
-        gates = sigmoid(x[:, : 2 * u] + r[:, : 2 * u])
-        z, reset = gates[:, :u], gates[:, u:]
-        new = np.tanh(x[:, 2 * u :] + reset * r[:, 2 * u :])
-        if keep:
-            kept.append((t, h, z, reset, new, r[:, 2 * u :]))
-        h = new + z * (h - new)
-        states[t] = h
-    return (states, kept) if keep else states
-
-
-def label(w: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
-    """Class probabilities of every position (length x rows x classes)."""
-    both = np.concatenate([read(w, "f", codes), read(w, "b", codes)], axis=2)
-    return softmax(both @ w["out"] + w["bias"])
+def inputs(w: dict[str, np.ndarray], way: str) -> np.ndarray:
+    """What each of the 256 bytes adds to the gates and the new state (3 units x 256)."""
+    return np.ascontiguousarray((w["embed"] @ w[f"{way}_in"] + w[f"{way}_bias"]).T)
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+def step(x: np.ndarray, h: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step for all rows (units x rows): state, gates, new state, and the recurrent part of the latter."""
+    u = len(h)
+    r = rec @ h
+    gates = squash(x[: 2 * u] + r[: 2 * u])
+    gates += 1
+    gates *= 0.5
+    new = squash(x[2 * u :] + gates[u:] * r[2 * u :])
+    after = h - new
+    after *= gates[:u]
+    after += new
+    return after, gates, new, r[2 * u :]
 
 
 def gradients(w: dict[str, np.ndarray], codes: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross-entropy over all positions and its gradients, by backpropagation through time."""
     n, length = codes.shape
-    states, kept = {}, {}
-    for way in "fb":
-        states[way], kept[way] = read(w, way, codes, keep=True)
-    both = np.concatenate([states["f"], states["b"]], axis=2)
-    p = softmax(both @ w["out"] + w["bias"])
-    loss = -float(np.log(p[:, np.arange(n), y] + 1e-9).mean())
-    d = p.copy()
-    d[:, np.arange(n), y] -= 1
-    d /= n * length
+    states, kept = np.empty((2 * UNITS, length, n), np.float32), {"f": [], "b": []}
+    for way, place, order in (("f", slice(0, UNITS), range(length)), ("b", slice(UNITS, None), range(length - 1, -1, -1))):
+        table, rec, h = inputs(w, way), np.ascontiguousarray(w[f"{way}_rec"].T), np.zeros((UNITS, n), np.float32)
+        for t in order:
+            after, gates, new, rn = step(table[:, codes[:, t]], h, rec)
+            kept[way].append((t, h, gates, new, rn))
+            states[place, t] = h = after
+    flat = states.reshape(2 * UNITS, -1)
+    p = softmax((w["out"].T @ flat).reshape(-1, length, n) + w["bias"][:, None, None])
+    loss = -float(np.log(p[y, :, np.arange(n)] + 1e-9).mean())
+    p[y, :, np.arange(n)] -= 1
+    d = p.reshape(len(p), -1) / (n * length)
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    g["out"] = both.reshape(-1, 2 * UNITS).T @ d.reshape(-1, d.shape[2])
-    g["bias"] = d.sum((0, 1))
-    back = d @ w["out"].T
-    for way, part in (("f", back[:, :, :UNITS]), ("b", back[:, :, UNITS:])):
-        dh, rec = np.zeros((n, UNITS), np.float32), w[f"{way}_rec"]
-        dtable = np.zeros((256, 3 * UNITS), np.float32)
-        for t, h, z, reset, new, rn in reversed(kept[way]):
-            dh = dh + part[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h - new) * z * (1 - z)
-            dr = dnew * rn * reset * (1 - reset)
-            dx = np.concatenate([dz, dr, dnew], axis=1)
-            drec = np.concatenate([dz, dr, dnew * reset], axis=1)
-            np.add.at(dtable, codes[:, t], dx)
-            g[f"{way}_rec"] += h.T @ drec
-            dh = dh * z + drec @ rec.T
+    g["out"], g["bias"] = flat @ d.T, d.sum(1)
+    back = (w["out"] @ d).reshape(2 * UNITS, length, n)
+    for way, part in (("f", back[:UNITS]), ("b", back[UNITS:])):
+        dh, rec = np.zeros((UNITS, n), np.float32), w[f"{way}_rec"]
+        seen, flows = [], []
+        for t, h, gates, new, rn in reversed(kept[way]):
+            z, reset = gates[:UNITS], gates[UNITS:]
+            dh = dh + part[:, t]
+            dnew = dh * (1 - z) * (1 - np.abs(new)) ** 2
+            dgates = np.concatenate([dh * (h - new), dnew * rn]) * (0.5 * (1 - np.abs(2 * gates - 1)) ** 2)
+            drec = np.concatenate([dgates, dnew * reset])
+            seen.append(codes[:, t])
+            flows.append(np.concatenate([dgates, dnew]))
+            g[f"{way}_rec"] += h @ drec.T
+            dh = dh * z + rec @ drec
+        flow, code = np.concatenate(flows, axis=1), np.concatenate(seen)
+        dtable = np.stack([np.bincount(code, line, 256) for line in flow], axis=1).astype(np.float32)
         g[f"{way}_in"] = w["embed"].T @ dtable
         g[f"{way}_bias"] = dtable.sum(0)
         g["embed"] += dtable @ w[f"{way}_in"].T
@@ -136,7 +130,7 @@ def gradients(w: dict[str, np.ndarray], codes: np.ndarray, y: np.ndarray) -> tup
 
 
 def train(pieces: list[bytes], y: np.ndarray, classes: int, steps: int = STEPS, seed: int = 5) -> dict[str, np.ndarray]:
-    """Adam over batches of equally long runs; each length is drawn by its share of bytes."""
+    """Adam over batches of equally long windows; each length is drawn by its share of bytes."""
     rng = np.random.default_rng(seed)
     w = start_weights(classes)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
@@ -151,7 +145,7 @@ def train(pieces: list[bytes], y: np.ndarray, classes: int, steps: int = STEPS,
         codes = np.frombuffer(b"".join(pieces[i] for i in rows), np.uint8).reshape(-1, n)
         _, g = gradients(w, codes, y[rows])
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-        rate = 0.01 * min(1.0, 2 * (1 - t / (steps + 1)) + 0.05)
+        rate = 0.02 * min(1.0, 2 * (1 - t / (steps + 1)) + 0.05)
         for k in w:
             grad = g[k] * min(1.0, 1.0 / (norm + 1e-9))
             m[k] = 0.9 * m[k] + 0.1 * grad
@@ -160,6 +154,50 @@ def train(pieces: list[bytes], y: np.ndarray, classes: int, steps: int = STEPS,
     return w
 
 
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of all rows: row, and the bytes that each reads (from, to) and labels (from, to).
+
+    The labelled parts of a row's windows follow each other and are the whole row.
+    """
+    tail = np.append((data & 0xC0) == 0x80, [False] * 4)
+    size = np.diff(offsets)
+    pieces = -(-size // CORE)
+    row = np.repeat(np.arange(len(size)), pieces)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, end = offsets[:-1][row], offsets[1:][row]
+    first, last = begin + nth * CORE, np.minimum(begin + (nth + 1) * CORE, end)
+    left, right = np.maximum(first - CONTEXT, begin), np.minimum(last + CONTEXT, end)
+    for _ in range(3):  # a character has three more bytes at most
+        first += tail[first] & (first < end) & (nth > 0)
+        last += tail[last] & (last < end)
+        right += tail[right] & (right < end)
+        left -= tail[left] & (left > begin)
+    return row, left, right, first, last
+
+
+def label(w: dict[str, np.ndarray], data: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Class probabilities (classes x longest x rows) of the bytes from ``left`` to ``right``; rows from the longest on."""
+    size = right - left
+    longest, n = int(size[0]), len(size)
+    active = np.searchsorted(-size, -np.arange(longest), side="left").tolist()
+    out = np.zeros((len(w["bias"]), longest, n), np.float32)
+    for way in "fb":
+        table, rec, h = inputs(w, way), np.ascontiguousarray(w[f"{way}_rec"].T), np.zeros((UNITS, n), np.float32)
+        share = np.ascontiguousarray((w["out"][:UNITS] if way == "f" else w["out"][UNITS:]).T)
+        for t, k in enumerate(active):
+            if k < h.shape[1]:
+                h = np.ascontiguousarray(h[:, :k])
+            at = left[:k] + t if way == "f" else right[:k] - 1 - t
+            h = step(table.take(data[at], axis=1), h, rec)[0]
+            if way == "f":
+                out[:, t, :k] = share @ h
+            elif size[k - 1] == longest:
+                out[:, longest - 1 - t, :k] += share @ h
+            else:
+                out[:, size[:k] - 1 - t, np.arange(k)] += share @ h
+    return softmax(out + w["bias"][:, None, None])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -174,65 +212,64 @@ class Model:
             return out
         data, offsets = buffers(column)
         for a, b in slices(offsets, SLICE):
-            found, first = runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            coded = found.dictionary_encode()
-            raw, at = _bytes(coded.dictionary)
-            sizes, sums = np.diff(at), np.zeros((len(at) - 1, k))
-            for n in np.unique(sizes):
-                rows = np.flatnonzero(sizes == n)
-                for c in range(0, len(rows), 4096):
-                    some = rows[c : c + 4096]
-                    sums[some] = label(self.weights, raw[at[some][:, None] + np.arange(n)]).sum(0)
-            use = coded.indices.to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(b - a), np.diff(first))
-            positions = np.maximum(np.bincount(row, sizes[use], b - a), 1)
-            for j in range(k):
-                out[a:b, j] = np.bincount(row, sums[use, j], b - a) / positions
+            part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            row, left, right, first, last = windows(part, at)
+            order = np.argsort(left - right, kind="stable")
+            sums = np.zeros((b - a, k))
+            for c in range(0, len(order), ROWS):
+                some = order[c : c + ROWS]
+                p = label(self.weights, part, left[some], right[some])
+                place = np.arange(p.shape[1])[:, None]
+                p *= (place >= first[some] - left[some]) & (place < last[some] - left[some])
+                np.add.at(sums, row[some], p.sum(1).T)
+            out[a:b] = sums / np.maximum(np.diff(at), 1)[:, None]
         return out
 
 
-def _bytes(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    return buffers(pa.LargeStringArray.from_buffers(len(column), *column.buffers()[1:3]))
-
-
-def _sample(batches: Iterator[pa.RecordBatch], most: int = RUNS) -> Iterator[pa.RecordBatch]:
-    """Of each document the distinct runs with the smallest hashes."""
+def _sample(batches: Iterator[pa.RecordBatch], most: int = WINDOWS, read: int = READ) -> Iterator[pa.RecordBatch]:
+    """Of each document ``most`` windows, evenly spread, cut at the ends of characters."""
     for batch in batches:
         data, offsets = buffers(batch.column(0))
-        found, first = runs(data, offsets)
-        raw, at = _bytes(found)
-        hashes = span_hashes(raw, at[:-1], at[1:]) if len(found) else np.zeros(0, U64)
-        plain, languages = found.to_pylist(), batch.column(1).to_pylist()
-        pieces, said = [], []
-        for i, language in enumerate(languages):
-            _, some = np.unique(hashes[first[i] : first[i + 1]], return_index=True)
-            pieces += [plain[first[i] + j] for j in some[:most]]
-            said += [language] * len(some[:most])
-        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array(said, pa.string())], ["piece", "lang"])
+        tail = (data & 0xC0) == 0x80
+        pieces = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            found = []
+            for start in np.unique(np.linspace(a, max(a, b - read), most).astype(int)).tolist():
+                while start < b and tail[start]:
+                    start += 1
+                piece = data[start : min(start + read, b)].tobytes()
+                if piece:
+                    found.append(piece)
+            pieces.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.list_(pa.binary())), *batch.columns[1:]], ["pieces", *batch.schema.names[1:]])
 
 
 def fit(docs: DataFrame, documents: int = DOCUMENTS) -> Model:
-    """Learn from at most ``documents`` documents with a language outside the held-out fold."""
-    known = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    languages = sorted(r.lang for r in known.select("lang").distinct().limit(1000).collect())
+    """Learn from at most ``documents`` documents with a language outside the held-out fold, as many of each language."""
+    known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+    # as many rows as there are languages: the classes of the model
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     if len(languages) < 2:
         return Model(languages, None)
-    # at most ``documents`` ids
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    rows = cut(known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("text", "lang"), "op10")
-    got = rows.mapInArrow(_sample, "piece binary, lang string").toPandas().sort_values(["lang", "piece"], ignore_index=True)
+    each = max(1, documents // len(languages))
+    number = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    drawn = number(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.select("lang", "doc_id").distinct().withColumn("_n", drawn).where(F.col("_n") <= each).drop("_n")
+    # ``each`` ids a language; of ids that stand on many rows as many rows are taken
+    rows = cut(known.join(F.broadcast(chosen), ["lang", "doc_id"]).select("text", "lang", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t")), "op10")
+    some = rows.mapInArrow(_sample, "pieces array<binary>, lang string, _h long, _t long").withColumn("_n", number("_h", "_t")).where(F.col("_n") <= each)
+    got = some.select(F.explode("pieces").alias("piece"), "lang").toPandas().sort_values(["lang", "piece"], ignore_index=True)
+    if not len(got):
+        return Model(languages, None)
     y = got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
     return Model(languages, train([bytes(p) for p in got["piece"]], y, len(languages)))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score (the pooled probability); all other columns stay as they are."""
-    for name in ("lang_pred", "score"):
-        if name in docs.columns:
-            raise ValueError(f"the column {name} exists already")
+def identify(docs: DataFrame, model: Model, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its pooled probability; all other columns stay as they are."""
+    docs = docs.drop(lang_pred, score)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    letters = "_has_letter"
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = docs.withColumns({lang_pred: F.lit(""), score: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,10 +280,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             choice = np.array([*held.value.languages, UNDETERMINED], object)
             none = ~has.astype(bool) | (not held.value.languages)
             said = choice[np.where(none, len(choice) - 1, best)]
-            score = np.where(none, 0.0, p[np.arange(len(p)), best])
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(said, pa.string()), pa.array(np.clip(score, 0, 1))], [*names, "lang_pred", "score"])
+            found = np.where(none, 0.0, p[np.arange(len(p)), best])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(said, pa.string()), pa.array(np.clip(found, 0, 1))], [*names, lang_pred, score])
+        give_back()
 
-    return docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return docs.withColumn(fresh(docs, "_has_letter"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
 
 
 def documents_report(docs: DataFrame) -> DataFrame:
