@@ -1,7 +1,8 @@
 """Operator 7: exact Jaccard join on 5-word shingles by a grouped prefix join.
 
-1. Each document becomes the set of hashes of its distinct shingles. Equal sets are one
-   set from here on (its key is a hash of the set).
+1. Each document becomes the set of 64-bit hashes of its distinct shingles; results are
+   exact but for shingles with equal hashes. Equal sets are one set from here on (its key
+   is a hash of the set).
 2. Shingles meet by hash. One that stands in a single set can't be part of any overlap,
    so only shared shingles go on, with the number of sets that hold them. A set with
    fewer than 75 % of its shingles shared has no partner and leaves.
@@ -14,8 +15,10 @@
 A shingle that a large group of near copies shares would make all pairs of them. As the
 result is who is connected to whom, a pair need be verified only while its sets are in
 different components: rounds compare the groups of each shingle with one pivot, which
-connects most of them; then every pair of groups that still spans components is
-expanded. No link between components is left out.
+connects most of them; then every pair of groups that still spans components, and whose
+sizes are near enough, is expanded. No link between components is left out. What is
+left in the worst case is many groups of one size that share their rarest shared shingles
+and aren't linked: their pairs are compared.
 
 Defined cases: a null or wordless text has the empty set and is linked with nothing;
 texts of under five words have one shingle, all their words; equal texts are linked; a
@@ -32,15 +35,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracause.llm.components import components
-from terracause.llm.shared import cut, partitions
+from terracause.llm.components import components, join_spread
+from terracause.llm.shared import cut, drop, give_back, partitions
 from terracause.llm.textvec import U64, mix64, text_shingles
 
 WORDS = 5
 PERCENT = 75
 #: Pivot rounds end early once all pairs of groups left would be under this many times the postings.
 ALL_PAIRS = 1
-MOST_ROUNDS = 3
+MOST_ROUNDS = 12
+#: They also end when a round leaves more than this share of the pairs of the round before.
+SLOW = 0.8
+#: Bytes of text for each part of the shingles at least.
+PART_BYTES = 32 << 20
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -57,80 +64,173 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, flat, n, keys
 
 
-def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and set_key of every document."""
+#: Rows of one slice at most, so that two bytes name a set of it.
+ROWS = 50_000
+SEVERAL = 0xFFFF
+#: Kinds of rows behind the shuffle: a shingle of one set of a slice or of several (then without an owner), the owners of the latter, documents.
+POSTING, OWNERS, DOCUMENT = 0, 1, 2
+_BLOBS = "part int, slice long, kind int, data binary"
+_ROWS = "kind int, slice long, owner int, token long, times int, set_key long, doc_id long, n_shingles long"
+_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
+
+
+def _postings(words: int, parts: int):
+    """Each slice of texts sends every distinct shingle once to its part; owners of those in several sets, and documents, pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, _, n, keys in _sets(batch.column(1), words):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(keys.view(np.int64))], ["doc_id", "n_shingles", "set_key"])
+        from pyspark import TaskContext
+
+        place = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                for a, b, flat, n, keys in _sets(batch.column(1), words):
+                    _, once, owner = np.unique(keys, return_index=True, return_inverse=True)
+                    keep = np.zeros(len(keys), bool)
+                    keep[once] = True
+                    keep &= n > 0
+                    tokens, holder = flat[np.repeat(keep, n)], np.repeat(owner.ravel()[keep], n[keep])
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, holder = tokens[order], holder[order]
+                    first = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
+                    counts = np.diff(first, append=len(tokens))
+                    several = counts > 1
+                    named = np.where(several, SEVERAL, holder[first]).astype("<u2")
+                    token = tokens[first]
+                    part = (token % U64(parts)).astype(np.int32)
+                    order = np.argsort(part, kind="stable")
+                    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+                    filled = np.flatnonzero(np.diff(bounds))
+                    blobs = []
+                    for p in filled:
+                        some = order[bounds[p] : bounds[p + 1]]
+                        blobs.append(np.array([len(some)], "<i8").tobytes() + _steps(token[some] // U64(parts)) + named[some].tobytes() + counts[some][several[some]].astype("<u4").tobytes())
+                    held = np.repeat(several, counts)
+                    owners = np.array([several.sum()], "<i8").tobytes() + token[several].tobytes() + counts[several].astype("<u4").tobytes() + holder[held].astype("<u2").tobytes()
+                    ids = batch.column(0).slice(a, b - a)
+                    documents = b"".join(
+                        [np.array([b - a], "<i8").tobytes(), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), n.astype("<i8").tobytes(), keys.tobytes(), owner.ravel().astype("<u2").tobytes()]
+                    )
+                    k, by = len(filled), (place * 0x9E3779B97F4A7C15 >> 20) % parts
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([*filled.tolist(), by, by], pa.int32()),
+                            pa.array([place] * (k + 2), pa.int64()),
+                            pa.array([POSTING] * k + [OWNERS, DOCUMENT], pa.int32()),
+                            pa.array([*blobs, owners, documents], pa.binary()),
+                        ],
+                        ["part", "slice", "kind", "data"],
+                    )
+                    place += 1
+        give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key long")
+    return run
 
 
-def _postings(words: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, flat, n, keys in _sets(batch.column(0), words):
-                _, once = np.unique(keys, return_index=True)
-                keep = np.zeros(len(keys), bool)
-                keep[once] = True
-                flat, n, keys = flat[np.repeat(keep, n)], n[keep], keys[keep]
-                part = (flat % U64(parts)).astype(np.uint32)
-                order = np.argsort(part, kind="stable")
-                owner = np.repeat(np.arange(len(n), dtype=np.int64), n)[order]
-                token = np.ascontiguousarray(flat[order] >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-                bounds = np.searchsorted(part[order], np.arange(parts + 1))
-                filled = np.flatnonzero(np.diff(bounds))
-                blobs = []
-                for p in filled:
-                    lo, hi = bounds[p], bounds[p + 1]
-                    some, counts = np.unique(owner[lo:hi], return_counts=True)
-                    blobs.append(np.array([len(some)], "<i8").tobytes() + keys[some].tobytes() + counts.astype("<u4").tobytes() + token[lo:hi].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "sets"])
+#: A step that takes more than six bytes.
+_LARGE = (1 << 48) - 1
+
+
+def _steps(rising: np.ndarray) -> bytes:
+    """Rising numbers as the steps between them: six bytes each, larger ones apart."""
+    step = np.diff(rising, prepend=U64(0))
+    large = step >= U64(_LARGE)
+    return np.where(large, U64(_LARGE), step).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + step[large].tobytes()
+
+
+class _Reader:
+    def __init__(self, raw: memoryview):
+        self.raw, self.at = raw, 0
+
+    def take(self, kind: str, n: int) -> np.ndarray:
+        out = np.frombuffer(self.raw, kind, n, self.at)
+        self.at += out.nbytes
+        return out
+
+    def steps(self, n: int) -> np.ndarray:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :6] = self.take(np.uint8, 6 * n).reshape(-1, 6)
+        step = wide.view(U64).ravel()
+        large = step == U64(_LARGE)
+        step[large] = self.take("<u8", int(large.sum()))
+        return np.cumsum(step, dtype=U64)
+
+
+def _shared(parts: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Shingles of one part that two sets or more hold, with their number of sets; the other rows as they came."""
+        out, tokens, slices_, owners, counts = [], [], [], [], []
+        part = key[0].as_py()
+        for kind, place, raw in zip(table["kind"].to_pylist(), table["slice"].to_pylist(), table["data"], strict=True):
+            r = _Reader(memoryview(raw.as_buffer()))
+            n = int(r.take("<i8", 1)[0])
+            if kind == POSTING:
+                tokens.append(r.steps(n))
+                owners.append(r.take("<u2", n).astype(np.int32))
+                many = np.ones(n, np.int64)
+                many[owners[-1] == SEVERAL] = r.take("<u4", int((owners[-1] == SEVERAL).sum()))
+                counts.append(many)
+                slices_.append(np.full(n, place))
+            elif kind == OWNERS:
+                token, many = r.take("<i8", n), r.take("<u4", n)
+                whose = r.take("<u2", int(many.sum()))
+                out.append(_rows(len(whose), kind=OWNERS, slice=place, owner=whose, token=np.repeat(token, many)))
+            else:
+                ids, has = r.take("<i8", n), r.take(np.uint8, n)
+                sizes, keys, whose = r.take("<i8", n), r.take("<i8", n), r.take("<u2", n)
+                out.append(_rows(n, kind=DOCUMENT, slice=place, owner=whose, set_key=keys, doc_id=pa.array(ids, mask=has == 0), n_shingles=sizes))
+        if tokens:
+            token, owner, many, place = np.concatenate(tokens), np.concatenate(owners), np.concatenate(counts), np.concatenate(slices_)
+            order = np.argsort(token, kind="stable")
+            token, owner, many, place = token[order], owner[order], many[order], place[order]
+            first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+            times = np.repeat(np.add.reduceat(many, first), np.diff(first, append=len(token)))
+            some = times > 1
+            owner = np.where(owner == SEVERAL, -1, owner)[some]
+            full = (token[some] * U64(parts) + U64(part)).view(np.int64)
+            out.append(_rows(int(some.sum()), kind=POSTING, slice=place[some], owner=owner, token=full, times=np.minimum(times[some], (1 << 31) - 1)))
+        give_back()
+        return pa.concat_tables(out)
 
     return run
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """Shingles of one part that two sets or more hold, with their number of sets."""
-    keys, counts, tokens = [], [], []
-    for raw in table["sets"].to_pylist():
-        k = int(np.frombuffer(raw, "<i8", 1)[0])
-        keys.append(np.frombuffer(raw, U64, k, 8))
-        counts.append(np.frombuffer(raw, "<u4", k, 8 + 8 * k).astype(np.int64))
-        wide = np.zeros((int(counts[-1].sum()), 8), np.uint8)
-        wide[:, :5] = np.frombuffer(raw, np.uint8, 5 * len(wide), 8 + 12 * k).reshape(-1, 5)
-        tokens.append(wide.view(U64).ravel())
-    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
-    _, once = np.unique(all_keys, return_index=True)
-    keep = np.zeros(len(all_keys), bool)
-    keep[once] = True
-    token = np.concatenate(tokens)[np.repeat(keep, all_counts)]
-    owner = np.repeat(np.arange(keep.sum()), all_counts[keep])
-    all_keys = all_keys[keep]
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    run = np.cumsum(new) - 1
-    times = np.bincount(run)[run]
-    several = times > 1
-    named = ((U64(key[0].as_py()) << U64(40)) | token[several]).view(np.int64)
-    return pa.table({"set_key": pa.array(all_keys[owner[several]].view(np.int64)), "token": pa.array(named), "times": pa.array(times[several].astype(np.int32))})
-
-
-def candidate_sets(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _rows(n: int, **given) -> pa.Table:
+    """Columns of ``_ROWS``; a number stands for all rows, and what isn't given is null."""
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    cols = []
+    for name, kind in (x.split() for x in _ROWS.split(", ")):
+        v = given.get(name)
+        v = pa.nulls(n, types[kind]) if v is None else pa.array(np.full(n, v)) if isinstance(v, int) else v if isinstance(v, pa.Array) else pa.array(v)
+        cols.append(v.cast(types[kind]))
+    return pa.Table.from_arrays(cols, _NAMES)
+
+
+def shingle_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Documents with their set keys, and the shingles that several sets hold: one reading of the texts, one shuffle.
+
+    Parts grow with the table, so that the shingles of one part fit in a task; a shingle has
+    one entry a slice of texts there, however many documents hold it.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark), size // PART_BYTES)
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_postings(words, parts), _BLOBS)
+    return cut(sent.groupBy("part").applyInArrow(_shared(parts), _ROWS), "op7-shingles")
+
+
+def candidate_sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """set_key, n, tokens (shared shingles, rarest first), prefix length and share of lone shingles of the sets that can have a partner."""
-    parts = partitions(docs.sparkSession)
-    postings = docs.select("text").mapInArrow(_postings(words, parts), "part int, sets binary")
-    shared = postings.groupBy("part").applyInArrow(_shared, "set_key long, token long, times int")
-    each = shared.groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("x"))
-    sizes = sets.groupBy("set_key").agg(F.first("n_shingles").alias("n"))
-    rows = each.join(sizes, "set_key").where(100 * F.size("x") >= percent * F.col("n"))
+    found = rows.where(F.col("kind") == POSTING)
+    several = rows.where(F.col("kind") == OWNERS).select("slice", "owner", "token").join(found.where("owner < 0").select("slice", "token", "times"), ["slice", "token"])
+    every = found.where("owner >= 0").select("slice", "owner", "token", "times").unionByName(several)
+    each = every.groupBy("slice", "owner").agg(F.collect_list(F.struct("times", "token")).alias("x"))
+    # equal sets of several slices are one set
+    one = rows.where((F.col("kind") == DOCUMENT) & (F.col("n_shingles") > 0)).groupBy("set_key").agg(F.min(F.struct("slice", "owner")).alias("p"), F.first("n_shingles").alias("n"))
+    sets = each.join(one.select("set_key", "n", "p.slice", "p.owner"), ["slice", "owner"]).where(100 * F.size("x") >= percent * F.col("n"))
     # of n shingles, a partner shares ceil(percent n / 100) at least; lone ones come first in the order
     need = F.ceil(percent * F.col("n") / 100)
-    kept = rows.select("set_key", "n", F.col("x.token").alias("tokens"), (F.size("x") - need + 1).cast("int").alias("prefix"), (1 - F.size("x") / F.col("n")).alias("lone"))
+    kept = sets.select("set_key", "n", F.sort_array("x")["token"].alias("tokens"), (F.size("x") - need + 1).cast("int").alias("prefix"), (1 - F.size("x") / F.col("n")).alias("lone"))
     return cut(kept, "op7-sets")
 
 
@@ -160,7 +260,7 @@ def linked_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     posting = cut(every.join(least, "token").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("_n"))).drop("_n", "_k"), "op7-postings")
     labels = member.select("set_key", F.col("set_key").alias("comp"))
     known = posting.withColumns({"low": F.col("set_key"), "high": F.col("set_key")})
-    count = posting.count()
+    count, work = posting.count(), None
     for number in range(MOST_ROUNDS):
         # the set with the smallest share of lone shingles is the nearest to the rest; later rounds draw
         rank = F.col("lone") if number == 0 else F.xxhash64("set_key", F.lit(number)).cast("double")
@@ -170,15 +270,19 @@ def linked_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         if number == 0:
             pairs = pairs.unionByName(member.where("set_key <> rep").select(F.col("rep").alias("a"), F.col("set_key").alias("b")))
         labels = _joined(labels, verified(pairs, sets, percent))
+        if number:
+            drop(known)
         known = _known(posting, member, labels)
         spans = cut(_spanning(known), "op7-spans")
-        work = spans.agg(F.sum(F.col("few") * F.col("all"))).first()[0] or 0
-        if work <= ALL_PAIRS * count:
+        before, work = work, spans.agg(F.sum(F.col("few") * F.col("all"))).first()[0] or 0
+        if work <= ALL_PAIRS * count or (before is not None and work > SLOW * before):
             break
-    side = lambda x: known.select("token", F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"), F.col("low").alias(f"low{x}"), F.col("high").alias(f"high{x}"))
-    few = side("1").join(spans.select("token", "mode"), "token").where("low1 <> mode or high1 <> mode")
+    # sets that can be linked are within a quarter of each other's size: their bands of sizes are one apart at most
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    side = lambda x: known.select("token", band.alias("band"), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"), F.col("low").alias(f"low{x}"), F.col("high").alias(f"high{x}"))
+    few = side("1").join(spans.select("token", "mode"), "token").where("low1 <> mode or high1 <> mode").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     spanning = (F.least("low1", "low2") != F.greatest("high1", "high2")) & _fits("n1", "s1", "n2", "s2", percent)
-    groups = few.join(side("2"), "token").where(spanning & (F.col("g1") != F.col("g2"))).select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct()
+    groups = few.join(side("2"), ["token", "band"]).where(spanning & (F.col("g1") != F.col("g2"))).select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct()
     of = member.select("group", "set_key").join(labels, "set_key")
     inside = of.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("group").alias("g1"), F.col("group").alias("g2"))
     groups = cut(groups.unionByName(inside), "op7-groups")
@@ -194,7 +298,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = cut(links, "op7-links")
     of = lambda x: labels.select(F.col("set_key").alias(x), F.col("comp").alias(f"c{x}"))
     over = components(ends.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    moved = labels.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
+    moved = join_spread(labels, over.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp")
     return cut(moved.select("set_key", F.coalesce("root", "comp").alias("comp")), "op7-labels")
 
 
@@ -215,10 +319,10 @@ def _spanning(known: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
-    rows = cut(document_sets(docs, words), "op7-docs")
-    sets = candidate_sets(docs, rows.where("n_shingles > 0"), words, percent)
-    labels = linked_components(sets, percent)
-    whole = rows.where("n_shingles > 0").join(labels, "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    least = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    found = whole.join(least, "comp").select("doc_id", "n_shingles", "component_id")
+    table = shingle_table(docs, words)
+    rows = table.where(F.col("kind") == DOCUMENT).select("doc_id", "n_shingles", "set_key")
+    labels = linked_components(candidate_sets(table, percent), percent)
+    whole = rows.where("n_shingles > 0").join(labels, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "set_key").alias("comp"))
+    whole = cut(whole, "op7-whole")
+    found = join_spread(whole, whole.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
