@@ -8,7 +8,9 @@ universal hashes finds first (optimal densification). Of each bin only the lowes
 
 Defined cases: a null or wordless text has the empty fingerprint; two empty ones are
 alike 1.0, an empty and another one 0.0. Equal texts have equal fingerprints. Repeated
-rows and ids each give their own row. Extra columns are ignored by ``documents_report``.
+rows and ids each give their own row; rows of one id are ordered by a hash of their text,
+and null ids come last. Extra columns are ignored by ``documents_report``; ``fingerprint``
+replaces a column with the name of its output. A very long text is one row of a task.
 """
 
 from __future__ import annotations
@@ -103,8 +105,9 @@ def unpacked(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``df`` with a fingerprint column; any other columns stay as they are."""
-    if out in df.columns:
-        raise ValueError(f"the column {out} exists already")
+    if out == text:
+        raise ValueError(f"{out} is the column of the texts")
+    df = df.drop(out)
     schema = df.withColumn(out, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,23 +182,20 @@ def documents_report(docs: DataFrame) -> DataFrame:
     """Fingerprint of each text and of its edited form, and their likenesses.
 
     The edited form replaces the last floor(n/2) code points by the first as many of the
-    next document in descending doc_id (after the last: the first). Ties of doc_id are
-    ordered by text; null ids come last. One range shuffle of the texts puts neighbours
-    beside each other; only the two texts at the ends of each range meet again in a small
-    table of one row a range.
+    next document in descending doc_id (after the last: the first). One range shuffle of the
+    texts puts neighbours beside each other; an id on very many rows is spread over ranges by
+    a number of the rows. The texts at the ends of each range meet by the number of the range.
     """
-    binary = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = binary.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text")
-    first = cut(ordered.mapInArrow(_walk, _PASS), "op1")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumns({"_h": F.xxhash64("text"), "_i": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").desc_nulls_last(), F.col("_h"), F.col("_i")]
+    first = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_walk, _PASS), "op1")
     ends = first.where("edge is not null")
-    order = Window.orderBy("edge")
-    pairs = ends.select(
-        "doc_id",
-        F.col("last_text").alias("text"),
-        F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("following"),
-    )
+    # one number a range that has rows
+    numbers = ends.select("edge")
+    after = numbers.select("edge", F.lead("edge").over(Window.orderBy("edge")).alias("_next")).crossJoin(F.broadcast(numbers.agg(F.min("edge").alias("_least"))))
+    pairs = ends.select("edge", "doc_id", F.col("last_text").alias("text")).join(after.select("edge", F.coalesce("_next", "_least").alias("next")), "edge").join(ends.select(F.col("edge").alias("next"), F.col("first_text").alias("following")), "next")
     names = _NAMES[:7]
-    rest = pairs.mapInArrow(_edges, _PASS.split(", edge")[0])
+    rest = pairs.select("doc_id", "text", "following").mapInArrow(_edges, _PASS.split(", edge")[0])
     both = first.where("edge is null").select(*names).unionByName(rest)
     hexed = lambda c: F.lower(F.hex(c)).alias(c)
     return both.select("doc_id", "n_chars", "edited_sha256", hexed("fingerprint"), hexed("edited_fingerprint"), "near_edited", "near_next")
