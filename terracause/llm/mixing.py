@@ -9,11 +9,14 @@ worked out for one period - as many rows as units - and joined to the blocks.
 Documents of a source are taken in the order of a hash of their id. Their number in that
 order comes from two levels of counts, so a source with a third of all rows is spread
 over many tasks. All documents stay: once a source has no whole block left, its slots
-stay empty; ``on_target`` marks the slots before the first empty one.
+stay empty; ``on_target`` marks the slots before the first empty one, and the guarantee
+holds for them.
 
-Defined cases: a null source is a source of its own; a source that the weights don't name
-has one unit; a null doc_id comes first in its source; equal ids follow each other; an
-empty table gives no rows. Extra columns stay.
+Defined cases: all sources that the weights don't name, and null, are one stream of one
+unit; a null doc_id stands anywhere in its source; rows of one id follow each other, but
+where a range of hashes holds over a thousandth of all rows (one id on very many rows) its
+rows are ordered by a number of the rows; an empty table gives no rows. Extra columns
+stay; those with the name of an output column are replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The number of sources that one schedule handles.
-MOST_SOURCES = 10_000
+from terracause.llm.shared import cut
+
+NAMES = ("block", "slot", "position", "on_target")
 #: Rows that a group of one source's hash range holds, about.
 GROUP_ROWS = 2_048
 
@@ -48,42 +52,52 @@ def pattern(units: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, units: dict[str, int], block: int = 64) -> DataFrame:
-    """``docs`` with block, slot, position (its place in the mix, with gaps) and on_target."""
-    for name in ("block", "slot", "position", "on_target"):
-        if name in docs.columns:
-            raise ValueError(f"the column {name} exists already")
-    spark = docs.sparkSession
-    source = F.coalesce(F.col("source"), F.lit("")).alias("_source")
-    counts = {r["_source"]: r["n"] for r in docs.groupBy(source).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    if not counts:
-        return docs.withColumns({"block": F.lit(0).cast("long"), "slot": F.lit(0).cast("long"), "position": F.lit(0).cast("long"), "on_target": F.lit(True)})
+def mix(docs: DataFrame, units: dict[str, int], block: int = 64, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """``docs`` with block, slot, position (its place in the mix, with gaps) and on_target, under ``names``."""
+    spark, docs = docs.sparkSession, docs.drop(*names)
+    rest = ""  # the stream of all sources without a weight
+    while rest in units:
+        rest += "_"
+    source = F.when(F.col("source").isin(*units), F.col("source")).otherwise(F.lit(rest)) if units else F.lit(rest)
+    # one row a weight, and one
+    got = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).collect()
+    if not got:
+        return docs.withColumns({n: F.lit(v).cast(kind) for n, v, kind in zip(names, (0, 0, 0, True), ("long", "long", "long", "boolean"), strict=True)})
+    counts = {r.s: r.n for r in got}
     share = {name: units.get(name, 1) for name in sorted(counts)}
     period, schedule = sum(share.values()), pattern(share)
     slot_of = {(name, i): slot for name, i, slot in schedule}
     whole = {name: n // block for name, n in counts.items()}
     first_empty = min(whole[s] // u * period + slot_of[s, whole[s] % u] for s, u in share.items())
 
-    bits = min(20, max(0, math.ceil(math.log2(max(1, sum(counts.values()) / GROUP_ROWS)))))
-    key = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(-1))
-    keyed = docs.withColumns({"_source": source, "_key": key}).withColumn("_range", F.shiftright("_key", 32 - bits) if bits else F.lit(0).cast("long"))
-    groups = keyed.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = groups.select("_source", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first())
-    numbered = keyed.withColumn("_nth", F.row_number().over(inside)).join(bases, ["_source", "_range"])
-    nth = F.col("_base") + F.col("_nth") - 1
-    own = spark.createDataFrame([(s, i, slot, share[s]) for s, i, slot in schedule], "_source string, _turn long, _at long, _units long")
-    blocks = numbered.withColumn("_seq", nth).withColumn("block", F.floor(F.col("_seq") / block).cast("long"))
-    sizes = spark.createDataFrame(list(share.items()), "_source string, _units long")
-    # one row a source, and one row a unit of weight
-    turned = blocks.join(F.broadcast(sizes), "_source").withColumn("_turn", F.col("block") % F.col("_units"))
-    placed = turned.join(F.broadcast(own.drop("_units")), ["_source", "_turn"])
-    slot = F.floor(F.col("block") / F.col("_units")).cast("long") * period + F.col("_at")
-    out = placed.withColumn("slot", slot).withColumn("position", F.col("slot") * block + F.col("_seq") % block).withColumn("on_target", F.col("slot") < first_empty)
-    return out.select(*docs.columns, "block", "slot", "position", "on_target")
+    total = sum(counts.values())
+    bits = min(20, max(0, math.ceil(math.log2(max(1, total / GROUP_ROWS)))))
+    key = F.conv(F.substring(F.md5(F.col("row.doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    pack = lambda df, number: df.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), number.alias("number"))
+    ranged = lambda df: df.withColumn("key", F.coalesce(key, F.shiftrightunsigned(F.xxhash64("number"), 32))).withColumn("range", F.shiftright("key", 32 - bits) if bits else F.lit(0).cast("long"))
+    keyed = ranged(pack(docs, F.lit(0).cast("long"))).withColumn("part", F.lit(0))
+    # each over a thousandth of all rows: a thousand at most
+    heavy = keyed.groupBy("source", "range").count().where(F.col("count") > max(8 * GROUP_ROWS, total // 1000)).select("source", "range")
+    if any(r.ids < r.n for r in got) or not heavy.isEmpty():
+        # rows have a number of their own, written once
+        numbered = cut(pack(docs, F.monotonically_increasing_id()), "mix")
+        keyed = ranged(numbered)
+        heavy = keyed.groupBy("source", "range").count().where(F.col("count") > max(8 * GROUP_ROWS, total // 1000)).select("source", "range")
+        part = F.when(F.col("hot"), F.pmod(F.xxhash64("number", F.lit(5)), F.lit(1024))).otherwise(0).cast("int")
+        keyed = keyed.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), ["source", "range"], "left").withColumn("part", part)
+    groups = keyed.groupBy("source", "range", "part").agg(F.count("*").alias("n"))
+    # the ranges of a source, then the parts of a range
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = groups.select("source", "range", "part", before(Window.partitionBy("source").orderBy("range", "part")).alias("base"))
+    inside = Window.partitionBy("source", "range", "part").orderBy("key", "row.doc_id", "number")
+    blocks = keyed.withColumn("nth", F.row_number().over(inside)).join(bases, ["source", "range", "part"]).withColumn("seq", F.col("base") + F.col("nth") - 1).withColumn("block", F.floor(F.col("seq") / block).cast("long"))
+    own = spark.createDataFrame([(s, i, slot) for s, i, slot in schedule], "source string, turn long, at long")
+    sizes = spark.createDataFrame(list(share.items()), "source string, units long")
+    # one row a weight, and one row a unit of weight
+    placed = blocks.join(F.broadcast(sizes), "source").withColumn("turn", F.col("block") % F.col("units")).join(F.broadcast(own), ["source", "turn"])
+    slot = F.floor(F.col("block") / F.col("units")).cast("long") * period + F.col("at")
+    out = placed.withColumn("slot", slot).withColumn("position", F.col("slot") * block + F.col("seq") % block).withColumn("on_target", F.col("slot") < first_empty)
+    return out.select("row.*", *[F.col(n).alias(name) for n, name in zip(NAMES, names, strict=True)])
 
 
 def oracle(units: dict[str, int], block: int = 64) -> str:

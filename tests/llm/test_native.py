@@ -57,12 +57,18 @@ def test_mix_keeps_all_and_follows_the_weights(spark):
         assert len(slots[slot]) == 4
 
 
-def test_mix_of_awkward_tables(spark):
+def test_mix_of_awkward_tables(spark, monkeypatch):
     assert mixing.mix(frame(spark, []), {"a": 1}).count() == 0
     got = mixing.mix(frame(spark), {"src0": 3}, block=8)
     assert got.count() == len(documents()) and got.select("position").distinct().count() == len(documents())
-    with pytest.raises(ValueError):
-        mixing.mix(frame(spark).withColumn("slot", F.lit(1)), {})
+    rows = [(None, "t", None, "a", i) for i in range(300)] + [(7, "t", None, "a", i) for i in range(300)] + [(i, "t", None, "b", i) for i in range(50)]
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 8)
+    got = mixing.mix(frame(spark, rows).withColumn("slot", F.lit("mine")).withColumn("_source", F.lit("kept")), {"a": 2, "b": 1}, block=4)
+    out = got.collect()
+    assert len(out) == 650 and len({r.position for r in out}) == 650 and {r._source for r in out} == {"kept"}
+    assert sorted(got.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "_source", "block", "slot", "position", "on_target"])
+    named = mixing.mix(frame(spark, rows).withColumn("slot", F.lit("mine")), {}, names=("b", "s", "p", "o")).collect()
+    assert {r.slot for r in named} == {"mine"} and sorted(r.p for r in named) == list(range(650))
 
 
 # --- licences
@@ -91,6 +97,19 @@ def test_method_finds_notices_and_asks_for_the_phrase(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_only_ascii_capitals_are_lowered(spark):
+    got = scan(spark, "this wor\u212a is licensed under the gnu general public license version 3", "LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE", "L\u0130CENSED mit l\u0131cense")
+    assert [got[i].n_words for i in range(3)] == [12, 7, 3] and [got[i].n_base for i in range(3)] == [1, 1, 0]
+    assert got[0].labels == "gpl" and got[1].labels == "gpl"
+
+
+def test_key_phrase_alone_is_no_notice(spark):
+    filler = "lorem ipsum dolor sit amet " * 40
+    text = "redistribution permitted modification " + filler + "we ship source and binary forms of it " + filler + "use with or without"
+    got = scan(spark, text, *[filler] * 9)
+    assert got[0].labels == "" and got[0].score == 0
+
+
 def test_scan_of_repeats_and_nothing(spark):
     assert licences.scan(frame(spark, [])).count() == 0
     got = [r for r in licences.scan(frame(spark)).collect() if r.doc_id == 1011]
