@@ -94,6 +94,9 @@ UNION ALL
 SELECT r.conv_id, r.turn, 1, r.call_id, CAST(l.level AS BIGINT), CASE WHEN c.call_id IS NULL THEN 0 ELSE 1 END, c.call_id IS NOT NULL, CASE WHEN c.call_id IS NULL THEN 'no call' ELSE '' END,
        '{"call_id":"' || r.call_id || '","content":' || CAST(to_json(r.text) AS VARCHAR) || ',"role":"tool"}'
 FROM results r LEFT JOIN calls c USING (call_id) LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn
+UNION ALL
+SELECT conv_id, turn, 2, NULL, NULL, 0, role IS NOT NULL, CASE WHEN role IS NULL THEN 'no role' ELSE '' END, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 
