@@ -64,16 +64,25 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, flat, n, keys
 
 
-#: Rows of one slice at most, so that two bytes name a set of it.
-ROWS = 50_000
-SEVERAL = 0xFFFF
+#: What a set is called within its slice of texts comes from its key, so that copies of it in other slices are known.
+SEVERAL = 0xFFFFFFFF
 #: Kinds of rows behind the shuffle: a shingle of one set of a slice or of several (then without an owner), the owners of the latter, documents.
 POSTING, OWNERS, DOCUMENT = 0, 1, 2
 _BLOBS = "part int, slice long, kind int, data binary"
-_ROWS = "kind int, slice long, owner int, token long, times int, set_key long, doc_id long, n_shingles long"
+_ROWS = "kind int, slice long, owner long, token long, times int, set_key long, doc_id long, n_shingles long"
 _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """Four bytes of each of some distinct keys; where two agree in them the second is counted on."""
+    short = (keys >> U64(32)).astype(np.int64) % 0xFFF00000
+    order = np.argsort(short, kind="stable")
+    place = np.arange(len(keys))
+    out = np.empty(len(keys), "<u4")
+    out[order] = np.maximum.accumulate(short[order] - place) + place
+    return out
+
+
 def _postings(words: int, parts: int):
     """Each slice of texts sends every distinct shingle once to its part; owners of those in several sets, and documents, pass by."""
 
@@ -81,47 +90,46 @@ def _postings(words: int, parts: int):
         from pyspark import TaskContext
 
         place = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(lo, ROWS)
-                for a, b, flat, n, keys in _sets(batch.column(1), words):
-                    _, once, owner = np.unique(keys, return_index=True, return_inverse=True)
-                    keep = np.zeros(len(keys), bool)
-                    keep[once] = True
-                    keep &= n > 0
-                    tokens, holder = flat[np.repeat(keep, n)], np.repeat(owner.ravel()[keep], n[keep])
-                    order = np.argsort(tokens, kind="stable")
-                    tokens, holder = tokens[order], holder[order]
-                    first = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
-                    counts = np.diff(first, append=len(tokens))
-                    several = counts > 1
-                    named = np.where(several, SEVERAL, holder[first]).astype("<u2")
-                    token = tokens[first]
-                    part = (token % U64(parts)).astype(np.int32)
-                    order = np.argsort(part, kind="stable")
-                    bounds = np.searchsorted(part[order], np.arange(parts + 1))
-                    filled = np.flatnonzero(np.diff(bounds))
-                    blobs = []
-                    for p in filled:
-                        some = order[bounds[p] : bounds[p + 1]]
-                        blobs.append(np.array([len(some)], "<i8").tobytes() + _steps(token[some] // U64(parts)) + named[some].tobytes() + counts[some][several[some]].astype("<u4").tobytes())
-                    held = np.repeat(several, counts)
-                    owners = np.array([several.sum()], "<i8").tobytes() + token[several].tobytes() + counts[several].astype("<u4").tobytes() + holder[held].astype("<u2").tobytes()
-                    ids = batch.column(0).slice(a, b - a)
-                    documents = b"".join(
-                        [np.array([b - a], "<i8").tobytes(), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), n.astype("<i8").tobytes(), keys.tobytes(), owner.ravel().astype("<u2").tobytes()]
-                    )
-                    k, by = len(filled), (place * 0x9E3779B97F4A7C15 >> 20) % parts
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([*filled.tolist(), by, by], pa.int32()),
-                            pa.array([place] * (k + 2), pa.int64()),
-                            pa.array([POSTING] * k + [OWNERS, DOCUMENT], pa.int32()),
-                            pa.array([*blobs, owners, documents], pa.binary()),
-                        ],
-                        ["part", "slice", "kind", "data"],
-                    )
-                    place += 1
+        for batch in batches:
+            for a, b, flat, n, keys in _sets(batch.column(1), words):
+                distinct, once, owner = np.unique(keys, return_index=True, return_inverse=True)
+                owner = _short(distinct)[owner.ravel()]
+                keep = np.zeros(len(keys), bool)
+                keep[once] = True
+                keep &= n > 0
+                tokens, holder = flat[np.repeat(keep, n)], np.repeat(owner[keep], n[keep])
+                order = np.argsort(tokens, kind="stable")
+                tokens, holder = tokens[order], holder[order]
+                first = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
+                counts = np.diff(first, append=len(tokens))
+                several = counts > 1
+                named = np.where(several, SEVERAL, holder[first]).astype("<u4")
+                token = tokens[first]
+                part = (token % U64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                bounds = np.searchsorted(part[order], np.arange(parts + 1))
+                filled = np.flatnonzero(np.diff(bounds))
+                blobs = []
+                for p in filled:
+                    some = order[bounds[p] : bounds[p + 1]]
+                    blobs.append(np.array([len(some)], "<i8").tobytes() + _steps(token[some] // U64(parts)) + named[some].tobytes() + counts[some][several[some]].astype("<u4").tobytes())
+                held = np.repeat(several, counts)
+                owners = np.array([several.sum()], "<i8").tobytes() + token[several].tobytes() + counts[several].astype("<u4").tobytes() + holder[held].tobytes()
+                ids = batch.column(0).slice(a, b - a)
+                documents = b"".join(
+                    [np.array([b - a], "<i8").tobytes(), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), n.astype("<i8").tobytes(), keys.tobytes(), owner.tobytes()]
+                )
+                k, by = len(filled), (place * 0x9E3779B97F4A7C15 >> 20) % parts
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*filled.tolist(), by, by], pa.int32()),
+                        pa.array([place] * (k + 2), pa.int64()),
+                        pa.array([POSTING] * k + [OWNERS, DOCUMENT], pa.int32()),
+                        pa.array([*blobs, owners, documents], pa.binary()),
+                    ],
+                    ["part", "slice", "kind", "data"],
+                )
+                place += 1
         give_back()
 
     return run
@@ -166,25 +174,34 @@ def _shared(parts: int):
             n = int(r.take("<i8", 1)[0])
             if kind == POSTING:
                 tokens.append(r.steps(n))
-                owners.append(r.take("<u2", n).astype(np.int32))
+                owners.append(r.take("<u4", n).astype(np.int64))
                 many = np.ones(n, np.int64)
                 many[owners[-1] == SEVERAL] = r.take("<u4", int((owners[-1] == SEVERAL).sum()))
                 counts.append(many)
                 slices_.append(np.full(n, place))
             elif kind == OWNERS:
                 token, many = r.take("<i8", n), r.take("<u4", n)
-                whose = r.take("<u2", int(many.sum()))
+                whose = r.take("<u4", int(many.sum()))
                 out.append(_rows(len(whose), kind=OWNERS, slice=place, owner=whose, token=np.repeat(token, many)))
             else:
                 ids, has = r.take("<i8", n), r.take(np.uint8, n)
-                sizes, keys, whose = r.take("<i8", n), r.take("<i8", n), r.take("<u2", n)
+                sizes, keys, whose = r.take("<i8", n), r.take("<i8", n), r.take("<u4", n)
                 out.append(_rows(n, kind=DOCUMENT, slice=place, owner=whose, set_key=keys, doc_id=pa.array(ids, mask=has == 0), n_shingles=sizes))
         if tokens:
             token, owner, many, place = np.concatenate(tokens), np.concatenate(owners), np.concatenate(counts), np.concatenate(slices_)
             order = np.argsort(token, kind="stable")
-            token, owner, many, place = token[order], owner[order], many[order], place[order]
+            token = token[order]
+            first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+            often = np.repeat(np.diff(first, append=len(token)) > 1, np.diff(first, append=len(token))) | (owner[order] == SEVERAL)
+            token, order = token[often], order[often]
+            again = np.lexsort((owner[order], token))
+            token, order = token[again], order[again]
+            owner, many, place = owner[order], many[order], place[order]
+            # copies of a set in several slices count once
+            new = (np.diff(token, prepend=~token[:1]) != 0) | (np.diff(owner, prepend=-1) != 0) | (owner == SEVERAL)
+            token, owner, many, place = token[new], owner[new], many[new], place[new]
             first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
-            times = np.repeat(np.add.reduceat(many, first), np.diff(first, append=len(token)))
+            times = np.repeat(np.add.reduceat(many, first), np.diff(first, append=len(token))) if len(first) else many
             some = times > 1
             owner = np.where(owner == SEVERAL, -1, owner)[some]
             full = (token[some] * U64(parts) + U64(part)).view(np.int64)
@@ -226,11 +243,13 @@ def candidate_sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     every = found.where("owner >= 0").select("slice", "owner", "token", "times").unionByName(several)
     each = every.groupBy("slice", "owner").agg(F.collect_list(F.struct("times", "token")).alias("x"))
     # equal sets of several slices are one set
-    one = rows.where((F.col("kind") == DOCUMENT) & (F.col("n_shingles") > 0)).groupBy("set_key").agg(F.min(F.struct("slice", "owner")).alias("p"), F.first("n_shingles").alias("n"))
-    sets = each.join(one.select("set_key", "n", "p.slice", "p.owner"), ["slice", "owner"]).where(100 * F.size("x") >= percent * F.col("n"))
+    known = rows.where((F.col("kind") == DOCUMENT) & (F.col("n_shingles") > 0)).select("slice", "owner", "set_key", F.col("n_shingles").alias("n")).distinct()
+    one = each.join(known, ["slice", "owner"]).groupBy("set_key", "n").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
+    once = F.filter("x", lambda e, i: (i == 0) | (e["token"] != F.get("x", i - 1)["token"]))
+    sets = one.select("set_key", "n", once.alias("x")).where(100 * F.size("x") >= percent * F.col("n"))
     # of n shingles, a partner shares ceil(percent n / 100) at least; lone ones come first in the order
     need = F.ceil(percent * F.col("n") / 100)
-    kept = sets.select("set_key", "n", F.sort_array("x")["token"].alias("tokens"), (F.size("x") - need + 1).cast("int").alias("prefix"), (1 - F.size("x") / F.col("n")).alias("lone"))
+    kept = sets.select("set_key", "n", F.col("x.token").alias("tokens"), (F.size("x") - need + 1).cast("int").alias("prefix"), (1 - F.size("x") / F.col("n")).alias("lone"))
     return cut(kept, "op7-sets")
 
 
@@ -256,8 +275,9 @@ def linked_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # the first shingle that two sets share leaves them what stands behind it: at a place in the order, ``shared`` is the rest
     every = member.where("set_key = rep").select("set_key", "group", "n", "lone", "shared", F.posexplode("head").alias("place", "token")).withColumn("shared", F.col("shared") - F.col("place")).drop("place")
     # a set whose shared shingles don't suffice even for the smallest one beside it goes from that shingle
+    every = cut(every, "op7-every")
     least = every.groupBy("token").agg(F.min("n").alias("_n"), F.count("*").alias("_k")).where("_k > 1")
-    posting = cut(every.join(least, "token").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("_n"))).drop("_n", "_k"), "op7-postings")
+    posting = cut(join_spread(every, least, "token").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("_n"))).drop("_n", "_k"), "op7-postings")
     labels = member.select("set_key", F.col("set_key").alias("comp"))
     known = posting.withColumns({"low": F.col("set_key"), "high": F.col("set_key")})
     count, work = posting.count(), None
@@ -266,7 +286,7 @@ def linked_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         rank = F.col("lone") if number == 0 else F.xxhash64("set_key", F.lit(number)).cast("double")
         pivot = known.groupBy("token").agg(F.min(F.struct(rank.alias("_"), F.col("set_key").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"), F.col("low").alias("comp_a"))).alias("p"), F.min("low").alias("least"), F.max("high").alias("most"))
         pivot = pivot.where("least <> most").select("token", "p.a", "p.n_a", "p.s_a", "p.comp_a")
-        pairs = known.join(pivot, "token").where((F.col("low") != F.col("comp_a")) & _fits("n", "shared", "n_a", "s_a", percent)).select("a", F.col("set_key").alias("b")).distinct()
+        pairs = join_spread(known, pivot, "token").where((F.col("low") != F.col("comp_a")) & _fits("n", "shared", "n_a", "s_a", percent)).select("a", F.col("set_key").alias("b")).distinct()
         if number == 0:
             pairs = pairs.unionByName(member.where("set_key <> rep").select(F.col("rep").alias("a"), F.col("set_key").alias("b")))
         labels = _joined(labels, verified(pairs, sets, percent))
