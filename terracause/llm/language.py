@@ -7,9 +7,9 @@ document's probabilities are the means over all byte positions. Training is
 backpropagation through time in numpy. The squashing function is x / (1 + |x|).
 
 Bounds: fitted on at most ``documents`` documents with a language outside the held-out
-fold, an equal number of each language (but one at least), drawn by a hash of their id, and
-at most ``WINDOWS`` windows of ``READ`` bytes of each; with ids that stand on several rows
-as many rows are drawn. Scoring reads every document.
+fold, an equal number of each language (but one at least), drawn by a hash of id and text
+(equal rows once), and at most ``WINDOWS`` windows of ``READ`` bytes of each. Scoring reads
+every document.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; with a
 single language in the sample that one has score 1; without any, all are ``und``. Repeated
@@ -248,16 +248,17 @@ def fit(docs: DataFrame, documents: int = DOCUMENTS) -> Model:
     """Learn from at most ``documents`` documents with a language outside the held-out fold, as many of each language."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     # as many rows as there are languages: the classes of the model
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(counts)
     if len(languages) < 2:
         return Model(languages, None)
     each = max(1, documents // len(languages))
-    number = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    drawn = number(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").distinct().withColumn("_n", drawn).where(F.col("_n") <= each).drop("_n")
-    # ``each`` ids a language; of ids that stand on many rows as many rows are taken
-    rows = cut(known.join(F.broadcast(chosen), ["lang", "doc_id"]).select("text", "lang", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t")), "op10")
-    some = rows.mapInArrow(_sample, "pieces array<binary>, lang string, _h long, _t long").withColumn("_n", number("_h", "_t")).where(F.col("_n") <= each)
+    rates = docs.sparkSession.createDataFrame([(name, min(1.0, 1.5 * each / n)) for name, n in counts.items()], "lang string, _rate double")
+    drawn = known.withColumn("_h", F.xxhash64("doc_id", "text")).join(F.broadcast(rates), "lang").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_rate") * (1 << 30))
+    # half as many again as wanted of each language, about
+    rows = cut(drawn.select("text", "lang", "_h").dropDuplicates(["lang", "_h"]), "op10")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))
+    some = rows.mapInArrow(_sample, "pieces array<binary>, lang string, _h long").withColumn("_n", nth).where(F.col("_n") <= each)
     got = some.select(F.explode("pieces").alias("piece"), "lang").toPandas().sort_values(["lang", "piece"], ignore_index=True)
     if not len(got):
         return Model(languages, None)
