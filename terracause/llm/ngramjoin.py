@@ -47,7 +47,7 @@ MOST_ROUNDS = 12
 #: They also end when a round leaves more than this share of the pairs of the round before.
 SLOW = 0.8
 #: Bytes of text for each part of the shingles at least.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -167,6 +167,7 @@ class _Reader:
 def _shared(parts: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Shingles of one part that two sets or more hold, with their number of sets; the other rows as they came."""
+        give_back()
         out, tokens, slices_, owners, counts = [], [], [], [], []
         part = key[0].as_py()
         for kind, place, raw in zip(table["kind"].to_pylist(), table["slice"].to_pylist(), table["data"], strict=True):
@@ -206,7 +207,6 @@ def _shared(parts: int):
             owner = np.where(owner == SEVERAL, -1, owner)[some]
             full = (token[some] * U64(parts) + U64(part)).view(np.int64)
             out.append(_rows(int(some.sum()), kind=POSTING, slice=place[some], owner=owner, token=full, times=np.minimum(times[some], (1 << 31) - 1)))
-        give_back()
         return pa.concat_tables(out)
 
     return run

@@ -17,6 +17,8 @@ ROOT = 0x9E3779B97F4A7C15
 ROOT_INV = pow(ROOT, -1, 1 << 64)
 #: Bytes of text that one numpy pass handles; bounds the memory of a task.
 SLICE_BYTES = 4 << 20
+#: Bytes of it that are hashed at once.
+HASH_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,7 +43,7 @@ def powers(root: int, n: int) -> np.ndarray:
     """root**0 … root**(n-1) modulo 2**64, kept for the next call."""
     have = _POWERS.get(root)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = max(n, HASH_BYTES + 4096)
         full = np.full(size, root, dtype=U64)
         full[0] = 1
         _POWERS[root] = have = np.multiply.accumulate(full)
@@ -136,8 +138,12 @@ def text_shingles(column: pa.Array | pa.ChunkedArray, k: int) -> Iterator[tuple[
     """
     data, offsets = buffers(column)
     for a, b in slices(offsets):
-        part = LOWER[data[offsets[a] : offsets[b]]]
-        at = offsets[a : b + 1] - offsets[a]
-        starts, ends, first = word_spans(part, at)
-        rows, hashes = shingle_hashes(span_hashes(part, starts, ends), first, k)
-        yield a, b, rows, hashes
+        rows, hashes = [], []
+        for c, d in slices(offsets[a : b + 1] - offsets[a], HASH_BYTES):
+            c, d = a + c, a + d
+            part = LOWER[data[offsets[c] : offsets[d]]]
+            starts, ends, first = word_spans(part, offsets[c : d + 1] - offsets[c])
+            found = shingle_hashes(span_hashes(part, starts, ends), first, k)
+            rows.append(found[0] + (c - a))
+            hashes.append(found[1])
+        yield a, b, np.concatenate(rows), np.concatenate(hashes)
