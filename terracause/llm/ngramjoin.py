@@ -69,7 +69,7 @@ SEVERAL = 0xFFFFFFFF
 #: Kinds of rows behind the shuffle: a shingle of one set of a slice or of several (then without an owner), the owners of the latter, documents.
 POSTING, OWNERS, DOCUMENT = 0, 1, 2
 _BLOBS = "part int, slice long, kind int, data binary"
-_ROWS = "kind int, slice long, owner long, token long, times int, set_key long, doc_id long, n_shingles long"
+_ROWS = "kind int, slice long, owner long, set_key long, doc_id long, n_shingles long, data binary"
 _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 
@@ -168,22 +168,20 @@ def _shared(parts: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Shingles of one part that two sets or more hold, with their number of sets; the other rows as they came."""
         give_back()
-        out, tokens, slices_, owners, counts = [], [], [], [], []
+        out, tokens, slices_, owners, counts = [_rows(0)], [], [], [], []
         part = key[0].as_py()
         for kind, place, raw in zip(table["kind"].to_pylist(), table["slice"].to_pylist(), table["data"], strict=True):
             r = _Reader(memoryview(raw.as_buffer()))
             n = int(r.take("<i8", 1)[0])
-            if kind == POSTING:
+            if kind == OWNERS:
+                out.append(_rows(1, kind=OWNERS, slice=place, data=pa.array([raw.as_py()], pa.binary())))
+            elif kind == POSTING:
                 tokens.append(r.steps(n))
                 owners.append(r.take("<u4", n).astype(np.int64))
                 many = np.ones(n, np.int64)
                 many[owners[-1] == SEVERAL] = r.take("<u4", int((owners[-1] == SEVERAL).sum()))
                 counts.append(many)
                 slices_.append(np.full(n, place))
-            elif kind == OWNERS:
-                token, many = r.take("<i8", n), r.take("<u4", n)
-                whose = r.take("<u4", int(many.sum()))
-                out.append(_rows(len(whose), kind=OWNERS, slice=place, owner=whose, token=np.repeat(token, many)))
             else:
                 ids, has = r.take("<i8", n), r.take(np.uint8, n)
                 sizes, keys, whose = r.take("<i8", n), r.take("<i8", n), r.take("<u4", n)
@@ -195,7 +193,7 @@ def _shared(parts: int):
             first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
             often = np.repeat(np.diff(first, append=len(token)) > 1, np.diff(first, append=len(token))) | (owner[order] == SEVERAL)
             token, order = token[often], order[often]
-            again = np.lexsort((owner[order], token))
+            again = np.lexsort((place[order], owner[order], token))
             token, order = token[again], order[again]
             owner, many, place = owner[order], many[order], place[order]
             # copies of a set in several slices count once
@@ -204,9 +202,14 @@ def _shared(parts: int):
             first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
             times = np.repeat(np.add.reduceat(many, first), np.diff(first, append=len(token))) if len(first) else many
             some = times > 1
-            owner = np.where(owner == SEVERAL, -1, owner)[some]
-            full = (token[some] * U64(parts) + U64(part)).view(np.int64)
-            out.append(_rows(int(some.sum()), kind=POSTING, slice=place[some], owner=owner, token=full, times=np.minimum(times[some], (1 << 31) - 1)))
+            owner = owner[some]
+            full, times, place = token[some] * U64(parts) + U64(part), np.minimum(times[some], (1 << 31) - 1), place[some]
+            order = np.argsort(place, kind="stable")
+            bounds = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(order))
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                mine = order[lo:hi]
+                blob = np.array([hi - lo], "<i8").tobytes() + full[mine].tobytes() + owner[mine].astype("<u4").tobytes() + times[mine].astype("<u4").tobytes()
+                out.append(_rows(1, kind=POSTING, slice=int(place[mine[0]]), data=pa.array([blob], pa.binary())))
         return pa.concat_tables(out)
 
     return run
@@ -214,11 +217,11 @@ def _shared(parts: int):
 
 def _rows(n: int, **given) -> pa.Table:
     """Columns of ``_ROWS``; a number stands for all rows, and what isn't given is null."""
-    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     cols = []
     for name, kind in (x.split() for x in _ROWS.split(", ")):
         v = given.get(name)
-        v = pa.nulls(n, types[kind]) if v is None else pa.array(np.full(n, v)) if isinstance(v, int) else v if isinstance(v, pa.Array) else pa.array(v)
+        v = pa.nulls(n, types[kind]) if v is None else pa.array(np.full(n, v, np.int64)) if isinstance(v, int) else v if isinstance(v, pa.Array) else pa.array(v)
         cols.append(v.cast(types[kind]))
     return pa.Table.from_arrays(cols, _NAMES)
 
@@ -236,20 +239,47 @@ def shingle_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return cut(sent.groupBy("part").applyInArrow(_shared(parts), _ROWS), "op7-shingles")
 
 
+def _assemble(blobs: pa.Table, chosen: pa.Table) -> pa.Table:
+    """One slice: the shared shingles, rarest first, of each of the sets that it stands for."""
+    give_back()
+    tokens, owners, times, several = [], [], [], None
+    for kind, raw in zip(blobs["kind"].to_pylist(), blobs["data"], strict=True):
+        r = _Reader(memoryview(raw.as_buffer()))
+        n = int(r.take("<i8", 1)[0])
+        if kind == OWNERS:
+            token, many = r.take("<u8", n), r.take("<u4", n)
+            several = token, many, r.take("<u4", int(many.sum()))
+        else:
+            tokens.append(r.take("<u8", n))
+            owners.append(r.take("<u4", n))
+            times.append(r.take("<u4", n))
+    token, owner, time = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((tokens, "<u8"), (owners, "<u4"), (times, "<u4")))
+    if several is not None and len(several[0]):
+        mark = np.flatnonzero(owner == SEVERAL)
+        mark = mark[np.argsort(token[mark])]
+        found = time[mark][np.searchsorted(token[mark], several[0])]
+        one = owner != SEVERAL
+        token, owner, time = np.concatenate([token[one], np.repeat(several[0], several[1])]), np.concatenate([owner[one], several[2]]), np.concatenate([time[one], np.repeat(found, several[1])])
+    chosen = chosen.sort_by("owner")
+    names = chosen["owner"].to_numpy()
+    place = np.searchsorted(names, owner)
+    mine = (place < len(names)) & (names[np.minimum(place, len(names) - 1)] == owner) if len(names) else np.zeros(len(owner), bool)
+    token, place, time = token[mine], place[mine], time[mine]
+    order = np.lexsort((token.view(np.int64), time, place))
+    offsets = np.searchsorted(place[order], np.arange(len(names) + 1)).astype(np.int32)
+    return pa.table({"set_key": chosen["set_key"], "n": chosen["n"], "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[order].view(np.int64)))})
+
+
 def candidate_sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """set_key, n, tokens (shared shingles, rarest first), prefix length and share of lone shingles of the sets that can have a partner."""
-    found = rows.where(F.col("kind") == POSTING)
-    several = rows.where(F.col("kind") == OWNERS).select("slice", "owner", "token").join(found.where("owner < 0").select("slice", "token", "times"), ["slice", "token"])
-    every = found.where("owner >= 0").select("slice", "owner", "token", "times").unionByName(several)
-    each = every.groupBy("slice", "owner").agg(F.collect_list(F.struct("times", "token")).alias("x"))
-    # equal sets of several slices are one set
-    known = rows.where((F.col("kind") == DOCUMENT) & (F.col("n_shingles") > 0)).select("slice", "owner", "set_key", F.col("n_shingles").alias("n")).distinct()
-    one = each.join(known, ["slice", "owner"]).groupBy("set_key", "n").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
-    once = F.filter("x", lambda e, i: (i == 0) | (e["token"] != F.get("x", i - 1)["token"]))
-    sets = one.select("set_key", "n", once.alias("x")).where(100 * F.size("x") >= percent * F.col("n"))
+    blobs = rows.where(F.col("kind") != DOCUMENT).select("slice", "kind", "data")
+    # equal sets of several slices are one set, which the first of these stands for
+    own = rows.where((F.col("kind") == DOCUMENT) & (F.col("n_shingles") > 0)).groupBy("set_key").agg(F.min(F.struct("slice", "owner")).alias("p"), F.first("n_shingles").alias("n"))
+    chosen = own.select("p.slice", "p.owner", "set_key", "n")
+    sets = blobs.groupBy("slice").cogroup(chosen.groupBy("slice")).applyInArrow(_assemble, "set_key long, n long, tokens array<long>").where(100 * F.size("tokens") >= percent * F.col("n"))
     # of n shingles, a partner shares ceil(percent n / 100) at least; lone ones come first in the order
     need = F.ceil(percent * F.col("n") / 100)
-    kept = sets.select("set_key", "n", F.col("x.token").alias("tokens"), (F.size("x") - need + 1).cast("int").alias("prefix"), (1 - F.size("x") / F.col("n")).alias("lone"))
+    kept = sets.select("set_key", "n", "tokens", (F.size("tokens") - need + 1).cast("int").alias("prefix"), (1 - F.size("tokens") / F.col("n")).alias("lone"))
     return cut(kept, "op7-sets")
 
 
