@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,7 +115,7 @@ def _postings(words: int, parts: int):
                     some = order[bounds[p] : bounds[p + 1]]
                     blobs.append(np.array([len(some)], "<i8").tobytes() + _steps(token[some] // U64(parts)) + named[some].tobytes() + counts[some][several[some]].astype("<u4").tobytes())
                 held = np.repeat(several, counts)
-                owners = np.array([several.sum()], "<i8").tobytes() + token[several].tobytes() + counts[several].astype("<u4").tobytes() + holder[held].tobytes()
+                owners = np.array([several.sum()], "<i8").tobytes() + token[several].tobytes() + zstandard.compress(counts[several].astype("<u4").tobytes() + holder[held].tobytes(), 1)
                 ids = batch.column(0).slice(a, b - a)
                 documents = b"".join(
                     [np.array([b - a], "<i8").tobytes(), ids.fill_null(0).to_numpy().astype("<i8").tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), n.astype("<i8").tobytes(), keys.tobytes(), owner.tobytes()]
@@ -155,6 +156,9 @@ class _Reader:
         self.at += out.nbytes
         return out
 
+    def rest(self) -> _Reader:
+        return _Reader(memoryview(zstandard.decompress(self.raw[self.at :])))
+
     def steps(self, n: int) -> np.ndarray:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :6] = self.take(np.uint8, 6 * n).reshape(-1, 6)
@@ -208,7 +212,7 @@ def _shared(parts: int):
             bounds = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(order))
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 mine = order[lo:hi]
-                blob = np.array([hi - lo], "<i8").tobytes() + full[mine].tobytes() + owner[mine].astype("<u4").tobytes() + times[mine].astype("<u4").tobytes()
+                blob = np.array([hi - lo], "<i8").tobytes() + full[mine].tobytes() + zstandard.compress(owner[mine].astype("<u4").tobytes() + times[mine].astype("<u4").tobytes(), 1)
                 out.append(_rows(1, kind=POSTING, slice=int(place[mine[0]]), data=pa.array([blob], pa.binary())))
         return pa.concat_tables(out)
 
@@ -247,10 +251,13 @@ def _assemble(blobs: pa.Table, chosen: pa.Table) -> pa.Table:
         r = _Reader(memoryview(raw.as_buffer()))
         n = int(r.take("<i8", 1)[0])
         if kind == OWNERS:
-            token, many = r.take("<u8", n), r.take("<u4", n)
+            token = r.take("<u8", n)
+            r = r.rest()
+            many = r.take("<u4", n)
             several = token, many, r.take("<u4", int(many.sum()))
         else:
             tokens.append(r.take("<u8", n))
+            r = r.rest()
             owners.append(r.take("<u4", n))
             times.append(r.take("<u4", n))
     token, owner, time = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((tokens, "<u8"), (owners, "<u4"), (times, "<u4")))
