@@ -24,7 +24,7 @@ def predict_level(panel: DataFrame, edges: DataFrame, target: str, train_end: in
 
     ``edges`` has row, col, parent, weight of the target's parents.
     """
-    parents = [r["parent"] for r in edges.select("parent").distinct().limit(200).collect()]
+    parents = [r["parent"] for r in edges.select("parent").distinct().collect()]
     own = edges.groupBy(*KEYS).pivot("parent", sorted(parents)).agg(F.first("weight"))
     means = panel.where(F.col("year") <= train_end).groupBy(*KEYS).agg(F.avg(target).alias("_y"), *[F.avg(p).alias(f"_m_{p}") for p in parents])
     weights = own.select(*KEYS, *[F.coalesce(F.col(p), F.lit(0.0)).alias(f"_w_{p}") for p in parents])
@@ -37,7 +37,7 @@ def predict_level(panel: DataFrame, edges: DataFrame, target: str, train_end: in
 
 def predict_response(panel: DataFrame, edges: DataFrame, target: str, train_end: int, least: int) -> DataFrame:
     """Anomaly forecast per month: weights times the parents' departures from their month means; last year's anomaly as baseline."""
-    parents = [r["parent"] for r in edges.select("parent").distinct().limit(200).collect()]
+    parents = [r["parent"] for r in edges.select("parent").distinct().collect()]
     clim = panel.where(F.col("year") <= train_end).groupBy(*KEYS, "month").agg(F.count(target).alias("_n"), F.avg(target).alias("_y"), *[F.avg(p).alias(f"_m_{p}") for p in parents])
     own = edges.groupBy(*KEYS).pivot("parent", sorted(parents)).agg(F.first("weight")).select(*KEYS, *[F.coalesce(F.col(p), F.lit(0.0)).alias(f"_w_{p}") for p in parents])
     before = panel.select(*KEYS, (F.col("year") + 1).alias("year"), "month", F.col(target).alias("_last"))

@@ -46,10 +46,10 @@ class Scenario:
     mechanisms: tuple[Mechanism, ...] = ()
 
 
-def value_spec(panel: DataFrame, variable: str, spec: Value) -> DataFrame:
-    """Each row's value under a specification, from the pixel's own series (climatology: its calendar month's)."""
+def value_spec(panel: DataFrame, variable: str, spec: Value, q_low: float = 0.1, q_high: float = 0.9) -> DataFrame:
+    """Each row's value under a specification, from the pixel's own series (climatology: its calendar month's); ``qdelta`` counts in spans from ``q_low`` to ``q_high``."""
     x, k = F.col(variable), spec.kind
-    own = panel.groupBy(*KEYS).agg(F.avg(variable).alias("_mean"), F.percentile(variable, 0.5).alias("_median"), F.stddev_pop(variable).alias("_sd"), F.percentile(variable, [min(max(spec.amount, 0.0), 1.0), 0.0, 1.0]).alias("_q"), F.percentile(variable, [0.25, 0.75]).alias("_iqr"))
+    own = panel.groupBy(*KEYS).agg(F.avg(variable).alias("_mean"), F.percentile(variable, 0.5).alias("_median"), F.stddev_samp(variable).alias("_sd"), F.percentile(variable, [min(max(spec.amount, 0.0), 1.0), 0.0, 1.0]).alias("_q"), F.percentile(variable, [q_low, q_high]).alias("_span"))
     rows = panel.join(own, KEYS)
     if k.startswith("climatology"):
         clim = panel.groupBy(*KEYS, "month").agg(F.avg(variable).alias("_cmean"), F.percentile(variable, 0.5).alias("_cmedian"), F.percentile(variable, min(max(spec.amount, 0.0), 1.0)).alias("_cq"))
@@ -58,7 +58,7 @@ def value_spec(panel: DataFrame, variable: str, spec: Value) -> DataFrame:
         value: Column = x + spec.amount * ({"mean": F.col("_mean"), "median": F.col("_median")}[spec.reference or "mean"] - x)
     else:
         value = {
-            "fixed": F.lit(spec.amount), "mean": F.col("_mean"), "median": F.col("_median"), "quantile": F.col("_q")[0], "delta": x + spec.amount, "scale": x * spec.amount, "qdelta": x + spec.amount * (F.col("_iqr")[1] - F.col("_iqr")[0]), "zdelta": x + spec.amount * F.col("_sd"),
+            "fixed": F.lit(spec.amount), "mean": F.col("_mean"), "median": F.col("_median"), "quantile": F.col("_q")[0], "delta": x + spec.amount, "scale": x * spec.amount, "qdelta": x + spec.amount * (F.col("_span")[1] - F.col("_span")[0]), "zdelta": x + spec.amount * F.col("_sd"),
             **({"climatology_mean": F.col("_cmean"), "climatology_median": F.col("_cmedian"), "climatology_quantile": F.col("_cq")} if k.startswith("climatology") else {}),
         }[k]
     return rows.select(*KEYS, "year", "month", x.alias("baseline"), value.alias("value"))

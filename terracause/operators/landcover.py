@@ -90,7 +90,7 @@ def spatial_cv(df: DataFrame, features: list[str], klass: str, fold: str, kind:
 
     ``klass`` holds whole numbers from 0.
     """
-    folds = sorted(r[0] for r in df.select(fold).distinct().limit(1000).collect())
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     typed = df.withColumn("_label", F.col(klass).cast("double")).withColumns({f: F.col(f).cast("double") for f in features})
     out = None
     for k in folds:

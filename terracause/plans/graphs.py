@@ -284,7 +284,7 @@ def value_spec(s, d):
     return rounded(I.value_spec(ard(s, d), "qty", I.Value("climatology_mean")), "value")
 
 
-@query(with_sql(TOTAL) + f", v AS (SELECT row, col, year, month, nl AS baseline, nl + stddev_pop(nl) OVER (PARTITION BY row, col) AS value FROM ard) SELECT row, col, year, month, child AS target, {q6('effect * (value - baseline)')} AS delta FROM v JOIN total USING (row, col) WHERE parent = 'nl' AND replicate = 0")
+@query(with_sql(TOTAL) + f", v AS (SELECT row, col, year, month, nl AS baseline, nl + stddev_samp(nl) OVER (PARTITION BY row, col) AS value FROM ard) SELECT row, col, year, month, child AS target, {q6('effect * (value - baseline)')} AS delta FROM v JOIN total USING (row, col) WHERE parent = 'nl' AND replicate = 0")
 def hard_intervention(s, d):
     v = I.value_spec(ard(s, d), "nl", I.Value("zdelta", 1.0))
     out = I.hard_intervention(edges(s, d).where("replicate = 0"), v, "nl", ["qty", "price"], 3)
