@@ -16,8 +16,9 @@ Bounds: the tree is fitted on at most ``SAMPLE`` vectors, drawn by a hash of the
 leaves are at most ``SAMPLE / LEAF_SAMPLE``. Indexing and search cover every row.
 
 Defined cases: vectors that are null, zero, of another length than the commonest, or hold
-null or non-finite components take no part; a row is no neighbour of itself (rows that
-share its id are not either); equal scores are ordered by id; with fewer candidates than
+null or non-finite components take no part; components of any numeric type are read (floats
+as they are, others as doubles); a row is no neighbour of itself, but rows that share its id
+are, and each of them has ranks of its own; equal scores are ordered by id; with fewer candidates than
 asked for all are returned; an empty table gives no rows.
 """
 
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terracause.llm.shared import cut
 
@@ -144,18 +146,18 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 class Kinds:
-    """The distinct vectors of a block, each with its ids in order."""
+    """The distinct vectors of a block, each with its rows in order of their ids."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        order = np.lexsort((rows, ids))
+        rows, ids, x = rows[order], ids[order], x[order]
         _, first, same = np.unique(x, axis=0, return_index=True, return_inverse=True)
         by = np.argsort(same.ravel(), kind="stable")
-        self.vectors, self.ids, self.counts = x[first], ids[by], np.bincount(same.ravel())
+        self.vectors, self.rows, self.ids, self.counts = x[first], rows[by], ids[by], np.bincount(same.ravel())
         self.starts = np.cumsum(self.counts) - self.counts
 
     def best(self, qs: np.ndarray, vs: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query, id and score of each query's ``k`` best rows here that reach its bound."""
+        """For the rows ``qs`` that ask: row, id and score of the ``k`` best other rows here that reach its bound."""
         rough = vs @ self.vectors.T
         n = rough.shape[1]
         limit = bounds if n <= k + 1 else np.maximum(bounds, -np.partition(-rough, k, axis=1)[:, k])
@@ -164,9 +166,10 @@ class Kinds:
         exact = np.einsum("ij,ij->i", self.vectors[kind], vs[row])
         times = np.minimum(self.counts[kind], k + 1)
         nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        ids = self.ids[np.repeat(self.starts[kind], times) + nth]
+        place = np.repeat(self.starts[kind], times) + nth
+        ids = self.ids[place]
         row, score = np.repeat(row, times), np.repeat(exact, times)
-        keep = (ids != qs[row]) & (score >= bounds[row])
+        keep = (self.rows[place] != qs[row]) & (score >= bounds[row])
         row, ids, score = row[keep], ids[keep], score[keep]
         order = np.lexsort((ids, -score, row))
         row, ids, score = row[order], ids[order], score[order]
@@ -175,10 +178,12 @@ class Kinds:
 
 
 def usable(df: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part."""
+    """A number of its own, vec_id and embedding of the rows that take part."""
     x = F.col("embedding")
+    if not isinstance(df.schema["embedding"].dataType.elementType, T.FloatType):
+        df = df.withColumn("embedding", x.cast("array<double>"))
     good = df.where("vec_id is not null and embedding is not null").where(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))).where(F.exists(x, lambda v: v != 0))
-    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    good = good.select(F.monotonically_increasing_id().alias("member"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sizes = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     return good.where(F.size("embedding") == (sizes[0]["size"] if sizes else -1))
 
@@ -187,6 +192,7 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows found for each row whose id is divisible by ``every``."""
     spark = df.sparkSession
     good = usable(df)
+    kind = good.schema["embedding"].dataType.simpleString()
     square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     most = good.agg(F.max(square)).first()[0] or 0.0
     some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
@@ -201,41 +207,43 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                leaf = held.value.assign(widened(matrix(b.column(1)), most))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), *b.columns], ["leaf", "vec_id", "embedding"])
+                leaf = held.value.assign(widened(matrix(b.column(2)), most))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), *b.columns], ["leaf", "member", "vec_id", "embedding"])
 
-    index = cut(good.mapInArrow(put, "leaf int, vec_id long, embedding array<float>"), "op5")
+    index = cut(good.mapInArrow(put, f"leaf int, member long, vec_id long, embedding {kind}"), "op5")
     # at most as many rows as the tree has leaves
     blocks = {r["leaf"]: math.ceil(r["count"] / BLOCK_ROWS) for r in index.groupBy("leaf").count().collect()}
     sizes = spark.sparkContext.broadcast(blocks)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, vector in zip(b.column(0).to_pylist(), matrix(b.column(1)), strict=True):
+            for asker, q, vector in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), matrix(b.column(2)), strict=True):
                 spots = [(leaf, i, step) for step, leaf in enumerate(held.value.visit(np.append(vector, 0.0), visits)) for i in range(sizes.value.get(leaf, 0))]
                 leaf, block, step = np.array(spots, np.int32).reshape(-1, 3).T
                 n = len(spots)
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(vector)), pa.array(np.tile(vector.astype(np.float32), n)))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(block), pa.array(step), pa.array(np.full(n, q, np.int64)), vectors], ["leaf", "block", "step", "query_id", "vector"])
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(vector)), pa.array(np.tile(vector, n).astype(np.float32 if kind == "array<float>" else np.float64)))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(block), pa.array(step), pa.array(np.full(n, asker, np.int64)), pa.array(np.full(n, q, np.int64)), vectors], ["leaf", "block", "step", "asker", "query_id", "vector"])
 
     number = F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv])[F.col("leaf")] if blocks else F.lit(1)
-    rows = index.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(11)), number).cast("int"))
-    asked = cut(good.where(F.col("vec_id") % every == 0).mapInArrow(walk, "leaf int, block int, step int, query_id long, vector array<float>"), "op5-asked")
+    rows = index.withColumn("block", F.pmod(F.xxhash64("member", F.lit(11)), number).cast("int"))
+    asked = cut(index.where(F.col("vec_id") % every == 0).select("member", "vec_id", "embedding").mapInArrow(walk, f"leaf int, block int, step int, asker long, query_id long, vector {kind}"), "op5-asked")
 
     def search(members: pa.Table, queries: pa.Table) -> pa.Table:
         if not members.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        kinds = Kinds(members["vec_id"].to_numpy(), matrix(members["embedding"].combine_chunks()))
-        qs, vs, bounds = queries["query_id"].to_numpy(), matrix(queries["vector"].combine_chunks()), queries["bound"].to_numpy()
+            return pa.table({"asker": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        kinds = Kinds(members["member"].to_numpy(), members["vec_id"].to_numpy(), matrix(members["embedding"].combine_chunks()))
+        names = dict(zip(queries["asker"].to_pylist(), queries["query_id"].to_pylist(), strict=True))
+        qs, vs, bounds = queries["asker"].to_numpy(), matrix(queries["vector"].combine_chunks()), queries["bound"].to_numpy()
         found = [kinds.best(qs[a : a + 512], vs[a : a + 512], bounds[a : a + 512], k) for a in range(0, len(qs), 512)]
-        return pa.table({n: pa.array(np.concatenate([f[i] for f in found])) for i, n in enumerate(("query_id", "vec_id", "score"))})
+        asker, near, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+        return pa.table({"asker": asker, "query_id": pa.array([names[a] for a in asker.tolist()], pa.int64()), "vec_id": near, "score": score})
 
-    keys, out = ["leaf", "block"], "query_id long, vec_id long, score double"
+    keys, out = ["leaf", "block"], "asker long, query_id long, vec_id long, score double"
     look = lambda queries: rows.groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(search, out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     early = F.col("step") < max(1, math.ceil(visits * FIRST))
     start = cut(top(look(asked.where(early).withColumn("bound", F.lit(float("-inf"))))), "op5-first")
-    bound = start.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    late = asked.where(~early).join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    return top(start.select("query_id", "vec_id", "score").unionByName(look(late))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    bound = start.where(F.col("rank") == k).select("asker", F.col("score").alias("bound"))
+    late = asked.where(~early).join(bound, "asker", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    return top(start.select("asker", "query_id", "vec_id", "score").unionByName(look(late))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
