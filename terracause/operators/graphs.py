@@ -15,6 +15,13 @@ def prior_knowledge(lags: dict[str, int], roots: tuple[str, ...] = ("month_sin",
     return sorted((p, c) for p in lags for c in lags if p != c and (lags[p] < lags[c] or c in roots))
 
 
+def forbidden_edges(lags: DataFrame, roots: tuple[str, ...] = ("month_sin", "month_cos")) -> DataFrame:
+    """The rule of ``prior_knowledge`` for a table of row, col, variable and lag: the forbidden pairs of each pixel."""
+    side = lambda name: lags.select(*KEYS, F.col("variable").alias(name), F.col("lag").alias(f"_{name}"))
+    barred = (F.col("_parent") < F.col("_child")) | F.col("child").isin(*roots)
+    return side("parent").join(side("child"), KEYS).where((F.col("parent") != F.col("child")) & barred).select(*KEYS, "parent", "child")
+
+
 def edge_probability(edges: DataFrame, least: float) -> DataFrame:
     """Share of replicates in which an edge's weight exceeds ``least``; a replicate without the edge counts as none."""
     boot = edges.where("replicate > 0")

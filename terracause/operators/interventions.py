@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracause.operators.effects import bootstrap_summary, causal_paths, total_effects
+from terracause.sources.tables import scratch, table_replace
 
 KEYS = ["row", "col"]
 GRAPH = ["row", "col", "replicate"]
@@ -91,18 +92,22 @@ def hard_intervention(edges: DataFrame, values: DataFrame, variable: str, target
     return values.join(response, KEYS).withColumn("delta", F.col("response") * (F.col("value") - F.col("baseline")))
 
 
-def mechanism_change(edges: DataFrame, panel: DataFrame, changes: tuple[Mechanism, ...], target: str, variables: int) -> DataFrame:
-    """Change of a target's mean when edges change and disturbances stay: sum over changed edges of
-    (new - old weight) x mean of the parent x the response of the target to the child in the changed graph,
-    the parent's mean being that of the old graph where it isn't itself changed."""
+def mechanism_change(edges: DataFrame, panel: DataFrame, changes: tuple[Mechanism, ...], targets: list[str], variables: int) -> DataFrame:
+    """Change of targets at each event when edges change and the event's disturbances stay: row, col, replicate, year, month, target, delta.
+
+    The sum over changed edges of (new - old weight) x the parent's distance from its pixel's mean x
+    the response of the target to the child in the changed graph.
+    """
     new = change_mechanisms(edges, changes)
     diff = new.alias("n").join(edges.alias("o"), [*GRAPH, "parent", "child"], "left").select(*GRAPH, "parent", "child", (F.col("n.weight") - F.coalesce("o.weight", F.lit(0.0))).alias("_d")).where("_d <> 0")
     names = sorted({m.parent for m in changes})
-    means = panel.groupBy(*KEYS).agg(*[F.avg(n).alias(n) for n in names]).select(*KEYS, F.inline(F.array(*[F.struct(F.lit(n).alias("parent"), F.col(n).alias("_m")) for n in names])))
-    reach = total_effects(new, variables).where(F.col("child") == target).select(*GRAPH, F.col("parent").alias("child"), F.col("effect").alias("_r"))
-    j = diff.join(means, [*KEYS, "parent"]).join(reach, [*GRAPH, "child"], "left")
-    r = F.when(F.col("child") == target, 1.0).otherwise(F.coalesce("_r", F.lit(0.0)))
-    return j.groupBy(*GRAPH).agg(F.sum(F.col("_d") * F.col("_m") * r).alias("delta"))
+    means = panel.groupBy(*KEYS).agg(*[F.avg(n).alias(f"_{n}") for n in names])
+    away = panel.join(means, KEYS).select(*KEYS, "year", "month", F.inline(F.array(*[F.struct(F.lit(n).alias("parent"), (F.col(n) - F.col(f"_{n}")).alias("_z")) for n in names])))
+    reach = total_effects(new, variables).where(F.col("child").isin(*targets)).select(*GRAPH, F.col("parent").alias("child"), F.col("child").alias("target"), F.col("effect").alias("_r"))
+    itself = diff.where(F.col("child").isin(*targets)).select(*GRAPH, "parent", F.col("child").alias("target"), F.col("_d").alias("_w"))
+    # one weight a graph, parent and target before the events are joined
+    weights = diff.join(reach, [*GRAPH, "child"]).select(*GRAPH, "parent", "target", (F.col("_d") * F.col("_r")).alias("_w")).unionByName(itself).groupBy(*GRAPH, "parent", "target").agg(F.sum("_w").alias("_w"))
+    return away.join(weights, [*KEYS, "parent"]).groupBy(*GRAPH, "year", "month", "target").agg(F.sum(F.col("_w") * F.col("_z")).alias("delta"))
 
 
 def goal_seek(edges: DataFrame, panel: DataFrame, variable: str, target: str, goal_delta: float, variables: int) -> DataFrame:
@@ -133,30 +138,54 @@ def goal_seek_joint(edges: DataFrame, controls: list[str], goals: dict[str, floa
     return response.groupBy(*GRAPH).applyInPandas(run, "row int, col int, replicate int, variable string, change double")
 
 
+def scenario_events(edges: DataFrame, panel: DataFrame, scenario: Scenario, targets: list[str], variables: int) -> DataFrame:
+    """Counterfactual change of each target at every event: the mechanisms' part, then each set variable's part.
+
+    A variable's change counts from where the changed mechanisms alone would have left it.
+    """
+    set_ = [h.variable for h in scenario.hard]
+    cut = cut_incoming(change_mechanisms(edges, scenario.mechanisms), set_)
+    parts = []
+    if scenario.mechanisms:
+        drift = mechanism_change(edges, panel, scenario.mechanisms, sorted({*targets, *set_}), variables)
+        parts.append(drift.where(F.col("target").isin(*targets)).withColumnRenamed("delta", "effect"))
+    response = total_effects(cut, variables).where(F.col("parent").isin(*set_) & F.col("child").isin(*targets)) if set_ else None
+    for h in scenario.hard:
+        values = value_spec(panel, h.variable, h.value).select(*KEYS, "year", "month", (F.col("value") - F.col("baseline")).alias("_x"))
+        moved = edges.select(*GRAPH).distinct().join(values, KEYS)
+        if scenario.mechanisms:
+            own = drift.where(F.col("target") == h.variable).select(*GRAPH, "year", "month", "delta")
+            moved = moved.join(own, [*GRAPH, "year", "month"], "left").withColumn("_x", F.col("_x") - F.coalesce("delta", F.lit(0.0))).drop("delta")
+        weight = response.where(F.col("parent") == h.variable).select(*GRAPH, F.col("child").alias("target"), F.col("effect").alias("_e"))
+        parts.append(moved.join(weight, GRAPH).select(*GRAPH, "year", "month", "target", (F.col("_x") * F.col("_e")).alias("effect")))
+        if h.variable in targets:
+            parts.append(moved.select(*GRAPH, "year", "month", F.lit(h.variable).alias("target"), F.col("_x").alias("effect")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*GRAPH, "target", "year", "month").agg(F.sum("effect").alias("effect"))
+
+
 def scenario_table(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario], targets: list[str], variables: int, unit: str = "mean") -> DataFrame:
-    """Scenarios x targets x event units with the fit's change and its bootstrap interval.
+    """Scenarios x targets with the fit's change and its bootstrap interval: the ``mean``, ``median`` or ``sum`` over events, or each event (``none``, with year and month).
 
-    A scenario whose variables the panel doesn't have gives an error row instead of failing all.
+    A scenario that changes nothing, or whose variables the panel doesn't have, gives error rows instead of failing all.
     """
-    out = None
+    # each scenario reads graphs and panel several times, and its events twice: they are written once
+    once = lambda df, label: table_replace(df, scratch(df.sparkSession, label))
+    edges, panel = once(edges, "scenario-graphs"), once(panel, "scenario-panel")
+    out, when = None, ["year", "month"] if unit == "none" else []
+    total = {"mean": F.avg("effect"), "median": F.percentile("effect", 0.5), "sum": F.sum("effect"), "none": F.first("effect")}[unit]
     for s in scenarios:
-        gone = [h.variable for h in s.hard if h.variable not in panel.columns]
-        if gone:
-            part = panel.select(*KEYS).distinct().select(*KEYS, F.lit(s.name).alias("scenario"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("effect"), *[F.lit(None).cast("double").alias(c) for c in ("boot_mean", "ci_low", "ci_high")], F.lit(f"unknown variables: {', '.join(gone)}").alias("error"))
+        used = [h.variable for h in s.hard] + [v for m in s.mechanisms for v in (m.parent, m.child)]
+        gone = sorted({v for v in used if v not in panel.columns})
+        if gone or not used:
+            error = f"unknown variables: {', '.join(gone)}" if gone else "nothing changed"
+            part = panel.select(*KEYS).distinct().select(*KEYS, *[F.lit(None).cast("int").alias(c) for c in when], F.lit(s.name).alias("scenario"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("effect"), *[F.lit(None).cast("double").alias(c) for c in ("boot_mean", "ci_low", "ci_high")], F.lit(error).alias("error"))
         else:
-            graph = change_mechanisms(edges, s.mechanisms)
-            cut = cut_incoming(graph, [h.variable for h in s.hard])
-            moved = None
-            for h in s.hard:
-                values = value_spec(panel, h.variable, h.value).select(*KEYS, "year", "month", (F.col("value") - F.col("baseline")).alias("_x"))
-                response = total_effects(cut, variables).where((F.col("parent") == h.variable) & F.col("child").isin(*targets)).select(*GRAPH, F.col("child").alias("target"), F.col("effect").alias("_e"))
-                one = values.join(response, KEYS).select(*GRAPH, "target", "year", "month", (F.col("_x") * F.col("_e")).alias("effect"))
-                moved = one if moved is None else moved.unionByName(one)
-            events = moved.groupBy(*GRAPH, "target", "year", "month").agg(F.sum("effect").alias("effect"))
-            total = {"mean": F.avg("effect"), "median": F.percentile("effect", 0.5), "sum": F.sum("effect")}[unit]
-            each = events.groupBy(*GRAPH, "target").agg(total.alias("effect"))
-            boot = bootstrap_summary(each, [*KEYS, "target"], "effect").select(*KEYS, "target", "boot_mean", "ci_low", "ci_high")
-            part = each.where("replicate = 0").drop("replicate").join(boot, [*KEYS, "target"], "left").select(*KEYS, F.lit(s.name).alias("scenario"), "target", "effect", "boot_mean", "ci_low", "ci_high", F.lit(None).cast("string").alias("error"))
+            each = once(scenario_events(edges, panel, s, targets, variables).groupBy(*GRAPH, "target", *when).agg(total.alias("effect")), "scenario-effects")
+            boot = bootstrap_summary(each, [*KEYS, "target", *when], "effect").select(*KEYS, "target", *when, "boot_mean", "ci_low", "ci_high")
+            part = each.where("replicate = 0").drop("replicate").join(boot, [*KEYS, "target", *when], "left").select(*KEYS, *when, F.lit(s.name).alias("scenario"), "target", "effect", "boot_mean", "ci_low", "ci_high", F.lit(None).cast("string").alias("error"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -35,14 +35,12 @@ def rounded(df, *names):
 
 # --- graph tables
 
-LAGS = {"nl": 2, "qty": 1, "price": 0, "month_sin": 0}
-
-
-@query("SELECT parent, child FROM (VALUES ('month_sin', 'nl'), ('month_sin', 'qty'), ('nl', 'month_sin'), ('price', 'month_sin'), ('price', 'nl'), ('price', 'qty'), ('qty', 'month_sin'), ('qty', 'nl')) t(parent, child) WHERE (SELECT count(*) FROM region) > 0")
+@query(with_sql(ARD) + ", v AS (SELECT DISTINCT row, col, unnest(['nl', 'qty', 'price', 'month_sin']) AS variable, unnest([row % 3, 1, col % 2, 0]) AS lag FROM ard) SELECT a.row, a.col, a.variable AS parent, b.variable AS child FROM v a JOIN v b ON a.row = b.row AND a.col = b.col AND a.variable <> b.variable WHERE a.lag < b.lag OR b.variable = 'month_sin'")
 def prior_knowledge(s, d):
-    pairs = G.prior_knowledge(LAGS)
-    rows = F.array(*[F.struct(F.lit(p).alias("parent"), F.lit(c).alias("child")) for p, c in pairs])
-    return table(s, d, "region").limit(1).select(F.inline(rows))
+    pixels = ard(s, d).select("row", "col").distinct()
+    lag = lambda name, value: F.struct(F.lit(name).alias("variable"), value.cast("int").alias("lag"))
+    lags = F.array(lag("nl", F.col("row") % 3), lag("qty", F.lit(1)), lag("price", F.col("col") % 2), lag("month_sin", F.lit(0)))
+    return G.forbidden_edges(pixels.select("row", "col", F.inline(lags)))
 
 
 @query()
@@ -291,9 +289,9 @@ def hard_intervention(s, d):
     return rounded(out.select("row", "col", "year", "month", "target", "delta"), "delta")
 
 
-@query(with_sql(EDGES) + f", m AS (SELECT row, col, avg(nl) AS m FROM ard GROUP BY ALL) SELECT a.row, a.col, a.replicate, {q6('(a.weight * 2 - a.weight) * m * b.weight')} AS delta FROM edges a JOIN edges b USING (row, col, replicate) JOIN m ON m.row = a.row AND m.col = a.col WHERE a.parent = 'nl' AND b.parent = 'qty' AND a.weight <> 0")
+@query(with_sql(EDGES) + f", m AS (SELECT row, col, avg(nl) AS m FROM ard GROUP BY ALL) SELECT a.row, a.col, a.replicate, year, month, 'price' AS target, {q6('(a.weight * 2 - a.weight) * (p.nl - m) * b.weight')} AS delta FROM edges a JOIN edges b USING (row, col, replicate) JOIN m ON m.row = a.row AND m.col = a.col JOIN ard p ON p.row = a.row AND p.col = a.col WHERE a.parent = 'nl' AND b.parent = 'qty' AND a.weight <> 0")
 def mechanism_change(s, d):
-    return rounded(I.mechanism_change(edges(s, d), ard(s, d), (I.Mechanism("nl", "qty", "scale", 2.0),), "price", 3), "delta")
+    return rounded(I.mechanism_change(edges(s, d), ard(s, d), (I.Mechanism("nl", "qty", "scale", 2.0),), ["price"], 3), "delta")
 
 
 @query(with_sql(EDGES) + f", m AS (SELECT row, col, avg(qty) AS baseline FROM ard GROUP BY ALL) SELECT row, col, replicate, {q6('baseline + 1 / weight')} AS required FROM edges JOIN m USING (row, col) WHERE parent = 'qty' AND abs(weight) > 1e-12 AND replicate = 0")
@@ -301,18 +299,30 @@ def goal_seek(s, d):
     return rounded(I.goal_seek(edges(s, d).where("replicate = 0"), ard(s, d), "qty", "price", 1.0, 3).select("row", "col", "replicate", "required"), "required")
 
 
-SCENARIOS = [I.Scenario("more lines", (I.Hard("nl", I.Value("delta", 5.0)),)), I.Scenario("steady quantity", (I.Hard("qty", I.Value("mean")),), (I.Mechanism("qty", "price", "scale", 2.0),)), I.Scenario("broken", (I.Hard("rain", I.Value("mean")),))]
+SCENARIOS = [
+    I.Scenario("more lines", (I.Hard("nl", I.Value("delta", 5.0)),)),
+    I.Scenario("half quantity", (I.Hard("qty", I.Value("scale", 0.5)),), (I.Mechanism("qty", "price", "scale", 2.0),)),
+    I.Scenario("steep price", (), (I.Mechanism("qty", "price", "scale", 2.0),)),
+    I.Scenario("broken", (I.Hard("rain", I.Value("mean")),)),
+]
+# events of the scenarios; edges run nl -> qty -> price
+EVENTS = """, m AS (SELECT row, col, avg(qty) AS m FROM ard GROUP BY ALL), g AS (SELECT DISTINCT row, col, replicate FROM edges),
+ev AS (SELECT t.row, t.col, t.replicate, year, month, 'more lines' AS scenario, t.child AS target, 5 * t.effect AS effect FROM total t JOIN ard a ON a.row = t.row AND a.col = t.col WHERE t.parent = 'nl'
+  UNION ALL SELECT g.row, g.col, replicate, year, month, 'half quantity', 'qty', -qty / 2 FROM g JOIN ard a ON a.row = g.row AND a.col = g.col
+  UNION ALL SELECT e.row, e.col, replicate, year, month, 'half quantity', 'price', weight * (qty - m) + 2 * weight * (-qty / 2) FROM edges e JOIN ard a ON a.row = e.row AND a.col = e.col JOIN m ON m.row = e.row AND m.col = e.col WHERE e.parent = 'qty' AND weight <> 0
+  UNION ALL SELECT e.row, e.col, replicate, year, month, 'steep price', 'price', weight * (qty - m) FROM edges e JOIN ard a ON a.row = e.row AND a.col = e.col JOIN m ON m.row = e.row AND m.col = e.col WHERE e.parent = 'qty' AND weight <> 0)"""
+SUMMARY = f"{q6('max(effect) FILTER (replicate = 0)')} AS effect, {q6('avg(effect) FILTER (replicate > 0)')} AS boot_mean, {q6('quantile_cont(effect, 0.025) FILTER (replicate > 0)')} AS ci_low, {q6('quantile_cont(effect, 0.975) FILTER (replicate > 0)')} AS ci_high, NULL::VARCHAR AS error"
+BROKEN = "'broken', NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'unknown variables: rain' FROM ard"
 
 
-@query(
-    with_sql(TOTAL)
-    + f""", ev AS (SELECT t.row, t.col, t.replicate, 'more lines' AS scenario, t.child AS target, sum(5 * t.effect) AS effect FROM total t JOIN ard a ON a.row = t.row AND a.col = t.col WHERE t.parent = 'nl' GROUP BY ALL
-  UNION ALL SELECT e.row, e.col, e.replicate, 'steady quantity', 'price', sum(2 * e.weight * (m.m - a.qty)) FROM edges e JOIN ard a ON a.row = e.row AND a.col = e.col JOIN (SELECT row, col, avg(qty) AS m FROM ard GROUP BY ALL) m ON m.row = e.row AND m.col = e.col WHERE e.parent = 'qty' GROUP BY ALL)
-SELECT row, col, scenario, target, {q6('max(effect) FILTER (replicate = 0)')} AS effect, {q6('avg(effect) FILTER (replicate > 0)')} AS boot_mean, {q6('quantile_cont(effect, 0.025) FILTER (replicate > 0)')} AS ci_low, {q6('quantile_cont(effect, 0.975) FILTER (replicate > 0)')} AS ci_high, NULL::VARCHAR AS error FROM ev GROUP BY row, col, scenario, target
-UNION ALL SELECT DISTINCT row, col, 'broken', NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'unknown variables: rain' FROM ard"""
-)
+@query(with_sql(TOTAL) + EVENTS + f", u AS (SELECT row, col, replicate, scenario, target, quantile_cont(effect, 0.5) AS effect FROM ev GROUP BY ALL) SELECT row, col, scenario, target, {SUMMARY} FROM u GROUP BY row, col, scenario, target UNION ALL SELECT DISTINCT row, col, {BROKEN}")
 def scenario_table(s, d):
-    return rounded(I.scenario_table(edges(s, d), ard(s, d), SCENARIOS, ["qty", "price"], 3, "sum"), "effect", "boot_mean", "ci_low", "ci_high")
+    return rounded(I.scenario_table(edges(s, d), ard(s, d), SCENARIOS, ["qty", "price"], 3, "median"), "effect", "boot_mean", "ci_low", "ci_high")
+
+
+@query(with_sql(TOTAL) + EVENTS + f" SELECT row, col, year, month, scenario, target, {SUMMARY} FROM ev GROUP BY row, col, year, month, scenario, target UNION ALL SELECT DISTINCT row, col, NULL::INTEGER, NULL::INTEGER, {BROKEN}")
+def scenario_table_events(s, d):
+    return rounded(I.scenario_table(edges(s, d), ard(s, d), SCENARIOS, ["qty", "price"], 3, "none"), "effect", "boot_mean", "ci_low", "ci_high")
 
 
 @query(with_sql(TOTAL) + f"SELECT row, col, 'hard' AS kind, 'nl' AS name, {q6('5 * effect')} AS contribution FROM total WHERE replicate = 0 AND parent = 'nl' AND child = 'price' UNION ALL SELECT row, col, 'path', 'nl->qty->price', {q6('5 * effect')} FROM total WHERE replicate = 0 AND parent = 'nl' AND child = 'price' AND effect <> 0")

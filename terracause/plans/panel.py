@@ -287,10 +287,15 @@ def log_metrics(s, d):
     return table(s, d, "events").select("event_id", C.r6(C.minus_log10(F.col("value") / 100)).alias("minus_log"), C.r6(C.log10_positive(F.col("value") - 10)).alias("log_value"))
 
 
-@query("SELECT * FROM (VALUES ('qty', 'quantity'), ('nl', 'line count'), ('price_of_ndvi_resid', 'Price of NDVI (residual)'), ('soil_at_depth', 'Soil at Depth'), ('tax', 'Levy')) t(variable, label) WHERE (SELECT count(*) FROM region) > 0")
+@query(
+    """WITH n AS (SELECT p_partkey, p_name, p_partkey % 3 AS k, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS words FROM part)
+SELECT p_partkey, replace(p_name, ' ', '_') || CASE k WHEN 0 THEN '_resid' WHEN 1 THEN '_of_ndvi' ELSE '' END AS variable,
+       CASE WHEN k = 2 AND p_name = 'red widget' THEN 'Widget, red' ELSE words || CASE k WHEN 0 THEN ' (residual)' WHEN 1 THEN ' of NDVI' ELSE '' END END AS label FROM n"""
+)
 def display_label(s, d):
-    names = ["qty", "nl", "price_of_ndvi_resid", "soil_at_depth", "tax"]
-    return table(s, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("variable")).select("variable", C.display_label("variable", {"tax": "Levy"}).alias("label"))
+    end = F.element_at(F.array(*map(F.lit, ("_resid", "_of_ndvi", ""))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    names = table(s, d, "part").select("p_partkey", F.concat(F.translate("p_name", " ", "_"), end).alias("variable"))
+    return names.withColumn("label", C.display_label("variable", {"red_widget": "Widget, red"}))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 4 <> 0")
