@@ -315,6 +315,7 @@ def linked_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     every = cut(every, "op7-every")
     least = every.groupBy("token").agg(F.min("n").alias("_n"), F.count("*").alias("_k")).where("_k > 1")
     posting = cut(join_spread(every, least, "token").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("_n"))).drop("_n", "_k"), "op7-postings")
+    drop(every)
     labels = member.select("set_key", F.col("set_key").alias("comp"))
     known = posting.withColumns({"low": F.col("set_key"), "high": F.col("set_key")})
     count, work = posting.count(), None
@@ -343,6 +344,8 @@ def linked_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     of = member.select("group", "set_key").join(labels, "set_key")
     inside = of.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("group").alias("g1"), F.col("group").alias("g2"))
     groups = cut(groups.unionByName(inside), "op7-groups")
+    drop(known)
+    drop(posting)
     if groups.isEmpty():
         return labels
     end = lambda x, y: of.select(F.col("group").alias(f"g{x}"), F.col("set_key").alias(y), F.col("comp").alias(f"c{x}"))
@@ -377,8 +380,12 @@ def _spanning(known: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     table = shingle_table(docs, words)
-    rows = table.where(F.col("kind") == DOCUMENT).select("doc_id", "n_shingles", "set_key")
-    labels = linked_components(candidate_sets(table, percent), percent)
+    rows = cut(table.where(F.col("kind") == DOCUMENT).select("doc_id", "n_shingles", "set_key"), "op7-documents")
+    sets = candidate_sets(table, percent)
+    # what no later job reads leaves the shared folder: the shingles are the largest of these tables
+    drop(table)
+    labels = linked_components(sets, percent)
+    drop(sets)
     whole = rows.where("n_shingles > 0").join(labels, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "set_key").alias("comp"))
     whole = cut(whole, "op7-whole")
     found = join_spread(whole, whole.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("doc_id", "n_shingles", "component_id")
