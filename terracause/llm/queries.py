@@ -141,12 +141,30 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracause.llm.pivotindex import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracause.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracause.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op2_token_files, op3_word_bpe, op4_tool_calls, op5_neighbours, op6_quality, op7_ngram_join, op8_mixing, op9_licences, op10_language]
+    found = [op1_fingerprints, op2_token_files, op3_word_bpe, op4_tool_calls, op5_neighbours, op6_quality, op7_ngram_join, op8_mixing, op9_licences, op10_language, op11_exact_top_k, op12_whitening, op13_spelling_variants]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from terracause.llm import licences, mixing
+    from terracause.llm import licences, mixing, pivotindex
 
-    return {"op4_tool_calls": OP4_SQL, "op8_mixing": mixing.oracle(MIX_UNITS, MIX_BLOCK), "op9_licences": licences.oracle()}
+    return {"op4_tool_calls": OP4_SQL, "op8_mixing": mixing.oracle(MIX_UNITS, MIX_BLOCK), "op9_licences": licences.oracle(), "op11_exact_top_k": pivotindex.ORACLE}
