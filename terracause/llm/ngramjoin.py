@@ -65,7 +65,7 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b, flat, n, keys
 
 
-#: What a set is called within its slice of texts comes from its key, so that copies of it in other slices are known.
+#: A slice of texts numbers its sets; with their numbers go their 64-bit keys, so that copies of a set in other slices are known.
 SEVERAL = 0xFFFFFFFF
 #: Kinds of rows behind the shuffle: a shingle of one set of a slice or of several (then without an owner), the owners of the latter, documents.
 POSTING, OWNERS, DOCUMENT = 0, 1, 2
@@ -74,14 +74,13 @@ _ROWS = "kind int, slice long, owner long, set_key long, doc_id long, n_shingles
 _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    """Four bytes of each of some distinct keys; where two agree in them the second is counted on."""
-    short = (keys >> U64(32)).astype(np.int64) % 0xFFF00000
-    order = np.argsort(short, kind="stable")
-    place = np.arange(len(keys))
-    out = np.empty(len(keys), "<u4")
-    out[order] = np.maximum.accumulate(short[order] - place) + place
-    return out
+def _names(owner: np.ndarray, several: np.ndarray, keys: np.ndarray) -> bytes:
+    """Owners as places in a list of the sets named here, each with its key; the last place of the width stands for several."""
+    used, place = np.unique(owner[~several], return_inverse=True)
+    width = "<u2" if len(used) < 0xFFFF else "<u4"
+    at = np.full(len(owner), np.iinfo(width).max, width)
+    at[~several] = place.ravel()
+    return np.array([len(used)], "<i8").tobytes() + at.tobytes() + used.astype("<u4").tobytes() + keys[used].tobytes()
 
 
 def _postings(words: int, parts: int):
@@ -94,7 +93,7 @@ def _postings(words: int, parts: int):
         for batch in batches:
             for a, b, flat, n, keys in _sets(batch.column(1), words):
                 distinct, once, owner = np.unique(keys, return_index=True, return_inverse=True)
-                owner = _short(distinct)[owner.ravel()]
+                owner = owner.ravel().astype("<u4")
                 keep = np.zeros(len(keys), bool)
                 keep[once] = True
                 keep &= n > 0
@@ -104,7 +103,6 @@ def _postings(words: int, parts: int):
                 first = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
                 counts = np.diff(first, append=len(tokens))
                 several = counts > 1
-                named = np.where(several, SEVERAL, holder[first]).astype("<u4")
                 token = tokens[first]
                 part = (token % U64(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
@@ -113,7 +111,7 @@ def _postings(words: int, parts: int):
                 blobs = []
                 for p in filled:
                     some = order[bounds[p] : bounds[p + 1]]
-                    blobs.append(np.array([len(some)], "<i8").tobytes() + _steps(token[some] // U64(parts)) + named[some].tobytes() + counts[some][several[some]].astype("<u4").tobytes())
+                    blobs.append(np.array([len(some)], "<i8").tobytes() + _steps(token[some] // U64(parts)) + _names(holder[first[some]], several[some], distinct) + counts[some][several[some]].astype("<u4").tobytes())
                 held = np.repeat(several, counts)
                 owners = np.array([several.sum()], "<i8").tobytes() + token[several].tobytes() + zstandard.compress(counts[several].astype("<u4").tobytes() + holder[held].tobytes(), 1)
                 ids = batch.column(0).slice(a, b - a)
@@ -156,6 +154,15 @@ class _Reader:
         self.at += out.nbytes
         return out
 
+    def names(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Owner and set key of each entry; owner ``SEVERAL``, key 0 where there are several."""
+        k = int(self.take("<i8", 1)[0])
+        at = self.take("<u2" if k < 0xFFFF else "<u4", n)
+        several = at == np.iinfo(at.dtype).max
+        used, keys = np.append(self.take("<u4", k), np.uint32(SEVERAL)), np.append(self.take("<u8", k), U64(0))
+        at = np.where(several, k, at)
+        return used[at], keys[at]
+
     def rest(self) -> _Reader:
         return _Reader(memoryview(zstandard.decompress(self.raw[self.at :])))
 
@@ -172,7 +179,7 @@ def _shared(parts: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Shingles of one part that two sets or more hold, with their number of sets; the other rows as they came."""
         give_back()
-        out, tokens, slices_, owners, counts = [_rows(0)], [], [], [], []
+        out, tokens, places, owners, keys_, counts, slices_ = [_rows(0)], [], [], [], [], [], []
         part = key[0].as_py()
         for kind, place, raw in zip(table["kind"].to_pylist(), table["slice"].to_pylist(), table["data"], strict=True):
             r = _Reader(memoryview(raw.as_buffer()))
@@ -181,27 +188,34 @@ def _shared(parts: int):
                 out.append(_rows(1, kind=OWNERS, slice=place, data=pa.array([raw.as_py()], pa.binary())))
             elif kind == POSTING:
                 tokens.append(r.steps(n))
-                owners.append(r.take("<u4", n).astype(np.int64))
-                many = np.ones(n, np.int64)
-                many[owners[-1] == SEVERAL] = r.take("<u4", int((owners[-1] == SEVERAL).sum()))
+                owner, whose = r.names(n)
+                owners.append(owner)
+                keys_.append(whose)
+                many = np.ones(n, np.int32)
+                many[owner == SEVERAL] = r.take("<u4", int((owner == SEVERAL).sum()))
                 counts.append(many)
-                slices_.append(np.full(n, place))
+                places.append(np.full(n, len(slices_), np.int32))
+                slices_.append(place)
             else:
                 ids, has = r.take("<i8", n), r.take(np.uint8, n)
                 sizes, keys, whose = r.take("<i8", n), r.take("<i8", n), r.take("<u4", n)
                 out.append(_rows(n, kind=DOCUMENT, slice=place, owner=whose, set_key=keys, doc_id=pa.array(ids, mask=has == 0), n_shingles=sizes))
         if tokens:
-            token, owner, many, place = np.concatenate(tokens), np.concatenate(owners), np.concatenate(counts), np.concatenate(slices_)
+            # numbered as the slices are, so that the first copy of a set stands in the first of its slices
+            rise = np.empty(len(slices_), np.int32)
+            rise[np.argsort(slices_)] = np.arange(len(slices_))
+            token, owner, whose, many, place = np.concatenate(tokens), np.concatenate(owners), np.concatenate(keys_), np.concatenate(counts), rise[np.concatenate(places)]
+            tokens, owners, keys_, counts, places = [], [], [], [], []
             order = np.argsort(token, kind="stable")
             token = token[order]
             first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
             often = np.repeat(np.diff(first, append=len(token)) > 1, np.diff(first, append=len(token))) | (owner[order] == SEVERAL)
             token, order = token[often], order[often]
-            again = np.lexsort((place[order], owner[order], token))
+            again = np.lexsort((place[order], whose[order], token))
             token, order = token[again], order[again]
-            owner, many, place = owner[order], many[order], place[order]
-            # copies of a set in several slices count once
-            new = (np.diff(token, prepend=~token[:1]) != 0) | (np.diff(owner, prepend=-1) != 0) | (owner == SEVERAL)
+            owner, whose, many, place = owner[order], whose[order], many[order].astype(np.int64), place[order]
+            # copies of a set in several slices count once: by all of its key
+            new = (np.diff(token, prepend=~token[:1]) != 0) | (np.diff(whose, prepend=~whose[:1]) != 0) | (owner == SEVERAL) | np.append(True, owner[:-1] == SEVERAL)
             token, owner, many, place = token[new], owner[new], many[new], place[new]
             first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
             times = np.repeat(np.add.reduceat(many, first), np.diff(first, append=len(token))) if len(first) else many
@@ -210,10 +224,11 @@ def _shared(parts: int):
             full, times, place = token[some] * U64(parts) + U64(part), np.minimum(times[some], (1 << 31) - 1), place[some]
             order = np.argsort(place, kind="stable")
             bounds = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(order))
+            names = np.sort(slices_)
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 mine = order[lo:hi]
                 blob = np.array([hi - lo], "<i8").tobytes() + full[mine].tobytes() + zstandard.compress(owner[mine].astype("<u4").tobytes() + times[mine].astype("<u4").tobytes(), 1)
-                out.append(_rows(1, kind=POSTING, slice=int(place[mine[0]]), data=pa.array([blob], pa.binary())))
+                out.append(_rows(1, kind=POSTING, slice=int(names[place[mine[0]]]), data=pa.array([blob], pa.binary())))
         return pa.concat_tables(out)
 
     return run

@@ -120,3 +120,28 @@ def test_estimate_is_unbiased():
     assert abs(float(fingerprint.likeness(a, b)[0]) - truth) < 0.1
     low, some = fingerprint.unpacked(fingerprint.packed(*a))
     assert (low == a[0]).all() and some.all()
+
+
+def test_sets_whose_keys_agree_in_half_their_bits(spark):
+    """Two near texts in two slices, whose set keys share the upper four bytes: neither is taken for a copy of the other."""
+    base = prose(9000, 79).split()
+    ends = [f"end{i}" for i in range(150_000)]
+    keys = _keys(base, ends)
+    upper = keys >> np.uint64(32)
+    order = np.argsort(upper, kind="stable")
+    twins = np.flatnonzero(np.diff(upper[order]) == 0)
+    assert len(twins)
+    for t in twins[:3]:
+        pair = [" ".join([*base, ends[order[t + i]]]) for i in (0, 1)]
+        rows = [(1, pair[0], None, None, 0), (2, pair[1], None, None, 0), (3, prose(9001, 90), None, None, 0)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartitionByRange(3, "doc_id")
+        assert sorted(map(tuple, ngramjoin.near_groups(df).collect()), key=str) == groups(rows)
+
+
+def _keys(base, ends):
+    """Set keys of the texts that differ in their last word alone: all but one shingle are the same."""
+    out = []
+    for a in range(0, len(ends), 5_000):
+        texts = pa.array([" ".join([*base, e]) for e in ends[a : a + 5_000]])
+        out += [k for *_, k in ngramjoin._sets(texts, 5)]
+    return np.concatenate(out)
