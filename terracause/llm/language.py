@@ -6,10 +6,11 @@ read ``CONTEXT`` bytes more on either side before; all cuts are at the ends of c
 document's probabilities are the means over all byte positions. Training is
 backpropagation through time in numpy. The squashing function is x / (1 + |x|).
 
-Bounds: fitted on at most ``documents`` documents with a language outside the held-out
-fold, an equal number of each language (but one at least), drawn by a hash of id and text
-(equal rows once), and at most ``WINDOWS`` windows of ``READ`` bytes of each. Scoring reads
-every document.
+Bounds: fitted on at most ``documents`` different texts with a language outside the held-out
+fold, an equal number of each language (but one at least), drawn by a hash of the text, and
+on at most ``pieces`` windows of ``read`` bytes of each, evenly spread over all of it: three
+parameters of ``fit``. The driver holds these windows and one number a language. Scoring
+reads every document.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; with a
 single language in the sample that one has score 1; without any, all are ``und``. Repeated
@@ -31,15 +32,15 @@ from terracause.llm.shared import cut, fresh, give_back
 from terracause.llm.textvec import buffers, slices
 
 DOCUMENTS = 3_000
-WINDOWS = 4
+WINDOWS = 48
 #: Bytes of a training window.
 READ = 64
 CORE = 448
 CONTEXT = 32
-UNITS = 8
-EMBED = 8
-STEPS = 300
-BATCH = 128
+UNITS = 16
+EMBED = 12
+STEPS = 700
+BATCH = 256
 #: Windows that are read side by side, and bytes of text whose windows are found together.
 ROWS = 1024
 SLICE = 2 << 20
@@ -226,7 +227,7 @@ class Model:
         return out
 
 
-def _sample(batches: Iterator[pa.RecordBatch], most: int = WINDOWS, read: int = READ) -> Iterator[pa.RecordBatch]:
+def _sample(batches: Iterator[pa.RecordBatch], most: int, read: int) -> Iterator[pa.RecordBatch]:
     """Of each document ``most`` windows, evenly spread, cut at the ends of characters."""
     for batch in batches:
         data, offsets = buffers(batch.column(0))
@@ -244,21 +245,35 @@ def _sample(batches: Iterator[pa.RecordBatch], most: int = WINDOWS, read: int =
         yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.list_(pa.binary())), *batch.columns[1:]], ["pieces", *batch.schema.names[1:]])
 
 
-def fit(docs: DataFrame, documents: int = DOCUMENTS) -> Model:
-    """Learn from at most ``documents`` documents with a language outside the held-out fold, as many of each language."""
-    known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+def sample_texts(known: DataFrame, documents: int) -> tuple[list[str], DataFrame | None]:
+    """Languages, and text and lang of as many different texts of each: ``documents`` together, one of each language at least.
+
+    Texts are told apart and drawn by hash alone; only the chosen ones are read again.
+    """
+    hashed = known.withColumn("_h", F.xxhash64("text"))
+    distinct = cut(hashed.select("lang", "_h").distinct(), "op10-texts")
     # as many rows as there are languages: the classes of the model
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: (r.n, r.least) for r in distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("_h").alias("least")).collect()}
     languages = sorted(counts)
     if len(languages) < 2:
-        return Model(languages, None)
+        return languages, None
     each = max(1, documents // len(languages))
-    rates = docs.sparkSession.createDataFrame([(name, min(1.0, 1.5 * each / n)) for name, n in counts.items()], "lang string, _rate double")
-    drawn = known.withColumn("_h", F.xxhash64("doc_id", "text")).join(F.broadcast(rates), "lang").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_rate") * (1 << 30))
-    # half as many again as wanted of each language, about
-    rows = cut(drawn.select("text", "lang", "_h").dropDuplicates(["lang", "_h"]), "op10")
+    rates = known.sparkSession.createDataFrame([(name, min(1.0, 1.5 * each / n), least) for name, (n, least) in counts.items()], "lang string, _rate double, _least long")
+    # half as many again as wanted of each language, about, and one of each for certain
+    drawn = distinct.join(F.broadcast(rates), "lang").where((F.pmod("_h", F.lit(1 << 30)) < F.col("_rate") * (1 << 30)) | (F.col("_h") == F.col("_least")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))
-    some = rows.mapInArrow(_sample, "pieces array<binary>, lang string, _h long").withColumn("_n", nth).where(F.col("_n") <= each)
+    chosen = drawn.withColumn("_n", nth).where(F.col("_n") <= each).select("lang", "_h")
+    # ``documents`` rows at most, or one a language
+    return languages, hashed.join(F.broadcast(cut(chosen, "op10-chosen")), ["lang", "_h"]).groupBy("lang", "_h").agg(F.first("text").alias("text")).select("text", "lang")
+
+
+def fit(docs: DataFrame, documents: int = DOCUMENTS, pieces: int = WINDOWS, read: int = READ) -> Model:
+    """Learn from at most ``documents`` different texts with a language outside the held-out fold, as many of each language."""
+    known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).select("text", "lang")
+    languages, rows = sample_texts(known, documents)
+    if rows is None:
+        return Model(languages, None)
+    some = rows.mapInArrow(lambda batches: _sample(batches, pieces, read), "pieces array<binary>, lang string")
     got = some.select(F.explode("pieces").alias("piece"), "lang").toPandas().sort_values(["lang", "piece"], ignore_index=True)
     if not len(got):
         return Model(languages, None)

@@ -70,6 +70,24 @@ def test_language_of_small_tables(spark):
     assert language.documents_report(frame(spark, none)).first().lang_pred == "und"
 
 
+def test_language_whose_rows_are_repeats(spark):
+    """A language of eight texts, each thousands of times under one id, beside many others: it is learnt, each text once."""
+    rows, _ = corpus(200)
+    rows = [r for r in rows if r[2] != "cc"]
+    few = [(9001 + i, " ".join("eau çon lé".split() * (8 + i)), "cc") for i in range(8)]
+    df = frame(spark, rows).select("doc_id", "text", "lang")
+    copies = spark.createDataFrame(few, df.schema).crossJoin(spark.range(700)).select("doc_id", "text", "lang")
+    both = df.unionByName(copies)
+    names, some = language.sample_texts(both.where("lang is not null and text is not null").where(~quality.held_out(F.col("doc_id"))).select("text", "lang"), 60)
+    count = {r.lang: r["count"] for r in some.groupBy("lang").count().collect()}
+    kept = spark.createDataFrame(few, df.schema).where(~quality.held_out(F.col("doc_id"))).count()
+    assert names == ["aa", "bb", "cc"] and count == {"aa": 20, "bb": 20, "cc": kept} and kept > 0
+    one = language.sample_texts(both.where("lang is not null and text is not null").select("text", "lang"), 2)[1]
+    assert sorted(r.lang for r in one.collect()) == ["aa", "bb", "cc"]
+    got = language.documents_report(both.dropDuplicates(["doc_id"]).unionByName(copies.limit(0)))
+    assert {r.lang_pred for r in got.where("doc_id > 9000 and doc_id < 9009").collect()} == {"cc"}
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in language.start_weights(3).items()}
