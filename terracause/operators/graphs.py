@@ -22,19 +22,24 @@ def forbidden_edges(lags: DataFrame, roots: tuple[str, ...] = ("month_sin", "mon
     return side("parent").join(side("child"), KEYS).where((F.col("parent") != F.col("child")) & barred).select(*KEYS, "parent", "child")
 
 
+def _edge(edges: DataFrame) -> list[str]:
+    """What names an edge within a pixel: parent and child, and the lag where edges have one."""
+    return [c for c in ("lag", "parent", "child") if c in edges.columns]
+
+
 def edge_probability(edges: DataFrame, least: float) -> DataFrame:
-    """Share of replicates in which an edge's weight exceeds ``least``; a replicate without the edge counts as none."""
-    boot = edges.where("replicate > 0")
+    """Share of replicates in which an edge's weight exceeds ``least``, per lag where there are lags; a replicate without the edge counts as none."""
+    boot, edge = edges.where("replicate > 0"), _edge(edges)
     sizes = boot.groupBy(*KEYS).agg(F.countDistinct("replicate").alias("_n"))
-    have = boot.groupBy(*KEYS, "parent", "child").agg(F.sum((F.abs("weight") > least).cast("int")).alias("_k"))
-    return have.join(sizes, KEYS).select(*KEYS, "parent", "child", (F.col("_k") / F.col("_n")).alias("probability"))
+    have = boot.groupBy(*KEYS, *edge).agg(F.sum((F.abs("weight") > least).cast("int")).alias("_k"))
+    return have.join(sizes, KEYS).select(*KEYS, *edge, (F.col("_k") / F.col("_n")).alias("probability"))
 
 
 def consensus_edges(edges: DataFrame, least_probability: float, least_weight: float, least_effect: float = 0.0) -> DataFrame:
-    """Fitted edges with a probability and an absolute weight that reach the limits."""
+    """Fitted edges with a probability and an absolute weight that reach the limits, each lag by itself."""
     p = edge_probability(edges, least_effect)
     point = edges.where("replicate = 0").drop("replicate")
-    return point.join(p, [*KEYS, "parent", "child"]).where((F.col("probability") >= least_probability) & (F.abs("weight") >= least_weight))
+    return point.join(p, [*KEYS, *_edge(edges)]).where((F.col("probability") >= least_probability) & (F.abs("weight") >= least_weight))
 
 
 def graph_signature(edges: DataFrame, mode: str = "topology", digits: int = 2) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracause.operators.effects import bootstrap_summary, causal_paths, total_effects
-from terracause.sources.tables import scratch, table_replace
+from terracause.operators.effects import causal_paths, total_effects
+from terracause.operators.graphmatrix import finite, graph_rows, inverses, keys_of, map_graphs, matrices, multipliers
 
 KEYS = ["row", "col"]
 GRAPH = ["row", "col", "replicate"]
@@ -16,11 +18,16 @@ GRAPH = ["row", "col", "replicate"]
 
 @dataclass(frozen=True)
 class Value:
-    """A value for a variable: fixed, mean, median, quantile, climatology_mean, delta, scale, qdelta, zdelta or fraction_to."""
+    """A value for a variable: fixed, mean, median, quantile, climatology_mean, climatology_median, climatology_quantile, delta, scale, qdelta, zdelta or fraction_to.
+
+    ``by`` names the columns that a climatology goes by; ``reference`` is what ``fraction_to`` goes
+    towards, by the name of a kind or as a value of its own, ``fraction_to`` included.
+    """
 
     kind: str
     amount: float = 0.0
-    reference: str | None = None
+    reference: str | Value | None = None
+    by: tuple[str, ...] = ("month",)
 
 
 @dataclass(frozen=True)
@@ -40,29 +47,86 @@ class Mechanism:
     new: bool = False
 
 
+@dataclass(frozen=True)
+class Goal:
+    """Set ``variable`` to whatever brings ``target`` to a value; the goals of a scenario are met together."""
+
+    variable: str
+    target: str
+    value: Value
+
+
 @dataclass(frozen=True)
 class Scenario:
     name: str
     hard: tuple[Hard, ...] = ()
     mechanisms: tuple[Mechanism, ...] = ()
+    goals: tuple[Goal, ...] = ()
+
+    def variables(self) -> list[str]:
+        return [h.variable for h in self.hard] + [v for m in self.mechanisms for v in (m.parent, m.child)] + [v for g in self.goals for v in (g.variable, g.target)]
+
+    def problem(self, known: list[str]) -> str | None:
+        """Why the scenario can't be worked out for any pixel."""
+        gone = sorted({v for v in self.variables() if v not in known})
+        held = [h.variable for h in self.hard] + [g.variable for g in self.goals]
+        loops = [m.child for m in self.mechanisms if m.parent == m.child]
+        if gone:
+            return f"unknown variables: {', '.join(gone)}"
+        if not self.variables():
+            return "nothing changed"
+        if loops:
+            return f"self-loops: {', '.join(loops)}"
+        return f"set more than once: {', '.join(sorted({v for v in held if held.count(v) > 1}))}" if len(set(held)) < len(held) else None
+
+
+class Values:
+    """Columns for value specifications, and the statistics of a pixel's series that they need."""
+
+    def __init__(self, q_low: float = 0.1, q_high: float = 0.9):
+        self.span, self.own, self.clim = (q_low, q_high), {}, {}
+
+    def _stat(self, make: Column, label: str, by: tuple[str, ...] | None = None) -> Column:
+        into = self.own if by is None else self.clim.setdefault(by, {})
+        name = "_" + (label if by is None else f"{'_'.join(by)}_{label}").replace(".", "_")
+        into[name] = make.alias(name)
+        return F.col(name)
+
+    def column(self, variable: str, spec: Value, base: Column | None = None) -> Column:
+        """The value of a row, whose own is ``base`` (the variable's, unless given)."""
+        x, k, a = F.col(variable) if base is None else base, spec.kind, spec.amount
+        part = min(max(a, 0.0), 1.0)
+        if k in ("delta", "scale", "fixed"):
+            return {"delta": x + a, "scale": x * a, "fixed": F.lit(float(a))}[k]
+        if k in ("mean", "median", "quantile"):
+            return self._stat({"mean": F.avg(variable), "median": F.percentile(variable, 0.5), "quantile": F.percentile(variable, part)}[k], f"{k}_{part if k == 'quantile' else ''}_{variable}")
+        if k == "zdelta":
+            return x + a * self._stat(F.stddev_samp(variable), f"sd_{variable}")
+        if k == "qdelta":
+            return x + a * self._stat(F.percentile(variable, self.span[1]) - F.percentile(variable, self.span[0]), f"span_{variable}")
+        if k == "fraction_to":
+            aim = spec.reference if isinstance(spec.reference, Value) else Value(spec.reference or "mean", by=spec.by)
+            return x + a * (self.column(variable, aim, base) - x)
+        if k.startswith("climatology_"):
+            of = k.removeprefix("climatology_")
+            make = {"mean": F.avg(variable), "median": F.percentile(variable, 0.5), "quantile": F.percentile(variable, part)}[of]
+            return self._stat(make, f"{of}_{part if of == 'quantile' else ''}_{variable}", tuple(spec.by))
+        raise ValueError(f"unknown kind of value: {k}")
+
+    def joined(self, rows: DataFrame, panel: DataFrame) -> DataFrame:
+        """``rows`` beside the statistics of the panel's series."""
+        if self.own:
+            rows = rows.join(panel.groupBy(*KEYS).agg(*self.own.values()), KEYS)
+        for by, stats in self.clim.items():
+            rows = rows.join(panel.groupBy(*KEYS, *by).agg(*stats.values()), [*KEYS, *by])
+        return rows
 
 
 def value_spec(panel: DataFrame, variable: str, spec: Value, q_low: float = 0.1, q_high: float = 0.9) -> DataFrame:
-    """Each row's value under a specification, from the pixel's own series (climatology: its calendar month's); ``qdelta`` counts in spans from ``q_low`` to ``q_high``."""
-    x, k = F.col(variable), spec.kind
-    own = panel.groupBy(*KEYS).agg(F.avg(variable).alias("_mean"), F.percentile(variable, 0.5).alias("_median"), F.stddev_samp(variable).alias("_sd"), F.percentile(variable, [min(max(spec.amount, 0.0), 1.0), 0.0, 1.0]).alias("_q"), F.percentile(variable, [q_low, q_high]).alias("_span"))
-    rows = panel.join(own, KEYS)
-    if k.startswith("climatology"):
-        clim = panel.groupBy(*KEYS, "month").agg(F.avg(variable).alias("_cmean"), F.percentile(variable, 0.5).alias("_cmedian"), F.percentile(variable, min(max(spec.amount, 0.0), 1.0)).alias("_cq"))
-        rows = rows.join(clim, [*KEYS, "month"])
-    if k == "fraction_to":
-        value: Column = x + spec.amount * ({"mean": F.col("_mean"), "median": F.col("_median")}[spec.reference or "mean"] - x)
-    else:
-        value = {
-            "fixed": F.lit(spec.amount), "mean": F.col("_mean"), "median": F.col("_median"), "quantile": F.col("_q")[0], "delta": x + spec.amount, "scale": x * spec.amount, "qdelta": x + spec.amount * (F.col("_span")[1] - F.col("_span")[0]), "zdelta": x + spec.amount * F.col("_sd"),
-            **({"climatology_mean": F.col("_cmean"), "climatology_median": F.col("_cmedian"), "climatology_quantile": F.col("_cq")} if k.startswith("climatology") else {}),
-        }[k]
-    return rows.select(*KEYS, "year", "month", x.alias("baseline"), value.alias("value"))
+    """Each row's value under a specification, from the pixel's own series (climatologies by the columns they name); ``qdelta`` counts in spans from ``q_low`` to ``q_high``."""
+    values = Values(q_low, q_high)
+    value = values.column(variable, spec)
+    return values.joined(panel, panel).select(*KEYS, "year", "month", F.col(variable).alias("baseline"), value.alias("value"))
 
 
 def cut_incoming(edges: DataFrame, variables: list[str]) -> DataFrame:
@@ -119,7 +183,6 @@ def goal_seek(edges: DataFrame, panel: DataFrame, variable: str, target: str, go
 
 def goal_seek_joint(edges: DataFrame, controls: list[str], goals: dict[str, float], variables: int) -> DataFrame:
     """Changes of k variables that move k targets by their goals together: one k x k solve a graph."""
-    import numpy as np
     import pandas as pd
 
     from terracause.operators.linalg import solve
@@ -138,68 +201,222 @@ def goal_seek_joint(edges: DataFrame, controls: list[str], goals: dict[str, floa
     return response.groupBy(*GRAPH).applyInPandas(run, "row int, col int, replicate int, variable string, change double")
 
 
-def scenario_events(edges: DataFrame, panel: DataFrame, scenario: Scenario, targets: list[str], variables: int) -> DataFrame:
-    """Counterfactual change of each target at every event: the mechanisms' part, then each set variable's part.
+WEIGHTS = "row int, col int, replicate int, scenario string, part string, name string, target string, quantity string, weight double, error string"
+
+
+def changed_matrices(b: np.ndarray, mechanisms: tuple[Mechanism, ...], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices (graphs x child x parent) after the changes, in order, and for each graph which change it refuses (-1: none): one that would make an edge it isn't allowed to."""
+    out, refused = b.copy(), np.full(len(b), -1)
+    for i, m in enumerate(mechanisms):
+        p, c = names.index(m.parent), names.index(m.child)
+        old = out[:, c, p]
+        new = {"scale": old * m.amount, "set": np.full(len(b), float(m.amount)), "add": old + m.amount}[m.how]
+        if not m.new:
+            refused = np.where((refused < 0) & (old == 0) & (new != 0), i, refused)
+        out[:, c, p] = new
+    return out, refused
+
+
+def mechanism_refusals(edges: DataFrame, changes: tuple[Mechanism, ...], names: list[str]) -> DataFrame:
+    """Error rows of the graphs that refuse a change: row, col, replicate, error. Self-loops are refused by all."""
+
+    def work(batch):
+        b = matrices(batch.column(4), len(names), 0)[:, 0]
+        loops = [i for i, m in enumerate(changes) if m.parent == m.child]
+        refused = np.full(len(b), loops[0]) if loops else changed_matrices(b, changes, names)[1]
+        at = np.flatnonzero(refused >= 0)
+        return [*keys_of(batch, at), pa.array([_refusal(changes[refused[i]]) for i in at], pa.string())]
 
-    A variable's change counts from where the changed mechanisms alone would have left it.
+    return map_graphs(graph_rows(edges, names), "row int, col int, replicate int, error string", work)
+
+
+def _refusal(m: Mechanism) -> str:
+    return f"self-loop: {m.parent}" if m.parent == m.child else f"no edge: {m.parent}->{m.child}"
+
+
+def scenario_weights(edges: DataFrame, names: list[str], scenarios: list[Scenario], targets: list[str]) -> DataFrame:
+    """What a scenario does in each graph, as weights of an event's quantities; one pass over the graphs for all scenarios.
+
+    With z the event's distances from the pixel's means and e = (I - B) z its disturbances, which
+    stay: the changed mechanisms alone move all variables by (I - B')^-1 (B' - B) z. Set variables
+    and those of goals then move the rest through B' without their own equations, each from where
+    the mechanisms left it; goals solve one small system together. All of it is linear in the
+    quantities ``z:variable``, ``d:variable`` (set value less baseline) and ``g:target`` (goal less
+    baseline). Parts are mechanism, hard and goal (effects on a target; ``name`` is the change), and
+    required (the change of a goal's variable). A graph that refuses a change or whose system is
+    singular has an error row.
     """
-    set_ = [h.variable for h in scenario.hard]
-    cut = cut_incoming(change_mechanisms(edges, scenario.mechanisms), set_)
-    parts = []
-    if scenario.mechanisms:
-        drift = mechanism_change(edges, panel, scenario.mechanisms, sorted({*targets, *set_}), variables)
-        parts.append(drift.where(F.col("target").isin(*targets)).withColumnRenamed("delta", "effect"))
-    response = total_effects(cut, variables).where(F.col("parent").isin(*set_) & F.col("child").isin(*targets)) if set_ else None
-    for h in scenario.hard:
-        values = value_spec(panel, h.variable, h.value).select(*KEYS, "year", "month", (F.col("value") - F.col("baseline")).alias("_x"))
-        moved = edges.select(*GRAPH).distinct().join(values, KEYS)
-        if scenario.mechanisms:
-            own = drift.where(F.col("target") == h.variable).select(*GRAPH, "year", "month", "delta")
-            moved = moved.join(own, [*GRAPH, "year", "month"], "left").withColumn("_x", F.col("_x") - F.coalesce("delta", F.lit(0.0))).drop("delta")
-        weight = response.where(F.col("parent") == h.variable).select(*GRAPH, F.col("child").alias("target"), F.col("effect").alias("_e"))
-        parts.append(moved.join(weight, GRAPH).select(*GRAPH, "year", "month", "target", (F.col("_x") * F.col("_e")).alias("effect")))
-        if h.variable in targets:
-            parts.append(moved.select(*GRAPH, "year", "month", F.lit(h.variable).alias("target"), F.col("_x").alias("effect")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy(*GRAPH, "target", "year", "month").agg(F.sum("effect").alias("effect"))
-
-
-def scenario_table(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario], targets: list[str], variables: int, unit: str = "mean") -> DataFrame:
+    d, at = len(names), {n: i for i, n in enumerate(names)}
+
+    def one(b: np.ndarray, s: Scenario) -> tuple[list, np.ndarray]:
+        n = len(b)
+        after, refused = changed_matrices(b, s.mechanisms, names)
+        error = np.array([None if r < 0 else _refusal(s.mechanisms[r]) for r in refused], object)
+        quantities = [f"z:{v}" for v in names] + [f"d:{h.variable}" for h in s.hard] + [f"g:{g.target}" for g in s.goals]
+        k = len(quantities)
+        form = np.zeros((n, d, k))  # how the mechanisms alone move each variable
+        form[:, :, :d] = multipliers(after) @ (after - b)
+        held = [at[h.variable] for h in s.hard] + [at[g.variable] for g in s.goals]
+        cut = after.copy()
+        cut[:, held] = 0
+        reach = multipliers(cut)[:, :, held]  # variable x held
+        h = len(s.hard)
+        moved = np.zeros((n, len(held), k))
+        for i, change in enumerate(s.hard):
+            moved[:, i] = -form[:, at[change.variable]]
+            moved[:, i, d + i] += 1
+        if s.goals:
+            aims = [at[g.target] for g in s.goals]
+            gap = -form[:, aims] - reach[:, aims, :h] @ moved[:, :h]
+            for i in range(len(aims)):
+                gap[:, i, d + h + i] += 1
+            system = reach[:, aims, h:]
+            # a target that no control reaches leaves a system without an inverse
+            size = np.abs(system).max((1, 2))
+            solved = inverses(np.where(np.isfinite(system), system, 0))
+            bad = ~np.isfinite(solved).all((1, 2)) | (np.abs(solved).max((1, 2)) * size > 1e12)
+            error = np.where(bad & (error == None), "goals: singular", error)  # noqa: E711
+            moved[:, h:] = np.where(bad[:, None, None], 0, solved) @ gap
+        lost = ~(np.isfinite(form).all((1, 2)) & np.isfinite(reach).all((1, 2)))
+        error = np.where(lost & (error == None), "graph: singular", error)  # noqa: E711
+        lines = []
+        if s.mechanisms:
+            lines += [("mechanism", "mechanisms", t, form[:, at[t]]) for t in targets]
+        for i, change in enumerate([*s.hard, *s.goals]):
+            kind = "hard" if i < h else "goal"
+            lines += [(kind, change.variable, t, reach[:, at[t], i, None] * moved[:, i]) for t in targets]
+            if kind == "goal":
+                lines.append(("required", change.variable, None, moved[:, i] + form[:, at[change.variable]]))
+        return [(part, name, target, quantities, w) for part, name, target, w in lines], error
+
+    def work(batch):
+        b = matrices(batch.column(4), d, 0)[:, 0]
+        columns, take, values = [[] for _ in range(6)], [], []
+        for s in scenarios:
+            lines, error = one(b, s)
+            wrong = np.flatnonzero(error != None)  # noqa: E711
+            take.append(wrong)
+            for c, v in zip(columns, (s.name, None, None, None, None, None), strict=True):
+                c += [v] * len(wrong)
+            errors = columns[5]
+            errors[len(errors) - len(wrong) :] = list(error[wrong])
+            good = error == None  # noqa: E711
+            for part, name, target, quantities, w in lines:
+                for q, quantity in enumerate(quantities):
+                    some = np.flatnonzero(good & (w[:, q] != 0))
+                    take.append(some)
+                    for c, v in zip(columns, (s.name, part, name, target, quantity, None), strict=True):
+                        c += [v] * len(some)
+                    values.append((len(columns[0]) - len(some), w[some, q]))
+        weight = np.full(len(columns[0]), np.nan)
+        for start, w in values:
+            weight[start : start + len(w)] = w
+        text = [pa.array(c, pa.string()) for c in columns]
+        return [*keys_of(batch, np.concatenate(take).astype(np.int64)), *text[:5], finite(weight), text[5]]
+
+    return map_graphs(graph_rows(edges, names), WEIGHTS, work)
+
+
+def event_quantities(panel: DataFrame, scenarios: list[Scenario], unit: str = "none") -> DataFrame:
+    """The quantities that ``scenario_weights`` names, at every complete event: row, col, year, month, scenario, quantity, value.
+
+    Effects are linear, so for ``mean`` and ``sum`` one event a pixel and scenario is enough (year and month null).
+    """
+    values = Values()
+    columns: dict[str, dict[str, Column]] = {}
+    for s in scenarios:
+        columns[s.name] = {f"d:{h.variable}": values.column(h.variable, h.value) - F.col(h.variable) for h in s.hard} | {f"g:{g.target}": values.column(g.target, g.value) - F.col(g.target) for g in s.goals}
+    used = sorted({v for s in scenarios for v in s.variables()})
+    parents = sorted({m.parent for s in scenarios for m in s.mechanisms})
+    means = [values._stat(F.avg(v), f"mean__{v}") for v in parents]
+    complete = panel.na.drop(subset=used)
+    rows = values.joined(complete, complete)
+    for v, mean in zip(parents, means, strict=True):
+        for s in scenarios:
+            if any(m.parent == v for m in s.mechanisms):
+                columns[s.name][f"z:{v}"] = F.col(v) - mean
+    every = [(s.name, q, c) for s in scenarios for q, c in columns[s.name].items()]
+    if unit in ("mean", "sum"):
+        merge = F.avg if unit == "mean" else F.sum
+        rows = rows.groupBy(*KEYS).agg(*[merge(c).alias(f"_{i}") for i, (_, _, c) in enumerate(every)]).select("*", F.lit(None).cast("int").alias("year"), F.lit(None).cast("int").alias("month"))
+        every = [(s, q, F.col(f"_{i}")) for i, (s, q, _) in enumerate(every)]
+    out = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(q).alias("quantity"), c.cast("double").alias("value")) for s, q, c in every])
+    return rows.select(*KEYS, "year", "month", F.inline(out))
+
+
+def scenario_parts(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario], targets: list[str], names: list[str], unit: str = "none") -> tuple[DataFrame, DataFrame]:
+    """Effect of each part of each scenario (row, col, replicate, year, month, scenario, part, name, target, effect), and error rows of graphs."""
+    weights = scenario_weights(edges, names, scenarios, targets)
+    events = event_quantities(panel, scenarios, unit)
+    good = weights.where("error is null").drop("error")
+    effect = events.join(good, [*KEYS, "scenario", "quantity"]).groupBy(*GRAPH, "year", "month", "scenario", "part", "name", "target").agg(F.sum(F.col("weight") * F.col("value")).alias("effect"))
+    return effect, weights.where("error is not null").select(*GRAPH, "scenario", "error")
+
+
+def scenario_table(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario], targets: list[str], names: list[str], unit: str = "mean") -> DataFrame:
     """Scenarios x targets with the fit's change and its bootstrap interval: the ``mean``, ``median`` or ``sum`` over events, or each event (``none``, with year and month).
 
-    A scenario that changes nothing, or whose variables the panel doesn't have, gives error rows instead of failing all.
+    A scenario that can't be worked out gives an error row a pixel instead of failing all; so does a
+    fitted graph that refuses one of its changes or whose goals have no solution. Replicates that do
+    so don't count.
     """
-    # each scenario reads graphs and panel several times, and its events twice: they are written once
-    once = lambda df, label: table_replace(df, scratch(df.sparkSession, label))
-    edges, panel = once(edges, "scenario-graphs"), once(panel, "scenario-panel")
-    out, when = None, ["year", "month"] if unit == "none" else []
-    total = {"mean": F.avg("effect"), "median": F.percentile("effect", 0.5), "sum": F.sum("effect"), "none": F.first("effect")}[unit]
-    for s in scenarios:
-        used = [h.variable for h in s.hard] + [v for m in s.mechanisms for v in (m.parent, m.child)]
-        gone = sorted({v for v in used if v not in panel.columns})
-        if gone or not used:
-            error = f"unknown variables: {', '.join(gone)}" if gone else "nothing changed"
-            part = panel.select(*KEYS).distinct().select(*KEYS, *[F.lit(None).cast("int").alias(c) for c in when], F.lit(s.name).alias("scenario"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("effect"), *[F.lit(None).cast("double").alias(c) for c in ("boot_mean", "ci_low", "ci_high")], F.lit(error).alias("error"))
-        else:
-            each = once(scenario_events(edges, panel, s, targets, variables).groupBy(*GRAPH, "target", *when).agg(total.alias("effect")), "scenario-effects")
-            boot = bootstrap_summary(each, [*KEYS, "target", *when], "effect").select(*KEYS, "target", *when, "boot_mean", "ci_low", "ci_high")
-            part = each.where("replicate = 0").drop("replicate").join(boot, [*KEYS, "target", *when], "left").select(*KEYS, *when, F.lit(s.name).alias("scenario"), "target", "effect", "boot_mean", "ci_low", "ci_high", F.lit(None).cast("string").alias("error"))
+    when = ["year", "month"] if unit == "none" else []
+    problems = {s.name: s.problem([n for n in names if n in panel.columns]) for s in scenarios}
+    fine = [s for s in scenarios if problems[s.name] is None]
+    none = lambda *cs: [F.lit(None).cast("double").alias(c) for c in cs]
+    wrong = [F.struct(F.lit(s).alias("scenario"), F.lit(p).alias("error")) for s, p in problems.items() if p]
+    empty = [*[F.lit(None).cast("int").alias(c) for c in when]]
+    shape = lambda df: df.select(*KEYS, *empty, "scenario", F.lit(None).cast("string").alias("target"), *none("effect", "boot_mean", "ci_low", "ci_high"), "error")
+    out = shape(panel.select(*KEYS).distinct().select(*KEYS, F.inline(F.array(*wrong)))) if wrong else None
+    if fine:
+        effects, errors = scenario_parts(edges, panel, fine, targets, names, unit)
+        each = effects.where("part <> 'required'").groupBy(*GRAPH, "scenario", "target", "year", "month").agg(F.sum("effect").alias("effect"))
+        if unit == "median":
+            each = each.groupBy(*GRAPH, "scenario", "target").agg(F.percentile("effect", 0.5).alias("effect"))
+        keys = [*KEYS, "scenario", "target", *when]
+        # the fit and its replicates side by side, in one aggregation
+        boot = F.when(F.col("replicate") > 0, F.col("effect"))
+        part = each.groupBy(*keys).agg(F.max(F.when(F.col("replicate") == 0, F.col("effect"))).alias("effect"), F.avg(boot).alias("boot_mean"), F.percentile(boot, [0.025, 0.975]).alias("_q"), F.max((F.col("replicate") == 0).cast("int")).alias("_has"))
+        part = part.where("_has = 1").select(*KEYS, *when, "scenario", "target", "effect", "boot_mean", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), F.lit(None).cast("string").alias("error"))
+        part = part.unionByName(shape(errors.where("replicate = 0")))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def intervention_components(edges: DataFrame, panel: DataFrame, scenario: Scenario, target: str, variables: int, top: int) -> DataFrame:
-    """Rows per hard contribution and per strongest path in the cut graph, of the fit."""
-    fit = change_mechanisms(edges.where("replicate = 0"), scenario.mechanisms)
-    cut = cut_incoming(fit, [h.variable for h in scenario.hard])
-    out = None
+def required_values(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario], names: list[str], unit: str = "mean") -> DataFrame:
+    """What the variables of goals have to be: row, col, replicate, scenario, name, baseline, change, required and error, over events by ``mean``, or each (``none``, with year and month)."""
+    effects, errors = scenario_parts(edges, panel, scenarios, [names[0]], names, unit)
+    when = ["year", "month"] if unit == "none" else []
+    change = effects.where("part = 'required'").select(*GRAPH, *when, "scenario", "name", F.col("effect").alias("change"))
+    used = sorted({v for s in scenarios for v in s.variables()})
+    goals = sorted({g.variable for s in scenarios for g in s.goals})
+    complete = panel.na.drop(subset=used)
+    own = complete.select(*KEYS, "year", "month", F.inline(F.array(*[F.struct(F.lit(g).alias("name"), F.col(g).cast("double").alias("baseline")) for g in goals])))
+    if unit != "none":
+        own = own.groupBy(*KEYS, "name").agg((F.avg if unit == "mean" else F.sum)("baseline").alias("baseline"))
+    good = change.join(own, [*KEYS, "name", *when]).select(*GRAPH, *when, "scenario", "name", "baseline", "change", (F.col("baseline") + F.col("change")).alias("required"), F.lit(None).cast("string").alias("error"))
+    bad = errors.select(*GRAPH, *[F.lit(None).cast("int").alias(c) for c in when], "scenario", F.lit(None).cast("string").alias("name"), *[F.lit(None).cast("double").alias(c) for c in ("baseline", "change", "required")], "error")
+    return good.unionByName(bad)
+
+
+def intervention_components(edges: DataFrame, panel: DataFrame, scenario: Scenario, target: str, names: list[str], top: int, unit: str = "mean") -> DataFrame:
+    """Rows of the fit for one target: what the mechanisms, each set variable and each goal contribute (these add up to the
+    scenario's effect), each goal's required value, and the strongest paths from set variables in the cut graph.
+
+    Over events by ``mean`` or ``sum``, or each event (``none``, with year and month).
+    """
+    fit, when = edges.where("replicate = 0"), ["year", "month"] if unit == "none" else []
+    held = [*[h.variable for h in scenario.hard], *[g.variable for g in scenario.goals]]
+    effects, _ = scenario_parts(fit, panel, [scenario], sorted({target, *held}), names, unit)
+    kind = lambda text: F.lit(text).alias("kind")
+    out = effects.where((F.col("part") != "required") & (F.col("target") == target)).select(*KEYS, *when, F.col("part").alias("kind"), "name", F.col("effect").alias("contribution"))
+    if scenario.goals:
+        need = required_values(fit, panel, [scenario], names, unit).where("error is null")
+        out = out.unionByName(need.select(*KEYS, *when, kind("required"), "name", F.col("required").alias("contribution")))
+    cut = cut_incoming(change_mechanisms(fit, scenario.mechanisms), held)
     for h in scenario.hard:
-        moved = value_spec(panel, h.variable, h.value).groupBy(*KEYS).agg(F.avg(F.col("value") - F.col("baseline")).alias("_x"))
-        response = total_effects(cut, variables).where((F.col("parent") == h.variable) & (F.col("child") == target)).select(*KEYS, F.col("effect").alias("_e"))
-        hard = moved.join(response, KEYS).select(*KEYS, F.lit("hard").alias("kind"), F.lit(h.variable).alias("name"), (F.col("_x") * F.col("_e")).alias("contribution"))
-        paths = causal_paths(cut, h.variable, target, variables - 1, top).join(moved, KEYS).select(*KEYS, F.lit("path").alias("kind"), F.col("path").alias("name"), (F.col("product") * F.col("_x")).alias("contribution"))
-        both = hard.unionByName(paths)
-        out = both if out is None else out.unionByName(both)
+        # how far the variable is moved, from where the mechanisms leave it
+        moved = effects.where((F.col("part") == "hard") & (F.col("name") == h.variable) & (F.col("target") == h.variable)).select(*KEYS, *when, F.col("effect").alias("_x"))
+        paths = causal_paths(cut, h.variable, target, len(names) - 1, top).join(moved, KEYS)
+        out = out.unionByName(paths.select(*KEYS, *when, kind("path"), F.col("path").alias("name"), (F.col("product") * F.col("_x")).alias("contribution")))
     return out

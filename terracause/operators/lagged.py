@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terracause.operators.effects import total_effects
+from terracause.operators.effects import bootstrap_summary, total_effects
+from terracause.operators.graphmatrix import finite, graph_rows, impulse, keys_of, map_graphs, matrices, multipliers, radii, reduced
+from terracause.operators.interventions import Scenario, Values
 
 KEYS = ["row", "col"]
 GRAPH = ["row", "col", "replicate"]
+DYNAMIC = "row int, col int, replicate int, source string, target string, horizon int, direct double, lag_slice double, effect double, cumulative double, radius double, stable boolean"
 
 
 def reduced_form(edges: DataFrame, variables: int) -> DataFrame:
@@ -19,44 +24,69 @@ def reduced_form(edges: DataFrame, variables: int) -> DataFrame:
     return past.unionByName(on).groupBy(*GRAPH, "lag", "parent", "child").agg(F.sum("weight").alias("weight"))
 
 
-def dynamic_effects(edges: DataFrame, names: list[str], horizon: int) -> DataFrame:
-    """Theta_h of every ordered pair up to a horizon, unrolled as joins: Theta_h = sum over l of A_l Theta_{h-l}."""
-    d = len(names)
-    a = reduced_form(edges, d).select(*GRAPH, "lag", F.col("parent").alias("_p"), F.col("child").alias("_c"), F.col("weight").alias("_w"))
-    graphs = edges.select(*GRAPH).distinct()
-    unit = graphs.select(*GRAPH, F.explode(F.array(*map(F.lit, names))).alias("source")).withColumn("target", F.col("source")).withColumn("effect", F.lit(1.0))
-    total = total_effects(edges.where("lag = 0").drop("lag"), d).select(*GRAPH, F.col("parent").alias("source"), F.col("child").alias("target"), "effect")
-    theta = [unit.unionByName(total)]
-    for h in range(1, horizon + 1):
-        parts = None
-        for lag in range(1, h + 1):
-            step = theta[h - lag].withColumnRenamed("target", "_p").join(a.where(F.col("lag") == lag), [*GRAPH, "_p"]).select(*GRAPH, "source", F.col("_c").alias("target"), (F.col("effect") * F.col("_w")).alias("effect"))
-            parts = step if parts is None else parts.unionByName(step)
-        theta.append(parts.groupBy(*GRAPH, "source", "target").agg(F.sum("effect").alias("effect")))
-    out = None
-    for h, t in enumerate(theta):
-        one = t.withColumn("horizon", F.lit(h))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("cumulative", F.sum("effect").over(Window.partitionBy(*GRAPH, "source", "target").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)))
+def dynamic_effects(edges: DataFrame, names: list[str], horizon: int, threshold: float = 1.0, connected: bool = True) -> DataFrame:
+    """Theta_h of every ordered pair up to a horizon, with its running sum, from one small recursion a graph and replicate.
 
+    ``direct`` is the edge at lag h (0 beyond the deepest lag), ``lag_slice`` the edge's way on
+    through the instantaneous graph (at 0 the total effect; null beyond), ``radius`` the largest
+    eigenvalue of the graph's dynamics, and ``stable`` whether it is below the threshold. Graphs
+    that can't be inverted or whose effects aren't finite have no rows; with ``connected``,
+    pairs without any effect up to the horizon have none either.
+    """
+    d = len(names)
 
-def stability_radius(edges: DataFrame, names: list[str]) -> DataFrame:
-    """Largest absolute eigenvalue of the companion matrix of each graph and replicate."""
-    import numpy as np
-    import pandas as pd
+    def work(batch):
+        lags = batch.column(3).to_numpy()
+        b = matrices(batch.column(4), d, int(lags.max(initial=0)))
+        first, a = reduced(b)
+        theta, radius = impulse(first, a, horizon), radii(a)
+        total = np.cumsum(theta, axis=1)
+        direct, piece = np.zeros(theta.shape), np.full(theta.shape, np.nan)
+        deep = min(horizon, b.shape[1] - 1)
+        direct[:, : deep + 1] = b[:, : deep + 1]
+        piece[:, 0], piece[:, 1 : deep + 1] = theta[:, 0], a[:, :deep]
+        keep = (np.isfinite(total).all((1, 2, 3)) & np.isfinite(radius))[:, None, None] & (np.ones((1, d, d), bool) if not connected else (theta != 0).any(1))
+        graph, target, source = np.nonzero(keep)
+        n, h = len(graph), np.tile(np.arange(horizon + 1, dtype=np.int32), len(graph))
+        where = np.repeat(graph, horizon + 1)
+        word = pa.array(names)
+        wide = lambda x: finite(x[graph, :, target, source].ravel())
+        return [*keys_of(batch, where), word.take(pa.array(np.repeat(source, horizon + 1))), word.take(pa.array(np.repeat(target, horizon + 1))), h[: n * (horizon + 1)], wide(direct), wide(piece), wide(theta), wide(total), radius[where], radius[where] < threshold]
+
+    return map_graphs(graph_rows(edges, names), DYNAMIC, work)
+
+
+def dynamic_table(effects: DataFrame, contrasts: DataFrame, graphs: DataFrame) -> DataFrame:
+    """One row a pixel, pair and horizon: the fit's effects, also in contrasts of source and target, and intervals over stable replicates.
+
+    ``effects`` has all pairs of :func:`dynamic_effects`, ``contrasts`` row, col, variable and delta, and
+    ``graphs`` the row, col and replicate of all graphs. Matrices of a replicate stay together throughout.
+    """
+    pair = [*KEYS, "source", "target", "horizon"]
+    src = contrasts.select(*KEYS, F.col("variable").alias("source"), F.col("delta").alias("_s"))
+    tgt = contrasts.select(*KEYS, F.col("variable").alias("target"), F.col("delta").alias("_t"))
+    scale = F.try_divide("_s", F.when(F.col("_t") != 0, F.col("_t")))
+    each = effects.join(src, [*KEYS, "source"], "left").join(tgt, [*KEYS, "target"], "left").withColumn("scaled", F.col("effect") * scale).withColumn("scaled_cumulative", F.col("cumulative") * scale).drop("_s", "_t")
+    point = each.where("replicate = 0").drop("replicate")
+    sizes = graphs.where("replicate > 0").groupBy(*KEYS).agg(F.countDistinct("replicate").alias("n_replicates"))
+    steady = each.where("stable or replicate = 0")
+    out = point
+    for value in ("effect", "cumulative", "scaled"):
+        summary = bootstrap_summary(steady, pair, value)
+        names = ["boot_mean", "boot_sd", "ci_low", "ci_high", "p_positive", "excludes_zero"]
+        out = out.join(summary.select(*pair, *(["boot_n"] if value == "effect" else []), *[F.col(c).alias(f"{value}_{c}") for c in names]), pair, "left")
+    return out.withColumnRenamed("boot_n", "n_stable").join(sizes, KEYS, "left").withColumn("n_stable", F.coalesce("n_stable", F.lit(0)))
 
-    from terracause.operators.linalg import spectral_radius
 
-    a = reduced_form(edges, len(names))
+def stability_radius(edges: DataFrame, names: list[str]) -> DataFrame:
+    """Largest absolute eigenvalue of the companion matrix of each graph and replicate; null where the graph has no inverse."""
+    d = len(names)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        lagged = [np.zeros((len(names), len(names))) for _ in range(int(g["lag"].max()))]
-        for lag, p, c, w in zip(g["lag"], g.parent, g.child, g.weight, strict=True):
-            lagged[int(lag) - 1][names.index(c), names.index(p)] = w
-        f = g.iloc[0]
-        return pd.DataFrame([(int(f["row"]), int(f["col"]), int(f["replicate"]), spectral_radius(lagged))], columns=["row", "col", "replicate", "radius"])
+    def work(batch):
+        b = matrices(batch.column(4), d, int(batch.column(3).to_numpy().max(initial=0)))
+        return [*keys_of(batch, np.arange(len(b))), finite(radii(reduced(b)[1]))]
 
-    return a.groupBy(*GRAPH).applyInPandas(run, "row int, col int, replicate int, radius double")
+    return map_graphs(graph_rows(edges, names), "row int, col int, replicate int, radius double", work)
 
 
 def stability_summary(radius: DataFrame) -> DataFrame:
@@ -112,3 +142,111 @@ def var_intervention(edges: DataFrame, names: list[str], variable: str, value: f
         return pd.DataFrame(rows, columns=["row", "col", "replicate", "horizon", "variable", "effect", "cumulative"])
 
     return edges.groupBy(*GRAPH).applyInPandas(run, "row int, col int, replicate int, horizon int, variable string, effect double, cumulative double")
+
+
+PATHS = "row int, col int, replicate int, scenario string, target string, horizon int, active boolean, factual double, counterfactual double, effect double, cumulative double, stable boolean"
+
+
+def var_windows(panel: DataFrame, names: list[str], scenarios: list[Scenario], start: tuple[int, int] | None, lags: int, horizon: int) -> DataFrame:
+    """One row a pixel: its path from ``lags`` months before the start to the horizon, the set values of each step, and an error where there is none.
+
+    Without a start month the path is one of zeros (the mean), and set values count from there.
+    """
+    asks = [(h.variable, h.value) for s in scenarios for h in s.hard]
+    values = Values()
+    series = panel.na.drop(subset=names)
+    if start is None:
+        if any("climatology" in v.kind for _, v in asks):
+            raise ValueError("a climatology needs a start month")
+        columns = [values.column(v, spec, F.lit(0.0)).cast("double") for v, spec in asks]
+        rows = values.joined(series.select(*KEYS).distinct(), series)
+        zeros = F.array_repeat(F.lit(0.0), (lags + horizon + 1) * len(names))
+        return rows.select(*KEYS, zeros.alias("path"), F.flatten(F.array_repeat(F.array(*columns), horizon + 1)).alias("set"), F.lit(None).cast("string").alias("error"))
+    columns = [values.column(v, spec).cast("double") for v, spec in asks]
+    own = Window.partitionBy(*KEYS)
+    here = (F.col("year") == start[0]) & (F.col("month") == start[1])
+    rows = series.withColumn("_i", F.row_number().over(own.orderBy("year", "month"))).withColumn("_s", F.max(F.when(here, F.col("_i"))).over(own)).withColumn("_n", F.count("*").over(own))
+    step = F.col("_i") - F.col("_s")
+    inside = values.joined(rows.where(step.between(-lags, horizon)), series)
+    one = F.struct(step.alias("step"), (F.col("year") * 12 + F.col("month")).alias("ym"), F.array(*[F.col(v).cast("double") for v in names]).alias("x"), F.array(*columns).alias("v"))
+    held = inside.groupBy(*KEYS).agg(F.sort_array(F.collect_list(one)).alias("_w"))  # lags + horizon + 1 rows
+    pixels = rows.groupBy(*KEYS).agg(F.max("_s").alias("_s"), F.max("_n").alias("_n")).join(held, KEYS, "left")
+    whole = F.element_at("_w", -1)["ym"] - F.element_at("_w", 1)["ym"] == lags + horizon
+    error = F.when(F.col("_s").isNull(), "no row for the start month").when(F.col("_s") <= lags, "not enough months before the start").when(F.col("_s") + horizon > F.col("_n"), "the horizon is beyond the series").when(~whole, "months are missing")
+    return pixels.select(*KEYS, F.flatten(F.col("_w.x")).alias("path"), F.flatten(F.slice(F.col("_w.v"), lags + 1, horizon + 1)).alias("set"), error.alias("error"))
+
+
+def var_paths(edges: DataFrame, panel: DataFrame, names: list[str], scenarios: list[Scenario], targets: list[str], horizon: int, duration: int, start: tuple[int, int] | None = None, threshold: float = 1.0) -> DataFrame:
+    """Path of each target when a scenario's variables are held for ``duration`` steps: factual, counterfactual, effect and its running sum.
+
+    With a start month (year, month) the pixel's own innovations are inferred from its series,
+    e_t = x_t - sum of B_l x_{t-l}, and run again with the equations of the set variables
+    replaced while they are held; all of them are held together. Without one the path starts from
+    a state of zero and has no innovations. Matrices of a graph and replicate stay together; a batch of
+    them is simulated at once. Graphs that can't be inverted have no rows.
+    """
+    if any(s.mechanisms or s.goals for s in scenarios):
+        raise ValueError("lagged scenarios set variables only")
+    problems = {s.name: s.problem(names) for s in scenarios}
+    if any(problems.values()):
+        raise ValueError("; ".join(f"{n}: {p}" for n, p in problems.items() if p))
+    d = len(names)
+    # one number
+    lags = edges.agg(F.max("lag")).first()[0] or 0
+    windows = var_windows(panel, names, scenarios, start, lags, horizon)
+    rows = graph_rows(edges, names).join(windows.where("error is null").drop("error"), KEYS).select(*GRAPH, "lags", "cells", "path", "set")
+    held = [[names.index(h.variable) for h in s.hard] for s in scenarios]
+    aims = [names.index(t) for t in targets]
+
+    def work(batch):
+        b = matrices(batch.column(4), d, lags)
+        n = len(b)
+        x = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(n, lags + horizon + 1, d)
+        set_ = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(n, horizon + 1, -1)
+        free, a = reduced(b)
+        radius = radii(a)
+        shocks = x[:, lags:] - sum(np.einsum("nij,ntj->nti", b[:, lag], x[:, lags - lag : x.shape[1] - lag]) for lag in range(lags + 1))
+        if start is None:
+            shocks = np.zeros_like(shocks)
+        out, first = [], 0
+        for s, j in zip(scenarios, held, strict=True):
+            bound = b[:, 0].copy()
+            bound[:, j] = 0
+            fixed = multipliers(bound)
+            y = x.copy()
+            for t in range(horizon + 1):
+                push = shocks[:, t].copy()
+                for lag in range(1, lags + 1):
+                    push += np.einsum("nij,nj->ni", b[:, lag], y[:, lags + t - lag])
+                if t < duration:
+                    push[:, j] = set_[:, t, first : first + len(j)]
+                y[:, lags + t] = np.einsum("nij,nj->ni", fixed if t < duration else free, push)
+            first += len(j)
+            for i, target in zip(aims, targets, strict=True):
+                before, after = x[:, lags:, i], y[:, lags:, i]
+                out.append((s.name, target, before, after, after - before, np.cumsum(after - before, axis=1)))
+        good = np.flatnonzero(np.isfinite(np.stack([o[3] for o in out])).all((0, 2)))
+        k = len(good) * (horizon + 1)
+        take = np.tile(np.repeat(good, horizon + 1), len(out))
+        step = np.tile(np.arange(horizon + 1, dtype=np.int32), len(good) * len(out))
+        wide = lambda place: finite(np.concatenate([o[place][good].ravel() for o in out]))
+        text = lambda place: pa.array(np.repeat([o[place] for o in out], k), pa.string())
+        return [*keys_of(batch, take), text(0), text(1), step, step < duration, wide(2), wide(3), wide(4), wide(5), radius[take] < threshold]
+
+    return map_graphs(rows, PATHS, work)
+
+
+def var_scenario_table(edges: DataFrame, panel: DataFrame, names: list[str], scenarios: list[Scenario], targets: list[str], horizon: int, duration: int, start: tuple[int, int] | None = None, threshold: float = 1.0) -> DataFrame:
+    """Scenarios x targets x horizons of the fit, with intervals over stable replicates; a pixel without the window asked for has an error row a scenario."""
+    paths = var_paths(edges, panel, names, scenarios, targets, horizon, duration, start, threshold)
+    keys = [*KEYS, "scenario", "target", "horizon"]
+    point = paths.where("replicate = 0").drop("replicate")
+    steady = paths.where("replicate = 0 or stable")
+    out = point
+    for value in ("effect", "cumulative"):
+        boot = bootstrap_summary(steady, keys, value)
+        out = out.join(boot.select(*keys, *([F.col("boot_n").alias("n_stable")] if value == "effect" else []), *[F.col(c).alias(f"{value}_{c}") for c in ("boot_mean", "ci_low", "ci_high", "excludes_zero")]), keys, "left")
+    out = out.withColumn("error", F.lit(None).cast("string"))
+    deepest = edges.agg(F.max("lag")).first()[0] or 0
+    wrong = var_windows(panel, names, scenarios, start, deepest, horizon).where("error is not null").select(*KEYS, F.explode(F.array(*[F.lit(s.name) for s in scenarios])).alias("scenario"), "error")
+    return out.unionByName(wrong, allowMissingColumns=True)

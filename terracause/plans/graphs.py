@@ -317,17 +317,17 @@ BROKEN = "'broken', NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NUL
 
 @query(with_sql(TOTAL) + EVENTS + f", u AS (SELECT row, col, replicate, scenario, target, quantile_cont(effect, 0.5) AS effect FROM ev GROUP BY ALL) SELECT row, col, scenario, target, {SUMMARY} FROM u GROUP BY row, col, scenario, target UNION ALL SELECT DISTINCT row, col, {BROKEN}")
 def scenario_table(s, d):
-    return rounded(I.scenario_table(edges(s, d), ard(s, d), SCENARIOS, ["qty", "price"], 3, "median"), "effect", "boot_mean", "ci_low", "ci_high")
+    return rounded(I.scenario_table(edges(s, d), ard(s, d), SCENARIOS, ["qty", "price"], VARS, "median"), "effect", "boot_mean", "ci_low", "ci_high")
 
 
 @query(with_sql(TOTAL) + EVENTS + f" SELECT row, col, year, month, scenario, target, {SUMMARY} FROM ev GROUP BY row, col, year, month, scenario, target UNION ALL SELECT DISTINCT row, col, NULL::INTEGER, NULL::INTEGER, {BROKEN}")
 def scenario_table_events(s, d):
-    return rounded(I.scenario_table(edges(s, d), ard(s, d), SCENARIOS, ["qty", "price"], 3, "none"), "effect", "boot_mean", "ci_low", "ci_high")
+    return rounded(I.scenario_table(edges(s, d), ard(s, d), SCENARIOS, ["qty", "price"], VARS, "none"), "effect", "boot_mean", "ci_low", "ci_high")
 
 
 @query(with_sql(TOTAL) + f"SELECT row, col, 'hard' AS kind, 'nl' AS name, {q6('5 * effect')} AS contribution FROM total WHERE replicate = 0 AND parent = 'nl' AND child = 'price' UNION ALL SELECT row, col, 'path', 'nl->qty->price', {q6('5 * effect')} FROM total WHERE replicate = 0 AND parent = 'nl' AND child = 'price' AND effect <> 0")
 def intervention_components(s, d):
-    return rounded(I.intervention_components(edges(s, d), ard(s, d), SCENARIOS[0], "price", 3, 3), "contribution")
+    return rounded(I.intervention_components(edges(s, d), ard(s, d), SCENARIOS[0], "price", VARS, 3), "contribution")
 
 
 # --- lagged graphs: the instantaneous edge qty -> price, and the lag-1 coefficients of both

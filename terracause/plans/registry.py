@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terracause.plans import graphs, panel, summaries
+from terracause.plans import dynamics, graphs, panel, summaries
 
-MODULES = [panel, summaries, graphs]
+MODULES = [panel, summaries, graphs, dynamics]
 
 
 def queries() -> dict:
