@@ -83,23 +83,48 @@ def crosslag(panel: DataFrame, variables: list[str], lags: int) -> DataFrame:
     return g.select(*KEYS, F.inline(F.array(*[F.struct(F.lit(a).alias("now"), F.lit(b).alias("past"), F.lit(k).alias("lag"), F.col(f"{a}|{b}|{k}").alias("r")) for a, b, k in all_])))
 
 
+def lagged_covariances(panel: DataFrame, variables: list[str], lags: int) -> DataFrame:
+    """One row a pixel: n, and c, the covariances of each variable with each one's value h rows before, h from 0 to ``lags``, divisor n (flat: lag, now, before).
+
+    Sums of products of centred columns; rows with a null don't count.
+    """
+    own, order = Window.partitionBy(*KEYS), Window.partitionBy(*KEYS).orderBy("year", "month")
+    rows = panel.na.drop(subset=variables).select(*KEYS, "year", "month", *[(F.col(v) - F.avg(v).over(own)).alias(v) for v in variables])
+    past = {(v, h): F.lag(v, h).over(order).alias(f"_{h}_{v}") for h in range(1, lags + 1) for v in variables}
+    wide = rows.select(*KEYS, *variables, *past.values())
+    name = lambda v, h: f"_{h}_{v}" if h else v
+    sums = [F.coalesce(F.sum(F.col(a) * F.col(name(b, h))), F.lit(0.0)) / F.count("*") for h in range(lags + 1) for a in variables for b in variables]
+    return wide.groupBy(*KEYS).agg(F.count("*").cast("int").alias("n"), F.array(*sums).alias("c"))
+
+
 def portmanteau(panel: DataFrame, variables: list[str], lags: int, fitted: int = 0) -> DataFrame:
-    """Adjusted multivariate portmanteau per pixel with its chi-square tail; the pixel's series is one group."""
-    import pandas as pd
+    """Adjusted multivariate portmanteau per pixel with its chi-square tail.
+
+    Only a pixel's covariance matrices, lags + 1 times the variables squared, reach Python, many pixels at a time.
+    A pixel with ``lags`` + 1 rows or fewer has null results.
+    """
+    import numpy as np
+    import pyarrow as pa
 
     from terracause.operators.linalg import gamma_tail
-    from terracause.operators.linalg import portmanteau as statistic
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        e = g.sort_values(["year", "month"])[variables].dropna().to_numpy(float)
-        k = (int(g["row"].iloc[0]), int(g["col"].iloc[0]), len(e))
-        if len(e) <= lags + 1:
-            return pd.DataFrame([(*k, None, None, None)], columns=["row", "col", "n", "q", "df", "p"])
-        q = float(statistic(e, lags).sum())
-        df = len(variables) ** 2 * (lags - fitted)
-        return pd.DataFrame([(*k, q, df, gamma_tail(df / 2, q / 2) if df > 0 else None)], columns=["row", "col", "n", "q", "df", "p"])
-
-    return panel.select(*KEYS, "year", "month", *variables).groupBy(*KEYS).applyInPandas(run, "row int, col int, n int, q double, df int, p double")
+    d, df = len(variables), len(variables) ** 2 * (lags - fitted)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = b.column(2).to_numpy()
+            c = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, lags + 1, d, d)
+            inverse = np.linalg.pinv(np.nan_to_num(c[:, 0]), hermitian=True)
+            q = np.zeros(len(n))
+            for h in range(1, lags + 1):
+                q += n * n.astype(float) / np.maximum(n - h, 1) * np.einsum("nij,nij->n", inverse @ c[:, h], c[:, h] @ inverse)
+            short = n <= lags + 1
+            p = np.array([gamma_tail(df / 2, x / 2) if df > 0 else np.nan for x in q])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(q, mask=short), pa.array(np.full(len(n), df, np.int32), mask=short), pa.array(p, mask=short | np.isnan(p))], ["row", "col", "n", "q", "df", "p"])
+
+    return lagged_covariances(panel, variables, lags).mapInArrow(run, "row int, col int, n int, q double, df int, p double")
 
 
 def edge_stability(probability: DataFrame, near: float, threshold: float) -> DataFrame:

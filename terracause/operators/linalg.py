@@ -69,30 +69,104 @@ def weights_along(x: np.ndarray, order: list[int], forbidden: set[tuple[int, int
 
 
 def adaptive_lasso(x: np.ndarray, y: np.ndarray, steps: int = 24) -> np.ndarray:
-    """Lasso weighted by the least-squares fit, its penalty chosen by BIC; coordinate descent on sums."""
+    """Lasso weighted by the least-squares fit; of the supports along its path the one with the best BIC after a plain refit, so that weights aren't shrunk.
+
+    Coordinate descent on sums.
+    """
     n = len(y)
     ols = least_squares(x, y)
     w = np.abs(ols) + 1e-12
     xs = x * w
     g, h, yy = xs.T @ xs / n, xs.T @ y / n, y @ y / n
-    best, least = ols, np.inf
-    beta = np.zeros(len(w))
-    for penalty in np.geomspace(max(np.abs(h).max(), 1e-12), max(np.abs(h).max(), 1e-12) * 1e-4, steps):
+    best, least, seen = ols, np.inf, set()
+    # few numbers: plain floats are faster than arrays
+    lines, diagonal = g.tolist(), np.diag(g).tolist()
+    beta, left = [0.0] * len(w), h.tolist()  # left: h - g beta
+    for penalty in np.geomspace(max(np.abs(h).max(), 1e-12), max(np.abs(h).max(), 1e-12) * 1e-4, steps).tolist():
         for _ in range(50):
-            before = beta.copy()
-            for j in range(len(beta)):
-                if g[j, j] > 0:
-                    rho = h[j] - g[j] @ beta + g[j, j] * beta[j]
-                    beta[j] = np.sign(rho) * max(abs(rho) - penalty, 0) / g[j, j]
-            if np.abs(beta - before).max() < 1e-8:
+            moved = 0.0
+            for j, size in enumerate(diagonal):
+                if size > 0:
+                    rho = left[j] + size * beta[j]
+                    new = (rho - penalty if rho > penalty else rho + penalty if rho < -penalty else 0.0) / size
+                    step = new - beta[j]
+                    if step:
+                        beta[j] = new
+                        left = [v - step * c for v, c in zip(left, lines[j], strict=True)]
+                        moved = max(moved, abs(step))
+            if moved < 1e-8:
                 break
-        rss = max(yy - 2 * h @ beta + beta @ g @ beta, 1e-300)
-        bic = n * np.log(rss) + np.log(n) * np.count_nonzero(beta)
+        some = tuple(j for j, v in enumerate(beta) if v)
+        if some in seen:
+            continue
+        seen.add(some)
+        at = list(some)
+        b = np.zeros(len(w))
+        b[at] = least_squares(g[np.ix_(at, at)], h[at])
+        bic = n * np.log(max(yy - h @ b, 1e-300)) + np.log(n) * len(at)
         if bic < least:
-            best, least = beta * w, bic
+            best, least = b * w, bic
     return best
 
 
+def lagged_weights(x: np.ndarray, lags: int, forbidden: set[tuple[int, int]] = frozenset(), prune: bool = True) -> list[np.ndarray]:
+    """VAR-LiNGAM of one series: B_0 (acyclic, by the order of the innovations) and B_1 ... B_p as child x parent.
+
+    With ``prune``, each child has one adaptive lasso over its earlier variables and all variables of
+    all lags together, so that edges without use vanish whatever their lag; else B_l = (I - B_0) A_l.
+    """
+    reduced, e = var_fit(x, lags)
+    order = causal_order(e, forbidden)
+    d = x.shape[1]
+    if not prune:
+        b0 = weights_along(e, order, forbidden)
+        return [b0, *[(np.eye(d) - b0) @ a for a in reduced]]
+    now = x[lags:] - x[lags:].mean(0)
+    past = np.concatenate([x[lags - k : len(x) - k] for k in range(1, lags + 1)], axis=1)
+    past = past - past.mean(0)
+    out = [np.zeros((d, d)) for _ in range(lags + 1)]
+    for i, child in enumerate(order):
+        parents = [p for p in order[:i] if (p, child) not in forbidden]
+        w = adaptive_lasso(np.concatenate([now[:, parents], past], axis=1), now[:, child])
+        out[0][child, parents] = w[: len(parents)]
+        for k in range(lags):
+            out[k + 1][child] = w[len(parents) + k * d : len(parents) + (k + 1) * d]
+    return out
+
+
+def var_redrawn(a: list[np.ndarray], shocks: np.ndarray, start: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A series that starts like the given one and goes on with shocks drawn from ``shocks``."""
+    p = len(a)
+    out = np.zeros((p + len(places), start.shape[1]))
+    out[:p] = start[:p]
+    out[p:] = shocks[places]
+    for t in range(p, len(out)):
+        for k in range(p):
+            out[t] += a[k] @ out[t - 1 - k]
+    return out
+
+
+def portmanteau_each(e: np.ndarray, lags: int) -> np.ndarray:
+    """Sum of the adjusted multivariate portmanteau over lags, for each of many series (series x rows x variables)."""
+    n = e.shape[1]
+    c = e - e.mean(1, keepdims=True)
+    inverse = np.linalg.pinv(c.transpose(0, 2, 1) @ c / n)
+    out = np.zeros(len(e))
+    for h in range(1, lags + 1):
+        ch = c[:, h:].transpose(0, 2, 1) @ c[:, :-h] / n
+        out += n * n / (n - h) * np.einsum("nij,nij->n", inverse @ ch, ch @ inverse)
+    return out
+
+
+def var_residuals_each(y: np.ndarray, lags: int) -> np.ndarray:
+    """Residuals of an intercept-free VAR of each of many series (series x rows x variables)."""
+    n = y.shape[1]
+    past = np.concatenate([y[:, lags - k : n - k] for k in range(1, lags + 1)], axis=2)
+    gram = past.transpose(0, 2, 1) @ past
+    coef = np.linalg.pinv(gram, hermitian=True) @ (past.transpose(0, 2, 1) @ y[:, lags:])
+    return y[:, lags:] - past @ coef
+
+
 def var_fit(x: np.ndarray, lags: int, intercept: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
     """Reduced-form coefficients A_1 … A_p and innovations."""
     n, d = x.shape

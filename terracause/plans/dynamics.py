@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terracause.operators import effects as E
+from terracause.operators import diagnostics as D
 from terracause.operators import graphs as G
 from terracause.operators import interventions as I
 from terracause.operators import lagged as L
+from terracause.operators import solvers as S
 from terracause.operators.sampling import resample
 from terracause.plans.fixtures import ARD, EDGES, REPLICATES, ard, edges, q6, with_sql
-from terracause.plans.graphs import BOOT, CONTRAST, LAGGED, VARS, _boot, _consensus, _contrast, lagged_edges, rounded
+from terracause.plans.graphs import CONTRAST, VARS, _consensus, _contrast, rounded
+from terracause.sources.tables import scratch, table_replace
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -268,3 +270,45 @@ def value_kinds(s, d):
     values, panel = I.Values(), ard(s, d)
     columns = [F.struct(F.lit(k).alias("kind"), values.column("qty", v).cast("double").alias("value")) for k, (v, _) in KINDS.items()]
     return rounded(values.joined(panel, panel).select("row", "col", "year", "month", F.inline(F.array(*columns))), "value")
+
+
+# --- learning lagged graphs, and how white their innovations are
+
+
+@query()
+def bootstrap_lagged_edges(s, d):
+    """Lagged graphs with replicates from redrawn residuals: every weight of a replicate is of one series."""
+    return S.lagged_graphs(ard(s, d), PAIR, MANY, most=2, least=40)
+
+
+@query()
+def lagged_bootstrap_effects(s, d):
+    """Consensus by lag and half a year of effects with intervals, from the learnt lagged graphs."""
+    e = table_replace(S.lagged_graphs(ard(s, d), PAIR, MANY, most=2, least=40), scratch(s, "lagged-graphs"))
+    table = L.dynamic_table(L.dynamic_effects(e, PAIR, 6, connected=False), _contrast(s, d), e.select("row", "col", "replicate").distinct())
+    kept = G.consensus_edges(e, 0.5, 0.05, 0.02).groupBy("row", "col").agg(F.count("*").alias("n_edges"), F.max("lag").alias("deepest"))
+    return table.join(kept, ["row", "col"], "left")
+
+
+def _whiteness_sql(lags: int) -> str:
+    """Two variables: covariances by sums of products, the inverse of C0 in closed form, and the chi-square tail of an even number of degrees."""
+    cov = ", ".join(f"sum({a} * {b}{h}) / count(*) AS {a}{b}{h}" for h in range(1, lags + 1) for a in "xy" for b in "xy")
+    past = ", ".join(f"lag({v}, {h}) OVER o AS {v}{h}" for h in range(1, lags + 1) for v in "xy")
+    terms = []
+    for h in range(1, lags + 1):
+        c = {(i, j): f"coalesce({'xy'[i]}{'xy'[j]}{h}, 0)" for i in (0, 1) for j in (0, 1)}
+        sc = {(i, j): f"(s{i}0 * {c[0, j]} + s{i}1 * {c[1, j]})" for i in (0, 1) for j in (0, 1)}
+        cs = {(i, j): f"({c[i, 0]} * s0{j} + {c[i, 1]} * s1{j})" for i in (0, 1) for j in (0, 1)}
+        terms.append(f"n * n / greatest(n - {h}, 1) * ({' + '.join(f'{sc[k]} * {cs[k]}' for k in sc)})")
+    return f"""zz AS (SELECT row, col, year, month, qty - avg(qty) OVER p AS x, price - avg(price) OVER p AS y FROM ard WINDOW p AS (PARTITION BY row, col)),
+zl AS (SELECT row, col, x, y, {past} FROM zz WINDOW o AS (PARTITION BY row, col ORDER BY year, month)),
+zc AS (SELECT row, col, count(*)::DOUBLE AS n, sum(x * x) / count(*) AS xx, sum(x * y) / count(*) AS xy, sum(y * y) / count(*) AS yy, {cov} FROM zl GROUP BY row, col),
+zs AS (SELECT *, yy / (xx * yy - xy * xy) AS s00, -xy / (xx * yy - xy * xy) AS s01, -xy / (xx * yy - xy * xy) AS s10, xx / (xx * yy - xy * xy) AS s11 FROM zc),
+zq AS (SELECT row, col, n, {' + '.join(terms)} AS q FROM zs)
+SELECT row, col, CAST(n AS INTEGER) AS n, {q6('q')} AS q, CAST({4 * lags} AS INTEGER) AS df, {q6(f'exp(-q / 2) * list_sum(list_transform(range({2 * lags}), lambda k: exp(k * ln(q / 2) - lgamma(k + 1))))')} AS p FROM zq"""
+
+
+@query(with_sql(ARD) + ", " + _whiteness_sql(4))
+def portmanteau_pair(s, d):
+    """Whiteness of two series together over four months, with the tail of its distribution."""
+    return rounded(D.portmanteau(ard(s, d), PAIR, 4), "q", "p")

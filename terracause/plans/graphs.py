@@ -55,7 +55,7 @@ def discover_lagged(s, d):
 
 @query()
 def bootstrap_edges(s, d):
-    return S.bootstrap_edges(ard(s, d), VARS, 4, least=40)
+    return S.bootstrap_edges(ard(s, d), VARS, 200, least=40)
 
 
 PROB = EDGES + ", prob AS (SELECT row, col, parent, child, avg((abs(weight) > 0.02)::INT) AS probability FROM edges WHERE replicate > 0 GROUP BY ALL)"
@@ -431,7 +431,7 @@ def var_refit(s, d):
 
 @query()
 def whiteness_bootstrap(s, d):
-    return S.whiteness_bootstrap(ard(s, d), ["qty", "price"], lags=4, fitted=1, samples=19, pixels=25)
+    return S.whiteness_bootstrap(ard(s, d), ["qty", "price"], lags=4, fitted=1, samples=499, pixels=500)
 
 
 @query(with_sql(PROB) + f", h AS (SELECT *, CASE WHEN probability <= 0 OR probability >= 1 THEN 0 ELSE -probability * log2(probability) - (1 - probability) * log2(1 - probability) END AS h FROM prob) SELECT row, col, count(*) AS n_edges, {q6('avg(h)')} AS mean_entropy, {q6('max(h)')} AS max_entropy, count(*) FILTER (abs(probability - 0.5) <= 0.2) AS near_threshold, CAST(0 AS BIGINT) AS conflicts FROM h GROUP BY row, col")
