@@ -205,11 +205,12 @@ def top_pairs(pairs: DataFrame, value: str, threshold: float, n: int) -> DataFra
 
 
 def similarity_rank(df: DataFrame, score: str, keys: list[str]) -> DataFrame:
-    """Rank by a score, from 0 to 1."""
-    # one row a graph; the ranking is global
-    order = Window.orderBy(score, *keys)
+    """Rank by a score (then by the keys), and the rank from 0 to 1."""
+    from terracause.operators.ranks import ranked
+
     n = df.agg(F.count("*").alias("_n"))
-    return df.withColumn("rank", F.row_number().over(order) - 1).crossJoin(F.broadcast(n)).withColumn("scaled", F.when(F.col("_n") > 1, F.col("rank") / (F.col("_n") - 1)).otherwise(0.0)).drop("_n")
+    out = ranked(df, [F.asc(score), *[F.asc(k) for k in keys]], "rank").withColumn("rank", F.col("rank").cast("int"))
+    return out.crossJoin(F.broadcast(n)).withColumn("scaled", F.when(F.col("_n") > 1, F.col("rank") / (F.col("_n") - 1)).otherwise(0.0)).drop("_n")
 
 
 def edge_presence_bins(scores: DataFrame, edges: DataFrame, bins: int, top: int) -> DataFrame:

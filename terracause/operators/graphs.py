@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["row", "col"]
@@ -57,10 +57,11 @@ def graph_signature(edges: DataFrame, mode: str = "topology", digits: int = 2) -
 
 def graph_groups(signatures: DataFrame) -> DataFrame:
     """Identical graphs as groups, numbered by size (largest first), fewest edges and signature; attached to pixels."""
+    from terracause.operators.ranks import ranked
+
     g = signatures.groupBy("signature", "n_edges").agg(F.count("*").alias("n_pixels"))
-    # one row a distinct graph
-    number = F.row_number().over(Window.orderBy(F.desc("n_pixels"), "n_edges", "signature")) - 1
-    return signatures.join(g.withColumn("group_id", number), ["signature", "n_edges"]).select(*KEYS, "group_id", "n_pixels", "n_edges")
+    numbered = ranked(g, [F.desc("n_pixels"), F.asc("n_edges"), F.asc("signature")], "group_id").withColumn("group_id", F.col("group_id").cast("int"))
+    return signatures.join(numbered, ["signature", "n_edges"]).select(*KEYS, "group_id", "n_pixels", "n_edges")
 
 
 def graph_features(edges: DataFrame, probability: DataFrame, total: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -100,18 +101,62 @@ def correlation_skeleton(rows: DataFrame, variables: list[str], threshold: float
     return long.select("replicate", "a", "b", F.when(F.abs("r") >= threshold, "o-o").otherwise("none").alias("endpoint"))
 
 
-def pooled_discovery(panel: DataFrame, variables: list[str], replicates: int, learner: Learner = correlation_skeleton, order: tuple[str, ...] = ("row", "col", "year", "month")) -> DataFrame:
-    """Resample the pooled rows, learn a structure on each replicate, count endpoints per pair.
-
-    Each row is taken as often as a Poisson draw from its hash says, so replicates need no join and
-    no numbering of all rows.
-    """
+def poisson_weights(panel: DataFrame, replicates: int, order: tuple[str, ...]) -> DataFrame:
+    """Rows with a replicate and ``_k``, how often it takes the row: a Poisson draw from a hash, 0 left out. No join, no numbering of all rows."""
     from terracause.operators.sampling import draw
 
-    rows = panel.select(*order, *[v for v in variables if v not in order]).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    rows = panel.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = draw("replicate", *order) / F.lit(2.0**32)
     # Poisson(1) by its distribution function: the usual bootstrap weights for very many rows
     limits = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885]
     times = sum(((u >= x).cast("int") for x in limits), F.lit(0))
-    drawn = rows.withColumn("_k", times).where("_k > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
+    return rows.withColumn("_k", times).where("_k > 0")
+
+
+def pooled_search(panel: DataFrame, variables: list[str], replicates: int, critical: float = 1.959963984540054, order: tuple[str, ...] = ("row", "col", "year", "month")) -> DataFrame:
+    """Causal structure over all pixels: for each pair how many replicates link it, and with which ends.
+
+    A replicate is one row of weighted sums of products (around the means of all rows), from which its
+    correlations follow; the PC algorithm searches sets that separate pairs by partial correlations,
+    then orients colliders and what follows from them. Ends: ``-->``, ``<--``, ``---``, ``<->`` or ``none``.
+    Rows with a null don't count; a variable without variance is linked with nothing.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from terracause.operators.linalg import orientations, separations
+
+    d = len(variables)
+    rows = panel.select(*order, *[F.col(v).cast("double").alias(f"_{i}") for i, v in enumerate(variables)]).na.drop(subset=[f"_{i}" for i in range(d)])
+    means = rows.agg(*[F.avg(f"_{i}").alias(f"_m{i}") for i in range(d)])
+    centred = rows.crossJoin(F.broadcast(means)).select(*order, *[(F.col(f"_{i}") - F.col(f"_m{i}")).alias(f"_{i}") for i in range(d)])
+    k = F.col("_k")
+    products = [F.sum(k * F.col(f"_{i}") * F.col(f"_{j}")) for i in range(d) for j in range(d)]
+    sums = poisson_weights(centred, replicates, order).groupBy("replicate").agg(F.sum(k).cast("double").alias("n"), F.array(*[F.sum(k * F.col(f"_{i}")) for i in range(d)]).alias("s"), F.array(*products).alias("p"))
+    pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for n, s, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                c = np.array(p).reshape(d, d) / n - np.outer(s, s) / n / n
+                sd = np.sqrt(np.maximum(np.diag(c), 0))
+                r = np.divide(c, np.outer(sd, sd), out=np.zeros_like(c), where=np.outer(sd, sd) > 0)
+                np.fill_diagonal(r, 1.0)
+                near, apart = separations(r, n, critical)
+                head = orientations(near, apart)
+                out += [(variables[i], variables[j], {(0, 0): "---", (1, 0): "-->", (0, 1): "<--", (1, 1): "<->"}[int(head[i, j]), int(head[j, i])] if near[i, j] else "none") for i, j in pairs]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["a", "b", "endpoint"])
+
+    return sums.mapInArrow(run, "a string, b string, endpoint string").groupBy("a", "b", "endpoint").agg(F.count("*").alias("n"))
+
+
+def pooled_discovery(panel: DataFrame, variables: list[str], replicates: int, learner: Learner = correlation_skeleton, order: tuple[str, ...] = ("row", "col", "year", "month")) -> DataFrame:
+    """Resample the pooled rows, learn a structure on each replicate, count endpoints per pair.
+
+    Each row is taken as often as a Poisson draw from its hash says, so replicates need no join and
+    no numbering of all rows.
+    """
+    drawn = poisson_weights(panel.select(*order, *[v for v in variables if v not in order]), replicates, order).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
     return learner(drawn, variables).groupBy("a", "b", "endpoint").agg(F.count("*").alias("n"))

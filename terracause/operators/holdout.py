@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terracause.operators.ranks import ranked
 from terracause.operators.sampling import draw
 
 KEYS = ["row", "col"]
@@ -73,10 +74,7 @@ def block_bootstrap_skill(errors: DataFrame, replicates: int) -> DataFrame:
     blocks once; replicates draw blocks, so their work grows with blocks, not rows.
     """
     block = errors.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.col("a") * F.col("a")).alias("qa"), F.sum(F.col("b") * F.col("b")).alias("qb"), F.sum(F.abs("a")).alias("sa"), F.sum(F.abs("b")).alias("sb"))
-    from pyspark.sql import Window
-
-    # one row a block
-    numbered = block.withColumn("i", F.row_number().over(Window.orderBy("block")) - 1)
+    numbered = ranked(block, [F.asc("block")], "i").withColumn("i", F.col("i").cast("int"))
     size = numbered.agg(F.count("*").alias("k"))
     draws = numbered.select("i").crossJoin(F.broadcast(size)).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select("replicate", (draw("replicate", "i") % F.col("k")).cast("int").alias("i"))
     drawn = draws.join(numbered, "i").select("replicate", "n", "qa", "qb", "sa", "sb").unionByName(block.select(F.lit(0).alias("replicate"), "n", "qa", "qb", "sa", "sb"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["row", "col"]
@@ -35,14 +35,17 @@ def footprint_label(points: DataFrame, tiles: DataFrame, size: float, valid: lis
 def spatial_folds(df: DataFrame, klass: str, block: str, folds: int) -> DataFrame:
     """A fold for each block, blocks kept whole: at most as many folds as the rarest class has blocks, and two at least.
 
-    Blocks are dealt class by class in the order of their size, so classes spread over folds.
+    Blocks are ranked by their commonest class, then by their rows, largest first, and dealt to folds to
+    and fro: of each class every fold gets as many blocks as any other but for one, and large blocks
+    of one turn are made up for in the next. The rank is by ranges, so no task sees all blocks.
     """
-    per = df.groupBy(klass).agg(F.countDistinct(block).alias("k")).agg(F.min("k").alias("k")).first()["k"] or 0
+    from terracause.operators.ranks import ranked
+
+    per = df.groupBy(klass).agg(F.countDistinct(block).alias("_k")).agg(F.min("_k").alias("_k")).first()["_k"] or 0
     n = max(2, min(folds, per))
     own = df.groupBy(block, klass).agg(F.count("*").alias("_n")).groupBy(block).agg(F.max_by(klass, F.struct("_n", klass)).alias("_c"), F.sum("_n").alias("_n"))
-    # one row a block
-    order = Window.orderBy("_c", F.desc("_n"), block)
-    return own.select(block, ((F.row_number().over(order) - 1) % n).alias("fold"))
+    turn = F.col("_r") % (2 * n)
+    return ranked(own, [F.asc("_c"), F.desc("_n"), F.asc(block)], "_r").select(block, F.when(turn < n, turn).otherwise(2 * n - 1 - turn).cast("int").alias("fold"))
 
 
 def confusion(df: DataFrame, truth: str, guess: str, keys: list[str] | None = None) -> DataFrame:

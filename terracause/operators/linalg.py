@@ -254,3 +254,53 @@ def portmanteau(e: np.ndarray, lags: int) -> np.ndarray:
         ch = c[h:].T @ c[:-h] / n
         out.append(n * n / (n - h) * float(np.trace(ch.T @ inverse @ ch @ inverse)))
     return np.array(out)
+
+
+def separations(r: np.ndarray, n: float, critical: float) -> tuple[np.ndarray, dict[tuple[int, int], tuple[int, ...]]]:
+    """Skeleton of the PC algorithm from a correlation matrix, and the set that separates each pair that isn't linked.
+
+    Pairs are tested given ever larger sets of the neighbours that either had when the size began, by
+    Fisher's z of the partial correlation.
+    """
+    from itertools import combinations
+
+    d = len(r)
+    near, apart, size = np.ones((d, d), bool) & ~np.eye(d, dtype=bool), {}, 0
+    while near.sum(1).max(initial=0) > size:
+        before = [set(np.flatnonzero(line).tolist()) for line in near]
+        for i, j in combinations(range(d), 2):
+            tried: set[tuple[int, ...]] = set()
+            for end, other in ((i, j), (j, i)):
+                for given in combinations(sorted(before[end] - {other}), size):
+                    if near[i, j] and given not in tried:
+                        tried.add(given)
+                        part = np.linalg.pinv(r[np.ix_([i, j, *given], [i, j, *given])], hermitian=True)
+                        rho = -part[0, 1] / np.sqrt(part[0, 0] * part[1, 1])
+                        if not abs(np.arctanh(np.clip(rho, -1 + 1e-12, 1 - 1e-12))) * np.sqrt(max(n - size - 3, 0)) > critical:
+                            near[i, j] = near[j, i] = False
+                            apart[i, j] = given
+        size += 1
+    return near, apart
+
+
+def orientations(near: np.ndarray, apart: dict[tuple[int, int], tuple[int, ...]]) -> np.ndarray:
+    """Arrow heads (from, to) of a skeleton: colliders first, then Meek's rules until nothing changes. Both ends have one where colliders disagree."""
+    d, head = len(near), np.zeros(near.shape, bool)
+    for (i, j), given in sorted(apart.items()):
+        for k in np.flatnonzero(near[i] & near[j]):
+            if k not in given:
+                head[i, k] = head[j, k] = True
+    while True:
+        before = head.copy()
+        for i in range(d):
+            for j in np.flatnonzero(near[i]):
+                if head[i, j] or head[j, i]:
+                    continue
+                into = [k for k in range(d) if near[k, i] and head[k, i] and not head[i, k]]
+                away = any(not near[k, j] and k != j for k in into)
+                round_ = any(near[k, j] and head[i, k] and not head[k, i] and head[k, j] and not head[j, k] for k in range(d))
+                ways = [k for k in range(d) if near[i, k] and not head[i, k] and not head[k, i] and near[k, j] and head[k, j] and not head[j, k]]
+                if away or round_ or any(not near[a, b] for x, a in enumerate(ways) for b in ways[x + 1 :]):
+                    head[i, j] = True
+        if (head == before).all():
+            return head

@@ -9,10 +9,11 @@ from terracause.operators import diagnostics as D
 from terracause.operators import graphs as G
 from terracause.operators import interventions as I
 from terracause.operators import lagged as L
+from terracause.operators import landcover as N
 from terracause.operators import solvers as S
 from terracause.operators.sampling import resample
 from terracause.plans.fixtures import ARD, EDGES, REPLICATES, ard, edges, q6, with_sql
-from terracause.plans.graphs import CONTRAST, VARS, _consensus, _contrast, rounded
+from terracause.plans.graphs import CONTRAST, SHARES, VARS, _classed, _consensus, _contrast, rounded
 from terracause.sources.tables import scratch, table_replace
 
 QUERIES: dict = {}
@@ -312,3 +313,55 @@ SELECT row, col, CAST(n AS INTEGER) AS n, {q6('q')} AS q, CAST({4 * lags} AS INT
 def portmanteau_pair(s, d):
     """Whiteness of two series together over four months, with the tail of its distribution."""
     return rounded(D.portmanteau(ard(s, d), PAIR, 4), "q", "p")
+
+
+# --- structure over all pixels, ranks and folds
+
+CRITICAL = 1.959963984540054
+
+
+def _dependent(r: str, given: int) -> str:
+    return f"abs(atanh({r})) * sqrt(n - {given} - 3) > {CRITICAL}"
+
+
+def _search_sql(replicates: int) -> str:
+    """PC on three variables q, p, t: marginal tests, tests given the third, and the one possible collider."""
+    pairs = {"qp": ("q", "p", "t"), "qt": ("q", "t", "p"), "pt": ("p", "t", "q")}
+    name = lambda a, b: "".join(sorted((a, b), key="qpt".index))
+    sums = ", ".join([f"sum(k * {a}) AS s{a}" for a in "qpt"] + [f"sum(k * {a} * {b}) AS m{a}{b}" for i, a in enumerate("qpt") for b in "qpt"[i:]])
+    cov = lambda a, b: f"(m{name(a, b) if a != b else a + a} / n - s{a} * s{b} / n / n)"
+    corr = ", ".join(f"{cov(a, b)} / sqrt({cov(a, a)} * {cov(b, b)}) AS r{k}" for k, (a, b, _) in pairs.items())
+    first = ", ".join(f"{_dependent('r' + k, 0)} AS a{k}" for k in pairs)
+    second = []
+    for k, (a, b, c) in pairs.items():
+        x, y = f"r{name(a, c)}", f"r{name(b, c)}"
+        rho = f"(r{k} - {x} * {y}) / sqrt((1 - {x} * {x}) * (1 - {y} * {y}))"
+        second.append(f"a{k} AND (NOT (a{name(a, c)} OR a{name(b, c)}) OR {_dependent(rho, 1)}) AS e{k}")
+    ends = []
+    for k, (a, b, c) in pairs.items():
+        # into b if a and c are apart from the start, into a if b and c are
+        into_b = f"(NOT a{name(a, c)} AND e{name(b, c)})"
+        into_a = f"(NOT a{name(b, c)} AND e{name(a, c)})"
+        full = {"q": "qty", "p": "price", "t": "tax"}
+        ends.append(f"SELECT '{full[a]}' AS a, '{full[b]}' AS b, CASE WHEN NOT e{k} THEN 'none' WHEN {into_b} THEN '-->' WHEN {into_a} THEN '<--' ELSE '---' END AS endpoint FROM f")
+    return f"""m AS (SELECT avg(qty) AS q, avg(price) AS p, avg(tax) AS t FROM ard),
+u AS (SELECT r AS rep, qty - m.q AS q, price - m.p AS p, tax - m.t AS t, ('0x' || substr(md5(concat_ws('|', r, row, col, year, month)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM ard, m, generate_series(1, {replicates}) g(r)),
+w AS (SELECT *, {' + '.join(f'(u >= {x})::INT' for x in SHARES)} AS k FROM u),
+c AS (SELECT rep, sum(k)::DOUBLE AS n, {sums} FROM w GROUP BY rep), d AS (SELECT n, {corr} FROM c), e AS (SELECT *, {first} FROM d), f AS (SELECT *, {', '.join(second)} FROM e)
+SELECT a, b, endpoint, count(*) AS n FROM ({' UNION ALL '.join(ends)}) GROUP BY ALL"""
+
+
+@query(with_sql(ARD) + ", " + _search_sql(2000))
+def pooled_search(s, d):
+    """Structure of three variables by 2,000 replicates of all rows."""
+    return G.pooled_search(ard(s, d), ["qty", "price", "tax"], 2000)
+
+
+@query(
+    """WITH e AS (SELECT label, (vec_id // 20) % 20 % 5 || '_' || (vec_id % 20) // 5 AS block FROM embeddings), n AS (SELECT block, label, count(*) AS n FROM e GROUP BY ALL),
+k AS (SELECT greatest(2, least(5, min(k))) AS n FROM (SELECT count(DISTINCT block) AS k FROM e GROUP BY label)),
+b AS (SELECT block, arg_max(label, n * 1000 + label) AS c, sum(n) AS s FROM n GROUP BY block), r AS (SELECT block, (row_number() OVER (ORDER BY c, s DESC, block) - 1) % (2 * k.n) AS t, k.n FROM b, k)
+SELECT block, CAST(CASE WHEN t < n THEN t ELSE 2 * n - 1 - t END AS INTEGER) AS fold FROM r"""
+)
+def spatial_fold_assignment(s, d):
+    return N.spatial_folds(_classed(s, d), "label", "block", 5)

@@ -85,3 +85,83 @@ def test_portmanteau_of_several_series(spark):
     assert (out[1].n, out[1].q, out[1].df, out[1].p) == (4, None, None, None)
     each = linalg.portmanteau_each(np.stack([x, x[::-1]]), 5)
     assert each.tolist() == pytest.approx([linalg.portmanteau(x, 5).sum(), linalg.portmanteau(x[::-1], 5).sum()])
+
+
+FIVE = ["a", "b", "c", "d", "e"]
+
+
+def pooled(n=1500, seed=4):
+    """a and b make c (a collider); c makes d; d and b make e."""
+    rng = np.random.default_rng(seed)
+    z = rng.normal(size=(n, 5))
+    a, b = z[:, 0], z[:, 1]
+    c = 0.8 * a - 0.7 * b + 0.6 * z[:, 2]
+    d = 0.9 * c + 0.6 * z[:, 3]
+    e = 0.8 * d + 0.7 * b + 0.6 * z[:, 4]
+    return np.stack([a, b, c, d, e], axis=1)
+
+
+def test_search_finds_skeleton_and_colliders():
+    near, apart = linalg.separations(np.corrcoef(pooled(20_000).T), 20_000, 2.6)
+    links = {(FIVE[i], FIVE[j]) for i in range(5) for j in range(i) if near[i, j]}
+    assert links == {("c", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("e", "b")}
+    assert apart[0, 1] == () and 2 in apart[0, 3]
+    head = linalg.orientations(near, apart)
+    arrows = {(FIVE[i], FIVE[j]) for i in range(5) for j in range(5) if head[i, j]}
+    assert arrows == {("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "e")}
+
+
+def test_rules_orient_what_follows():
+    """A chain away from a collider, and a cycle that has to be avoided."""
+    near = np.zeros((4, 4), bool)
+    for i, j in ((0, 2), (1, 2), (2, 3)):
+        near[i, j] = near[j, i] = True
+    head = linalg.orientations(near, {(0, 1): (), (0, 3): (2,), (1, 3): (2,)})
+    assert {tuple(x) for x in np.argwhere(head).tolist()} == {(0, 2), (1, 2), (2, 3)}
+    chain = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], bool)
+    assert not linalg.orientations(chain, {(0, 2): (1,)}).any()
+
+
+def test_pooled_search_over_replicates(spark):
+    """Most replicates agree on the structure; nulls don't count; the counts are the same for any partitions."""
+    x = pooled()
+    p = panel(spark, {i: x[i * 300 : (i + 1) * 300] for i in range(5)}, FIVE)
+    out = G.pooled_search(p, FIVE, 40, 2.6).collect()
+    again = G.pooled_search(p.repartition(7).unionByName(p.limit(3).selectExpr("row", "col", "year", "month", "null as a", "b", "c", "d", "e")), FIVE, 40, 2.6).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
+    assert all(sum(r.n for r in out if (r.a, r.b) == pair) == 40 for pair in {(r.a, r.b) for r in out})
+    most = {(r.a, r.b): r.endpoint for r in sorted(out, key=lambda r: r.n)}
+    assert most == {("a", "b"): "none", ("a", "c"): "-->", ("a", "d"): "none", ("a", "e"): "none", ("b", "c"): "-->", ("b", "d"): "none", ("b", "e"): "-->", ("c", "d"): "-->", ("c", "e"): "none", ("d", "e"): "-->"}
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_ranks_by_ranges(spark, ranges):
+    from pyspark.sql import functions as F
+
+    from terracause.operators.ranks import ranked
+
+    rows = [(i, None if i % 50 == 0 else float(i * 37 % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, v double").repartition(5)
+    got = {r.id: r.k for r in ranked(df, [F.desc("v"), F.asc("id")], "k", ranges).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: i for i, r in enumerate(want)}
+    assert ranked(df.where("id < 0"), [F.asc("id")], "k", ranges).count() == 0
+    plan = ranked(df, [F.asc("id")], "k", ranges)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_folds_hold_their_share_of_each_class(spark):
+    from terracause.operators.landcover import spatial_folds
+
+    rng = np.random.default_rng(1)
+    rows = [(b, int(rng.choice(3, p=[[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.2, 0.7]][b % 3]))) for b in range(60) for _ in range(int(rng.integers(5, 40)))]
+    df = spark.createDataFrame([(f"b{b}", k) for b, k in rows], "block string, k int")
+    fold = {r.block: r.fold for r in spatial_folds(df, "k", "block", 4).collect()}
+    assert len(fold) == 60 and set(fold.values()) == {0, 1, 2, 3}
+    count = np.zeros((4, 3))
+    for b, k in rows:
+        count[fold[f"b{b}"], k] += 1
+    share = count / count.sum(0)
+    assert (np.abs(share - 0.25) < 0.06).all()
+    blocks = np.bincount(list(fold.values()))
+    assert blocks.max() - blocks.min() <= 1
