@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terracause.operators.graphmatrix import finite, inverses, keys_of, map_graphs
 from terracause.operators.residual import grouped_ols
 from terracause.operators.sampling import draw
 
@@ -23,48 +26,40 @@ def direct_effects(edges: DataFrame, target: str, how: str = "raw") -> DataFrame
 
 
 def total_effects(edges: DataFrame, variables: int) -> DataFrame:
-    """Sum over all directed walks, (I - B)^-1 - I: d - 1 rounds of join and sum for an acyclic graph.
+    """Sum over all directed walks, (I - B)^-1 - I, in one pass over the graphs: powers of the weights up to ``variables`` - 1 for acyclic graphs.
 
-    A graph that still has walks of length d is cyclic; those go to a matrix inverse, one graph a group.
+    Pairs that no walk joins have no row. A graph that still has walks of that length and one more is
+    cyclic: it goes to the matrix inverse and has rows for all pairs of its variables, null where there is
+    no inverse. A graph's edges are one row; many graphs are worked on at once.
     """
-    b = edges.select(*GRAPH, F.col("parent").alias("_p"), F.col("child").alias("_c"), F.col("weight").alias("_w"))
-    walk = edges.select(*GRAPH, "parent", "child", F.col("weight").alias("effect"))
-    parts = [walk]
-    for _ in range(variables - 1):
-        step = walk.join(b, (walk["row"] == b["row"]) & (walk["col"] == b["col"]) & (walk["replicate"] == b["replicate"]) & (walk["child"] == b["_p"]))
-        walk = step.groupBy(walk["row"], walk["col"], walk["replicate"], walk["parent"], F.col("_c").alias("child")).agg(F.sum(F.col("effect") * F.col("_w")).alias("effect"))
-        parts.append(walk)
-    cyclic = parts[-1].where(F.abs("effect") > 0).select(*GRAPH).distinct() if variables > 1 else None
-    union = parts[0]
-    for p in parts[1 : max(1, variables - 1)]:
-        union = union.unionByName(p)
-    total = union.groupBy(*GRAPH, "parent", "child").agg(F.sum("effect").alias("effect"))
-    if cyclic is None:
-        return total
-    return total.join(cyclic, GRAPH, "left_anti").unionByName(_inverse(edges.join(cyclic, GRAPH, "left_semi")))
-
-
-def _inverse(edges: DataFrame) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    schema = "row int, col int, replicate int, parent string, child string, effect double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*g.parent, *g.child})
-        at = {n: i for i, n in enumerate(names)}
-        b = np.zeros((len(names), len(names)))
-        for p, c, w in zip(g.parent, g.child, g.weight, strict=True):
-            b[at[c], at[p]] += w
-        try:
-            t = np.linalg.inv(np.eye(len(names)) - b) - np.eye(len(names))
-        except np.linalg.LinAlgError:
-            t = np.full(b.shape, np.nan)
-        first = g.iloc[0]
-        rows = [(int(first["row"]), int(first["col"]), int(first["replicate"]), p, c, None if np.isnan(t[j, i]) else float(t[j, i])) for i, p in enumerate(names) for j, c in enumerate(names)]
-        return pd.DataFrame(rows, columns=["row", "col", "replicate", "parent", "child", "effect"])
-
-    return edges.groupBy(*GRAPH).applyInPandas(run, schema)
+    names = F.sort_array(F.array_distinct(F.concat(F.collect_set("parent"), F.collect_set("child"))))
+    own = edges.groupBy(*GRAPH).agg(names.alias("_names"), F.collect_list(F.struct("parent", "child", F.col("weight").cast("double").alias("weight"))).alias("_e"))
+    place = lambda e: F.struct((F.array_position("_names", e["parent"]) - 1).cast("int").alias("p"), (F.array_position("_names", e["child"]) - 1).cast("int").alias("c"), e["weight"].alias("w"))
+    rows = own.select(*GRAPH, "_names", F.transform("_e", place).alias("cells"))
+
+    def work(batch):
+        lists, cells = batch.column(3), batch.column(4)
+        sizes = np.diff(lists.offsets.to_numpy())
+        n, d = len(sizes), int(sizes.max())
+        flat, owner = cells.flatten(), np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
+        p, c, w = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("p", "c", "w"))
+        b, link = np.zeros((n, d, d)), np.zeros((n, d, d), bool)
+        np.add.at(b, (owner, c, p), w)
+        link[owner, c, p] = True
+        total, power, reach, way = b.copy(), b, link.copy(), link
+        for _ in range(max(variables, d) - 2):
+            power, way = power @ b, (way.astype(np.float32) @ link) > 0
+            total, reach = total + power, reach | way
+        cyclic = ((way.astype(np.float32) @ link) > 0).any((1, 2)) & (((power @ b) != 0) | ~np.isfinite(power)).any((1, 2))
+        for i in np.flatnonzero(cyclic):
+            k = sizes[i]
+            total[i, :k, :k] = inverses(np.eye(k)[None] - b[i : i + 1, :k, :k])[0] - np.eye(k)
+            reach[i] = (np.arange(d) < k)[:, None] & (np.arange(d) < k)
+        graph, child, parent = np.nonzero(reach)
+        first, words = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0], lists.flatten()
+        return [*keys_of(batch, graph), words.take(pa.array(first[graph] + parent)), words.take(pa.array(first[graph] + child)), finite(total[graph, child, parent])]
+
+    return map_graphs(rows, "row int, col int, replicate int, parent string, child string, effect double", work)
 
 
 def quantile_contrast(panel: DataFrame, variables: list[str], low: float, high: float) -> DataFrame:
