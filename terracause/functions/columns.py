@@ -97,21 +97,56 @@ def laea_project(lon: ColumnLike, lat: ColumnLike) -> tuple[Column, Column]:
     return east, north
 
 
-#: Words that stay lower case and words with a spelling of their own in labels.
-LOWER_WORDS = {"of", "and", "per", "at", "in", "the"}
-SPECIAL_WORDS = {"ndvi": "NDVI", "spei": "SPEI", "qty": "quantity", "nl": "line count"}
+# Fixed values of labels.
+#: Words written in capitals.
+ACRONYMS = ["ci", "db", "lst", "ndvi", "sd", "spei", "vpd"]
+#: Units, which stay as they are.
+UNITS = ["cm", "m", "mm"]
+#: Words that are written out.
+WORDS = {"abs": "Absolute", "boot": "Bootstrap", "corr": "Correlation", "gt": "Greater Than", "lt": "Less Than", "prob": "Probability"}
+#: Words that are lower case but for the first of a label.
+SMALL_WORDS = ["and", "as", "by", "for", "from", "in", "of", "on", "or", "to", "with"]
+#: Variables with a label of their own.
+VARIABLE_LABELS = {
+    "temperature": "2 m air temperature",
+    "precipitation": "Total precipitation",
+    "evaporation": "Potential evaporation",
+    "soil_moisture_7_to_28_cm": "Soil moisture (7–28 cm)",
+    "soil_moisture_28_to_100_cm": "Soil moisture (28–100 cm)",
+    "ndvi": "NDVI",
+    "month_sin": "Month (sine)",
+    "month_cos": "Month (cosine)",
+}
+
+
+def _lookup(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
 def display_label(name: ColumnLike, overrides: dict[str, str] | None = None) -> Column:
-    """A variable's name as text: words apart, first letters capital, acronyms and small words as listed; ``_resid`` becomes a note."""
+    """A name in code as the text of a figure: words apart at blanks, ``_`` and ``-``, capital first letters, and words as listed above; numbers stay."""
+    own = _lookup({w: w.upper() for w in ACRONYMS} | {u: u for u in UNITS} | WORDS)
+
+    def word(w: Column, place: Column) -> Column:
+        low = F.lower(w)
+        first = F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.char_length(low)))
+        return F.coalesce(own[low], F.when((place > 0) & low.isin(*SMALL_WORDS), low).when(w.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"), w).otherwise(first))
+
+    words = F.filter(F.split(F.regexp_replace(col(name), "[_-]", " "), r"\s+"), lambda w: w != "")
+    text = F.array_join(F.transform(words, word), " ")
+    return F.coalesce(_lookup(overrides)[col(name)], text) if overrides else text
+
+
+def variable_label(name: ColumnLike, overrides: dict[str, str] | None = None) -> Column:
+    """A variable's label: an override of the name as it is, else that of its base, which lacks ``_residual`` or ``_resid``, or a
+    listed one, or the base in sentence case; residuals are called anomalies.
+    """
     c = col(name)
-    core = F.regexp_replace(c, "_resid$", "")
-    special = F.create_map(*[F.lit(v) for kv in SPECIAL_WORDS.items() for v in kv])
-    word = lambda w: F.coalesce(special[F.lower(w)], F.when(F.lower(w).isin(*sorted(LOWER_WORDS)), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))))
-    text = F.concat(F.array_join(F.transform(F.filter(F.split(core, "_"), lambda w: w != ""), word), " "), F.when(c.endswith("_resid"), " (residual)").otherwise(""))
-    if overrides:
-        return F.coalesce(F.create_map(*[F.lit(v) for kv in overrides.items() for v in kv])[c], text)
-    return text
+    base = F.regexp_replace(c, "(_residual|_resid)$", "")
+    plain = F.trim(F.translate(base, "_", " "))
+    sentence = F.concat(F.upper(F.substring(plain, 1, 1)), F.lower(F.substring(plain, F.lit(2), F.char_length(plain))))
+    label = F.concat(F.coalesce(_lookup(VARIABLE_LABELS | (overrides or {}))[base], sentence), F.when(base != c, " anomaly").otherwise(""))
+    return F.coalesce(_lookup(overrides)[c], label) if overrides else label
 
 
 #: Comparison by operator text; anything with a null is false.

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 KEYS = ["row", "col"]
 TIME = ["year", "month"]
 VARIABLES = ["qty", "price", "disc", "tax", "nl"]
-REPLICATES = 6
+#: Replicates of a pixel's graph.
+REPLICATES = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

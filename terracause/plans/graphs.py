@@ -86,13 +86,13 @@ SHARES = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015
 
 @query(
     with_sql(ARD)
-    + f""", u AS (SELECT r AS rep, qty, price, tax, ('0x' || substr(md5(concat_ws('|', r, row, col, year, month)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM ard, generate_series(1, 10) g(r)),
+    + f""", u AS (SELECT r AS rep, qty, price, tax, ('0x' || substr(md5(concat_ws('|', r, row, col, year, month)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM ard, generate_series(1, 2000) g(r)),
 w AS (SELECT *, {' + '.join(f'(u >= {x})::INT' for x in SHARES)} AS k FROM u), x AS (SELECT rep, qty, price, tax FROM w, generate_series(1, 7) g(i) WHERE i <= k),
 c AS (SELECT rep, corr(qty, price) AS qp, corr(qty, tax) AS qt, corr(price, tax) AS pt FROM x GROUP BY rep), l AS (SELECT 'qty' AS a, 'price' AS b, qp AS r FROM c UNION ALL SELECT 'qty', 'tax', qt FROM c UNION ALL SELECT 'price', 'tax', pt FROM c)
 SELECT a, b, CASE WHEN abs(r) >= 0.1 THEN 'o-o' ELSE 'none' END AS endpoint, count(*) AS n FROM l GROUP BY ALL"""
 )
 def pooled_discovery(s, d):
-    return G.pooled_discovery(ard(s, d), ["qty", "price", "tax"], 10)
+    return G.pooled_discovery(ard(s, d), ["qty", "price", "tax"], 2000)
 
 
 SIGNATURE = CONSENSUS + ", sig AS (SELECT row, col, sha1(string_agg(parent || '->' || child || CASE WHEN weight > 0 THEN '+' ELSE '-' END, ';' ORDER BY parent || '->' || child || CASE WHEN weight > 0 THEN '+' ELSE '-' END)) AS signature, count(*) AS n_edges FROM cons GROUP BY row, col)"

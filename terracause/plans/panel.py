@@ -287,15 +287,35 @@ def log_metrics(s, d):
     return table(s, d, "events").select("event_id", C.r6(C.minus_log10(F.col("value") / 100)).alias("minus_log"), C.r6(C.log10_positive(F.col("value") - 10)).alias("log_value"))
 
 
+#: Beginnings and ends of the names that labels are made of: small words, acronyms, units, numbers, residuals.
+ENDS = ["_resid", "-of-ndvi", "_2.5_m", "_residual", "_by_month-and-YEAR", ""]
+NAMES = f"n AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'of_' WHEN 1 THEN 'abs ' WHEN 2 THEN ' LST__' ELSE '' END || replace(p_name, ' ', '_') || {ENDS!r}[CAST(p_partkey % {len(ENDS)} + 1 AS INTEGER)] AS variable FROM part)"
+
+
+def _names(s, d):
+    key = F.col("p_partkey")
+    end = F.element_at(F.array(*map(F.lit, ENDS)), (key % len(ENDS) + 1).cast("int"))
+    begin = F.when(key % 7 == 0, "of_").when(key % 7 == 1, "abs ").when(key % 7 == 2, " LST__").otherwise("")
+    return table(s, d, "part").select("p_partkey", F.concat(begin, F.translate("p_name", " ", "_"), end).alias("variable"))
+
+
 @query(
-    """WITH n AS (SELECT p_partkey, p_name, p_partkey % 3 AS k, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS words FROM part)
-SELECT p_partkey, replace(p_name, ' ', '_') || CASE k WHEN 0 THEN '_resid' WHEN 1 THEN '_of_ndvi' ELSE '' END AS variable,
-       CASE WHEN k = 2 AND p_name = 'red widget' THEN 'Widget, red' ELSE words || CASE k WHEN 0 THEN ' (residual)' WHEN 1 THEN ' of NDVI' ELSE '' END END AS label FROM n"""
+    f"WITH {NAMES}, "
+    + """w AS (SELECT p_partkey, variable, i, lower(w) AS w FROM (SELECT p_partkey, variable, unnest(list_filter(string_split_regex(regexp_replace(variable, '[_-]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS w, generate_subscripts(list_filter(string_split_regex(regexp_replace(variable, '[_-]', ' ', 'g'), '\\s+'), lambda w: w <> ''), 1) AS i FROM n)),
+l AS (SELECT p_partkey, variable, i, CASE WHEN w IN ('ndvi', 'lst') THEN upper(w) WHEN w = 'm' THEN w WHEN w = 'abs' THEN 'Absolute' WHEN i > 1 AND w IN ('of', 'by', 'and') THEN w ELSE upper(w[1]) || w[2:] END AS w FROM w)
+SELECT p_partkey, variable, string_agg(w, ' ' ORDER BY i) AS label FROM l GROUP BY p_partkey, variable"""
 )
 def display_label(s, d):
-    end = F.element_at(F.array(*map(F.lit, ("_resid", "_of_ndvi", ""))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    names = table(s, d, "part").select("p_partkey", F.concat(F.translate("p_name", " ", "_"), end).alias("variable"))
-    return names.withColumn("label", C.display_label("variable", {"red_widget": "Widget, red"}))
+    return _names(s, d).withColumn("label", C.display_label("variable"))
+
+
+@query(
+    f"WITH {NAMES}, "
+    + """b AS (SELECT p_partkey, variable, regexp_replace(variable, '(_residual|_resid)$', '') AS base FROM n), t AS (SELECT *, trim(replace(base, '_', ' ')) AS plain FROM b)
+SELECT p_partkey, variable, CASE WHEN variable = 'red_widget_resid' THEN 'Widgets, red' ELSE CASE base WHEN 'blue_widget' THEN 'Widgets, blue' ELSE upper(plain[1]) || lower(plain[2:]) END || CASE WHEN base <> variable THEN ' anomaly' ELSE '' END END AS label FROM t"""
+)
+def variable_label(s, d):
+    return _names(s, d).withColumn("label", C.variable_label("variable", {"red_widget_resid": "Widgets, red", "blue_widget": "Widgets, blue"}))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 4 <> 0")
@@ -376,13 +396,24 @@ def window_summary_asof(s, d):
     return _window_summary(ard_gappy(s, d).where("year < 2000"))
 
 
+#: Months that all pixels have, less some of the last row: windows above that row are complete, those that reach it aren't.
+SHARED = ", shared AS (SELECT * FROM ard WHERE (year, month) IN (SELECT (year, month) FROM ard GROUP BY year, month HAVING count(*) = 25) AND NOT (row = 4 AND (col + year + month) % 3 = 0))"
+
+
+def _shared(s, d):
+    a = ard(s, d)
+    all_ = a.groupBy("year", "month").agg(F.count("*").alias("_n")).where("_n = 25").drop("_n")
+    return a.join(all_, ["year", "month"]).where("not (row = 4 and (col + year + month) % 3 = 0)")
+
+
 @query(
-    with_sql(GAPPY)
-    + f""", pool AS ({POOL}), own AS (SELECT row, col, count(*) AS n, list_sort(list(year * 12 + month)) AS clock FROM ard_gappy GROUP BY row, col)
-SELECT centre_row AS row, centre_col AS col, sum(n)::BIGINT AS n_rows FROM pool JOIN own USING (row, col) GROUP BY ALL HAVING count(*) = 9 AND count(DISTINCT clock) = 1 AND sum(n) >= 100"""
+    with_sql(ARD)
+    + SHARED
+    + f""", pool AS ({POOL}), own AS (SELECT row, col, count(*) AS n, list_sort(list(year * 12 + month)) AS clock FROM shared GROUP BY row, col)
+SELECT centre_row AS row, centre_col AS col, sum(n)::BIGINT AS n_rows FROM pool JOIN own USING (row, col) GROUP BY ALL HAVING count(*) = 9 AND count(DISTINCT clock) = 1 AND sum(n) >= 9"""
 )
 def window_complete(s, d):
-    return P.window_complete(ard_gappy(s, d), 1, ["qty", "tax"], 100)
+    return P.window_complete(_shared(s, d), 1, ["qty", "tax"], 9)
 
 
 @query(with_sql(ARD) + f"SELECT CAST(row_number() OVER (ORDER BY {KV}) AS INTEGER) AS row_id, {KV}, qty, nl FROM ard WHERE row BETWEEN 1 AND 3 AND col BETWEEN 1 AND 3")
