@@ -20,13 +20,22 @@ def holdout_months(years: DataFrame, lead: int) -> DataFrame:
     return m.select(F.floor(at / 12).cast("int").alias("model_year"), (F.pmod(at, F.lit(12)) + 1).cast("int").alias("model_month"), F.col("year").alias("observed_year"), F.col("month").alias("observed_month"))
 
 
+def parents_of(edges: DataFrame, panel: DataFrame) -> list[str]:
+    """Parents that edges name: at most the panel's columns; others are refused."""
+    inside = F.col("parent").isin(*panel.columns)
+    other = sorted(r["parent"] for r in edges.where(~inside).select("parent").distinct().limit(5).collect())
+    if other:
+        raise ValueError(f"parents that the panel doesn't have: {', '.join(other)}")
+    return sorted(r["parent"] for r in edges.where(inside).select("parent").distinct().collect())
+
+
 def predict_level(panel: DataFrame, edges: DataFrame, target: str, train_end: int) -> DataFrame:
     """Forecast of a pixel's target from its parents: the intercept puts the training means on the line.
 
     ``edges`` has row, col, parent, weight of the target's parents.
     """
-    parents = [r["parent"] for r in edges.select("parent").distinct().collect()]
-    own = edges.groupBy(*KEYS).pivot("parent", sorted(parents)).agg(F.first("weight"))
+    parents = parents_of(edges, panel)
+    own = edges.groupBy(*KEYS).pivot("parent", parents).agg(F.first("weight"))
     means = panel.where(F.col("year") <= train_end).groupBy(*KEYS).agg(F.avg(target).alias("_y"), *[F.avg(p).alias(f"_m_{p}") for p in parents])
     weights = own.select(*KEYS, *[F.coalesce(F.col(p), F.lit(0.0)).alias(f"_w_{p}") for p in parents])
     rows = panel.where(F.col("year") > train_end).join(means, KEYS).join(weights, KEYS)
@@ -38,9 +47,9 @@ def predict_level(panel: DataFrame, edges: DataFrame, target: str, train_end: in
 
 def predict_response(panel: DataFrame, edges: DataFrame, target: str, train_end: int, least: int) -> DataFrame:
     """Anomaly forecast per month: weights times the parents' departures from their month means; last year's anomaly as baseline."""
-    parents = [r["parent"] for r in edges.select("parent").distinct().collect()]
+    parents = parents_of(edges, panel)
     clim = panel.where(F.col("year") <= train_end).groupBy(*KEYS, "month").agg(F.count(target).alias("_n"), F.avg(target).alias("_y"), *[F.avg(p).alias(f"_m_{p}") for p in parents])
-    own = edges.groupBy(*KEYS).pivot("parent", sorted(parents)).agg(F.first("weight")).select(*KEYS, *[F.coalesce(F.col(p), F.lit(0.0)).alias(f"_w_{p}") for p in parents])
+    own = edges.groupBy(*KEYS).pivot("parent", parents).agg(F.first("weight")).select(*KEYS, *[F.coalesce(F.col(p), F.lit(0.0)).alias(f"_w_{p}") for p in parents])
     before = panel.select(*KEYS, (F.col("year") + 1).alias("year"), "month", F.col(target).alias("_last"))
     rows = panel.where(F.col("year") > train_end).join(clim, [*KEYS, "month"]).where(F.col("_n") >= least).join(own, KEYS).join(before, [*KEYS, "year", "month"], "left")
     value = F.lit(0.0)

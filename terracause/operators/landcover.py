@@ -91,10 +91,13 @@ def _pipeline(features: list[str], kind: str, seed: int):
 def spatial_cv(df: DataFrame, features: list[str], klass: str, fold: str, kind: str = "forest", seed: int = 1) -> DataFrame:
     """Predictions of each fold by a model trained on the others: ``truth``, ``guess``, and the majority class of the training rows.
 
-    ``klass`` holds whole numbers from 0.
+    ``klass`` holds whole numbers from 0. The samples are written once, since every fold's fit reads them several times.
     """
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    typed = df.withColumn("_label", F.col(klass).cast("double")).withColumns({f: F.col(f).cast("double") for f in features})
+    from terracause.sources.tables import scratch, table_replace
+
+    typed = df.select(*dict.fromkeys([*KEYS, fold, klass]), F.col(klass).cast("double").alias("_label"), *[F.col(f).cast("double").alias(f) for f in features if f not in (*KEYS, fold, klass)])
+    typed = table_replace(typed, scratch(df.sparkSession, "samples"))
+    folds = sorted(r[0] for r in typed.select(fold).distinct().collect())
     out = None
     for k in folds:
         train, test = class_weights(typed.where(F.col(fold) != k), klass), typed.where(F.col(fold) == k)
