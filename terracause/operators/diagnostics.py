@@ -97,6 +97,26 @@ def lagged_covariances(panel: DataFrame, variables: list[str], lags: int) -> Dat
     return wide.groupBy(*KEYS).agg(F.count("*").cast("int").alias("n"), F.array(*sums).alias("c"))
 
 
+def _contributions(covariances: DataFrame, d: int, lags: int, schema: str, rows) -> DataFrame:
+    """``rows`` of each batch of pixels: keys and n, and the portmanteau's contribution of each lag (pixels x lags)."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                n = b.column(2).to_numpy()
+                c = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, lags + 1, d, d)
+                inverse = np.linalg.pinv(np.nan_to_num(c[:, 0]), hermitian=True)[:, None]
+                part = np.einsum("nhij,nhij->nh", inverse @ c[:, 1:], c[:, 1:] @ inverse)
+                part *= n[:, None] * n[:, None].astype(float) / np.maximum(n[:, None] - np.arange(1, lags + 1), 1)
+                yield pa.RecordBatch.from_arrays(rows(b.columns[:3], n, part), names)
+
+    return covariances.mapInArrow(run, schema)
+
+
 def portmanteau(panel: DataFrame, variables: list[str], lags: int, fitted: int = 0) -> DataFrame:
     """Adjusted multivariate portmanteau per pixel with its chi-square tail.
 
@@ -108,32 +128,56 @@ def portmanteau(panel: DataFrame, variables: list[str], lags: int, fitted: int =
 
     from terracause.operators.linalg import gamma_tail
 
-    d, df = len(variables), len(variables) ** 2 * (lags - fitted)
+    df = len(variables) ** 2 * (lags - fitted)
 
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = b.column(2).to_numpy()
-            c = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, lags + 1, d, d)
-            inverse = np.linalg.pinv(np.nan_to_num(c[:, 0]), hermitian=True)
-            q = np.zeros(len(n))
-            for h in range(1, lags + 1):
-                q += n * n.astype(float) / np.maximum(n - h, 1) * np.einsum("nij,nij->n", inverse @ c[:, h], c[:, h] @ inverse)
-            short = n <= lags + 1
-            p = np.array([gamma_tail(df / 2, x / 2) if df > 0 else np.nan for x in q])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(q, mask=short), pa.array(np.full(len(n), df, np.int32), mask=short), pa.array(p, mask=short | np.isnan(p))], ["row", "col", "n", "q", "df", "p"])
-
-    return lagged_covariances(panel, variables, lags).mapInArrow(run, "row int, col int, n int, q double, df int, p double")
-
-
-def edge_stability(probability: DataFrame, near: float, threshold: float) -> DataFrame:
-    """Mean and largest entropy of edge probabilities, edges near the threshold, and pairs with both directions likely."""
+    def rows(keys, n, part):
+        q, short = part.sum(1), n <= lags + 1
+        p = np.array([gamma_tail(df / 2, x / 2) if df > 0 else np.nan for x in q])
+        return [*keys, pa.array(q, mask=short), pa.array(np.full(len(n), df, np.int32), mask=short), pa.array(p, mask=short | np.isnan(p))]
+
+    return _contributions(lagged_covariances(panel, variables, lags), len(variables), lags, "row int, col int, n int, q double, df int, p double", rows)
+
+
+def portmanteau_by_lag(panel: DataFrame, variables: list[str], lags: int, fitted: int = 0) -> DataFrame:
+    """The same lag by lag: what each adds (``part``), the statistic up to there with its degrees of freedom, and its tail (null up to the fitted lags)."""
+    import numpy as np
+    import pyarrow as pa
+
+    from terracause.operators.linalg import gamma_tail
+
+    df = len(variables) ** 2 * np.maximum(np.arange(1, lags + 1) - fitted, 0)
+
+    def rows(keys, n, part):
+        good = np.flatnonzero(n > lags + 1)
+        take = pa.array(np.repeat(good, lags))
+        q = np.cumsum(part, axis=1)[good]
+        p = np.array([[gamma_tail(k / 2, x / 2) if k else np.nan for k, x in zip(df.tolist(), line, strict=True)] for line in q.tolist()]).reshape(-1)
+        lag = np.tile(np.arange(1, lags + 1, dtype=np.int32), len(good))
+        return [*[k.take(take) for k in keys], pa.array(lag), pa.array(part[good].ravel()), pa.array(q.ravel()), pa.array(np.tile(df.astype(np.int32), len(good))), pa.array(p, mask=np.isnan(p))]
+
+    return _contributions(lagged_covariances(panel, variables, lags), len(variables), lags, "row int, col int, n int, lag int, part double, q double, df int, p double", rows)
+
+
+def edge_stability(probability: DataFrame, near: float, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and largest entropy of edge probabilities, edges near the threshold, and pairs with both directions likely; per pixel, and ``by`` other columns of the edges."""
+    keys = [*KEYS, *by]
     h = probability.withColumn("h", binary_entropy("probability"))
-    own = h.groupBy(*KEYS).agg(F.count("*").alias("n_edges"), F.avg("h").alias("mean_entropy"), F.max("h").alias("max_entropy"), F.sum((F.abs(F.col("probability") - threshold) <= near).cast("int")).alias("near_threshold"))
-    back = probability.select(*KEYS, F.col("child").alias("parent"), F.col("parent").alias("child"), F.col("probability").alias("_q"))
-    both = probability.join(back, [*KEYS, "parent", "child"]).where((F.col("parent") < F.col("child")) & (F.least("probability", "_q") >= threshold)).groupBy(*KEYS).agg(F.count("*").alias("conflicts"))
-    return own.join(both, KEYS, "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
+    own = h.groupBy(*keys).agg(F.count("*").alias("n_edges"), F.avg("h").alias("mean_entropy"), F.max("h").alias("max_entropy"), F.sum((F.abs(F.col("probability") - threshold) <= near).cast("int")).alias("near_threshold"))
+    back = probability.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("child"), F.col("probability").alias("_q"))
+    both = probability.join(back, [*keys, "parent", "child"]).where((F.col("parent") < F.col("child")) & (F.least("probability", "_q") >= threshold)).groupBy(*keys).agg(F.count("*").alias("conflicts"))
+    return own.join(both, keys, "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
+
+
+def lagged_edge_stability(probability: DataFrame, near: float, threshold: float) -> DataFrame:
+    """One row a pixel: edge stability at once (lag 0) and of all later lags, the lag with the largest mean entropy, and the entropy over all edges together.
+
+    Both directions of a pair conflict only within a month.
+    """
+    now = edge_stability(probability.where("lag = 0").drop("lag"), near, threshold)
+    per = edge_stability(probability.where("lag > 0"), near, threshold, ("lag",))
+    later = per.groupBy(*KEYS).agg(F.sum("n_edges").alias("lagged_edges"), (F.sum(F.col("mean_entropy") * F.col("n_edges")) / F.sum("n_edges")).alias("lagged_mean_entropy"), F.max("max_entropy").alias("lagged_max_entropy"), F.sum("near_threshold").alias("lagged_near_threshold"), F.max_by("lag", F.struct("mean_entropy", -F.col("lag"))).alias("least_sure_lag"))
+    all_ = probability.withColumn("h", binary_entropy("probability")).groupBy(*KEYS).agg(F.avg("h").alias("combined_entropy"))
+    return all_.join(now, KEYS, "left").join(later, KEYS, "left")
 
 
 def assumption_flag(checks: list[Column], unstable: Column | None = None) -> Column:

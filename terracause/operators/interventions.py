@@ -317,9 +317,11 @@ def scenario_weights(edges: DataFrame, names: list[str], scenarios: list[Scenari
     return map_graphs(graph_rows(edges, names), WEIGHTS, work)
 
 
-def event_quantities(panel: DataFrame, scenarios: list[Scenario], unit: str = "none") -> DataFrame:
+def event_quantities(panel: DataFrame, scenarios: list[Scenario], unit: str = "none", events: Column | None = None) -> DataFrame:
     """The quantities that ``scenario_weights`` names, at every complete event: row, col, year, month, scenario, quantity, value.
 
+    Events are all rows, or those that meet the condition ``events``; means and other statistics are of all rows anyway.
+
     Effects are linear, so for ``mean`` and ``sum`` one event a pixel and scenario is enough (year and month null).
     """
     values = Values()
@@ -330,7 +332,7 @@ def event_quantities(panel: DataFrame, scenarios: list[Scenario], unit: str = "n
     parents = sorted({m.parent for s in scenarios for m in s.mechanisms})
     means = [values._stat(F.avg(v), f"mean__{v}") for v in parents]
     complete = panel.na.drop(subset=used)
-    rows = values.joined(complete, complete)
+    rows = values.joined(complete if events is None else complete.where(events), complete)
     for v, mean in zip(parents, means, strict=True):
         for s in scenarios:
             if any(m.parent == v for m in s.mechanisms):
@@ -344,17 +346,17 @@ def event_quantities(panel: DataFrame, scenarios: list[Scenario], unit: str = "n
     return rows.select(*KEYS, "year", "month", F.inline(out))
 
 
-def scenario_parts(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario], targets: list[str], names: list[str], unit: str = "none") -> tuple[DataFrame, DataFrame]:
+def scenario_parts(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario], targets: list[str], names: list[str], unit: str = "none", events: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Effect of each part of each scenario (row, col, replicate, year, month, scenario, part, name, target, effect), and error rows of graphs."""
     weights = scenario_weights(edges, names, scenarios, targets)
-    events = event_quantities(panel, scenarios, unit)
+    at = event_quantities(panel, scenarios, unit, events)
     good = weights.where("error is null").drop("error")
-    effect = events.join(good, [*KEYS, "scenario", "quantity"]).groupBy(*GRAPH, "year", "month", "scenario", "part", "name", "target").agg(F.sum(F.col("weight") * F.col("value")).alias("effect"))
+    effect = at.join(good, [*KEYS, "scenario", "quantity"]).groupBy(*GRAPH, "year", "month", "scenario", "part", "name", "target").agg(F.sum(F.col("weight") * F.col("value")).alias("effect"))
     return effect, weights.where("error is not null").select(*GRAPH, "scenario", "error")
 
 
-def scenario_table(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario], targets: list[str], names: list[str], unit: str = "mean") -> DataFrame:
-    """Scenarios x targets with the fit's change and its bootstrap interval: the ``mean``, ``median`` or ``sum`` over events, or each event (``none``, with year and month).
+def scenario_table(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario], targets: list[str], names: list[str], unit: str = "mean", events: Column | None = None) -> DataFrame:
+    """Scenarios x targets with the fit's change and its bootstrap interval: the ``mean``, ``median`` or ``sum`` over events, or each event (``none``, with year and month). ``events`` says which rows are events.
 
     A scenario that can't be worked out gives an error row a pixel instead of failing all; so does a
     fitted graph that refuses one of its changes or whose goals have no solution. Replicates that do
@@ -369,7 +371,7 @@ def scenario_table(edges: DataFrame, panel: DataFrame, scenarios: list[Scenario]
     shape = lambda df: df.select(*KEYS, *empty, "scenario", F.lit(None).cast("string").alias("target"), *none("effect", "boot_mean", "ci_low", "ci_high"), "error")
     out = shape(panel.select(*KEYS).distinct().select(*KEYS, F.inline(F.array(*wrong)))) if wrong else None
     if fine:
-        effects, errors = scenario_parts(edges, panel, fine, targets, names, unit)
+        effects, errors = scenario_parts(edges, panel, fine, targets, names, unit, events)
         each = effects.where("part <> 'required'").groupBy(*GRAPH, "scenario", "target", "year", "month").agg(F.sum("effect").alias("effect"))
         if unit == "median":
             each = each.groupBy(*GRAPH, "scenario", "target").agg(F.percentile("effect", 0.5).alias("effect"))

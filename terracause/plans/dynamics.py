@@ -291,7 +291,7 @@ def lagged_bootstrap_effects(s, d):
     return table.join(kept, ["row", "col"], "left")
 
 
-def _whiteness_sql(lags: int) -> str:
+def _whiteness_sql(lags: int, by_lag: bool = False) -> str:
     """Two variables: covariances by sums of products, the inverse of C0 in closed form, and the chi-square tail of an even number of degrees."""
     cov = ", ".join(f"sum({a} * {b}{h}) / count(*) AS {a}{b}{h}" for h in range(1, lags + 1) for a in "xy" for b in "xy")
     past = ", ".join(f"lag({v}, {h}) OVER o AS {v}{h}" for h in range(1, lags + 1) for v in "xy")
@@ -301,12 +301,19 @@ def _whiteness_sql(lags: int) -> str:
         sc = {(i, j): f"(s{i}0 * {c[0, j]} + s{i}1 * {c[1, j]})" for i in (0, 1) for j in (0, 1)}
         cs = {(i, j): f"({c[i, 0]} * s0{j} + {c[i, 1]} * s1{j})" for i in (0, 1) for j in (0, 1)}
         terms.append(f"n * n / greatest(n - {h}, 1) * ({' + '.join(f'{sc[k]} * {cs[k]}' for k in sc)})")
-    return f"""zz AS (SELECT row, col, year, month, qty - avg(qty) OVER p AS x, price - avg(price) OVER p AS y FROM ard WINDOW p AS (PARTITION BY row, col)),
+    cumulative = [" + ".join(terms[:h]) for h in range(1, lags + 1)]
+    base = f"""zz AS (SELECT row, col, year, month, qty - avg(qty) OVER p AS x, price - avg(price) OVER p AS y FROM ard WINDOW p AS (PARTITION BY row, col)),
 zl AS (SELECT row, col, x, y, {past} FROM zz WINDOW o AS (PARTITION BY row, col ORDER BY year, month)),
 zc AS (SELECT row, col, count(*)::DOUBLE AS n, sum(x * x) / count(*) AS xx, sum(x * y) / count(*) AS xy, sum(y * y) / count(*) AS yy, {cov} FROM zl GROUP BY row, col),
-zs AS (SELECT *, yy / (xx * yy - xy * xy) AS s00, -xy / (xx * yy - xy * xy) AS s01, -xy / (xx * yy - xy * xy) AS s10, xx / (xx * yy - xy * xy) AS s11 FROM zc),
+zs AS (SELECT *, yy / (xx * yy - xy * xy) AS s00, -xy / (xx * yy - xy * xy) AS s01, -xy / (xx * yy - xy * xy) AS s10, xx / (xx * yy - xy * xy) AS s11 FROM zc)"""
+    tail = lambda half: f"exp(-q / 2) * list_sum(list_transform(range({half}), lambda k: exp(k * ln(q / 2) - lgamma(k + 1))))"
+    if by_lag:
+        each = " UNION ALL ".join(f"SELECT row, col, n, CAST({h} AS INTEGER) AS lag, {terms[h - 1]} AS part, {cumulative[h - 1]} AS q FROM zs WHERE n > {lags + 1}" for h in range(1, lags + 1))
+        # one lag is fitted
+        return base + f", zq AS ({each}) SELECT row, col, CAST(n AS INTEGER) AS n, lag, {q6('part')} AS part, {q6('q')} AS q, CAST(4 * (lag - 1) AS INTEGER) AS df, CASE WHEN lag > 1 THEN {q6(tail('2 * lag - 2'))} END AS p FROM zq"
+    return base + f""",
 zq AS (SELECT row, col, n, {' + '.join(terms)} AS q FROM zs)
-SELECT row, col, CAST(n AS INTEGER) AS n, {q6('q')} AS q, CAST({4 * lags} AS INTEGER) AS df, {q6(f'exp(-q / 2) * list_sum(list_transform(range({2 * lags}), lambda k: exp(k * ln(q / 2) - lgamma(k + 1))))')} AS p FROM zq"""
+SELECT row, col, CAST(n AS INTEGER) AS n, {q6('q')} AS q, CAST({4 * lags} AS INTEGER) AS df, {q6(tail(2 * lags))} AS p FROM zq"""
 
 
 @query(with_sql(ARD) + ", " + _whiteness_sql(4))
@@ -315,6 +322,38 @@ def portmanteau_pair(s, d):
     return rounded(D.portmanteau(ard(s, d), PAIR, 4), "q", "p")
 
 
+@query(with_sql(ARD) + ", " + _whiteness_sql(6, True))
+def portmanteau_lags(s, d):
+    """What each of six months adds to the whiteness statistic, after a fit of one lag."""
+    return rounded(D.portmanteau_by_lag(ard(s, d), PAIR, 6, 1), "part", "q", "p")
+
+
+@query(
+    with_sql(ARD, LPROB)
+    + f""", h AS (SELECT *, CASE WHEN probability <= 0 OR probability >= 1 THEN 0 ELSE -probability * log2(probability) - (1 - probability) * log2(1 - probability) END AS h FROM lp),
+z AS (SELECT row, col, count(*) AS n_edges, avg(h) AS mean_entropy, max(h) AS max_entropy, count(*) FILTER (abs(probability - 0.5) <= 0.2) AS near_threshold FROM h WHERE lag = 0 GROUP BY row, col),
+l AS (SELECT row, col, count(*) AS lagged_edges, avg(h) AS lagged_mean_entropy, max(h) AS lagged_max_entropy, count(*) FILTER (abs(probability - 0.5) <= 0.2) AS lagged_near_threshold FROM h WHERE lag > 0 GROUP BY row, col)
+SELECT row, col, {q6('avg(h)')} AS combined_entropy, any_value(n_edges) AS n_edges, {q6('any_value(mean_entropy)')} AS mean_entropy, {q6('any_value(max_entropy)')} AS max_entropy, any_value(near_threshold) AS near_threshold, CAST(0 AS BIGINT) AS conflicts, any_value(lagged_edges)::BIGINT AS lagged_edges, {q6('any_value(lagged_mean_entropy)')} AS lagged_mean_entropy, {q6('any_value(lagged_max_entropy)')} AS lagged_max_entropy, any_value(lagged_near_threshold)::BIGINT AS lagged_near_threshold, CAST(1 AS INTEGER) AS least_sure_lag
+FROM h LEFT JOIN z USING (row, col) LEFT JOIN l USING (row, col) GROUP BY row, col"""
+)
+def lagged_edge_stability(s, d):
+    out = D.lagged_edge_stability(G.edge_probability(lagged_replicates(s, d), 0.1), 0.2, 0.5)
+    return rounded(out, "combined_entropy", "mean_entropy", "max_entropy", "lagged_mean_entropy", "lagged_max_entropy")
+
+
+@query(
+    with_sql(EDGES)
+    + f""", w AS (SELECT row, col, replicate, max(weight) FILTER (parent = 'qty') AS b FROM edges GROUP BY ALL), m AS (SELECT row, col, avg(qty) AS m, quantile_cont(qty, 0.75) AS up FROM ard GROUP BY ALL),
+ev AS (SELECT w.row, w.col, replicate, avg(0.5 * b * (a.qty - m) + 1.5 * b * (up - a.qty)) AS e FROM w JOIN ard a ON a.row = w.row AND a.col = w.col JOIN m ON m.row = w.row AND m.col = w.col WHERE a.month IN (6, 7, 8) AND a.year >= 1998 GROUP BY w.row, w.col, replicate)
+SELECT row, col, 'summers' AS scenario, 'price' AS target, {q6('max(e) FILTER (replicate = 0)')} AS effect, {q6('avg(e) FILTER (replicate > 0)')} AS boot_mean, {q6('quantile_cont(e, 0.025) FILTER (replicate > 0)')} AS ci_low, {q6('quantile_cont(e, 0.975) FILTER (replicate > 0)')} AS ci_high, NULL::VARCHAR AS error FROM ev GROUP BY row, col"""
+)
+def scenario_chosen_events(s, d):
+    """Only summers from 1998 on are events; means and quantiles are of all rows."""
+    up = I.Scenario("summers", (I.Hard("qty", I.Value("quantile", 0.75)),), (I.Mechanism("qty", "price", "scale", 1.5),))
+    out = I.scenario_table(edges(s, d), ard(s, d), [up], ["price"], VARS, "mean", F.col("month").isin(6, 7, 8) & (F.col("year") >= 1998))
+    return rounded(out, "effect", "boot_mean", "ci_low", "ci_high")
+
+
 # --- structure over all pixels, ranks and folds
 
 CRITICAL = 1.959963984540054
