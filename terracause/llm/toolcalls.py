@@ -1,9 +1,9 @@
 """Operator 4: chat formatting by linking tool calls with their results.
 
-Calls and results are hash-joined by conversation and call id. Calls that depend on others are ordered
-topologically: the level of a call is the length of its chain of parents, found by
-pointer doubling over joins by these, so neither a long conversation nor a long chain
-meets in one task. Arguments are validated against the schema of the named tool, and each
+Calls and results are hash-joined by conversation and call id. Calls may depend on several others and are ordered
+topologically: the level of a call is the length of its longest chain of parents, found by
+pointer doubling along calls with one parent and by Kahn's rounds between those with several, all over joins,
+so neither a long conversation nor a long chain meets in one task. Arguments are validated against the schema of the named tool, and each
 message is written as canonical JSON: sorted keys, no blanks, UTF-8 as it is.
 
 Every call and result has a row. Rows of a conversation are in order when sorted by (level, call_id, kind, turn): a call
@@ -18,7 +18,7 @@ the one with the smallest turn and arguments is linked, the others have level nu
 answers and the problem "repeated id"; a call without an id has level null and the problem
 "no id"; rows without a conversation are one conversation; repeated results stay; null arguments
 are the problem "no JSON object"; an unknown tool is the problem "unknown tool"; a plain message
-without a role is the problem "no role".
+without a role is the problem "no role". Empty tables give no rows of their kind; repeated dependencies count once.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracause.llm.components import join_spread
 from terracause.llm.shared import cut
 
 #: {tool: {field: (type, required)}}
@@ -72,20 +73,45 @@ def problems(tool: str | None, arguments: str | None, schemas: Schemas) -> tuple
     return found, read
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """call_id and level (0 without a parent; null on or behind a cycle)."""
-    known = calls.select(F.col("call_id").alias("parent_id"), F.lit(True).alias("known"))
-    hops = calls.join(known, "parent_id", "left").select("call_id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
-    step = cut(hops.withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), "op4")
-    left, most = step.where("up is not null").count(), calls.count()
+def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
+    """call_id and level of each call: the longest chain of calls that it depends on (0 without any; null on or behind a cycle).
+
+    ``calls`` has call_id, unique; ``depends`` call_id and parent_id, and only parents that are calls count. A call
+    with one parent follows it by pointer doubling up to the first call with none or with several; of
+    these each waits for all of its parents (Kahn), so rounds grow with the nesting of such calls, not with
+    the length of chains. A parent of very many calls is joined by broadcast.
+    """
+    ids = cut(calls.select("call_id"), "op4-ids")
+    known = cut(depends.select("call_id", "parent_id").distinct().join(ids.select(F.col("call_id").alias("parent_id")), "parent_id", "left_semi"), "op4-depends")
+    per = known.groupBy("call_id").agg(F.count("*").alias("k"), F.min("parent_id").alias("up"))
+    k = F.coalesce("k", F.lit(0))
+    every = cut(ids.join(per, "call_id", "left").select("call_id", k.alias("k"), F.when(k == 1, F.col("up")).otherwise(F.col("call_id")).alias("at"), (k == 1).cast("long").alias("far"), (k == 1).alias("open")), "op4")
+    step, most = every.drop("k"), ids.count()
+    left = step.where("open").count()
     while left:
-        above = step.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("level2"))
-        step = cut(step.join(above, "up", "left").select("call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("level2", F.lit(0))).alias("level")), "op4")
-        now = step.where("up is not null").count()
-        if now == left and step.where("up is not null").agg(F.min("level")).first()[0] > most:
+        above = step.select(F.col("call_id").alias("at"), F.col("at").alias("_at"), F.col("far").alias("_far"), F.col("open").alias("_open"))
+        # who has arrived stays there
+        going = join_spread(step.where("open"), above, "at").select("call_id", F.col("_at").alias("at"), (F.col("far") + F.col("_far")).alias("far"), F.col("_open").alias("open"))
+        step = cut(step.where("not open").unionByName(going), "op4")
+        now = step.where("open")
+        left, before = now.count(), left
+        if left == before and now.agg(F.min("far")).first()[0] > most:
             break  # chains longer than there are calls: what is left is on a cycle or behind one
-        left = now
-    return step.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+    done = every.where("k = 0").select(F.col("call_id").alias("at"), F.lit(0).cast("long").alias("level"))
+    several = every.where("k > 1").select("call_id")
+    if not several.isEmpty():
+        ends = known.join(several, "call_id", "left_semi").withColumnRenamed("call_id", "waits")
+        places = step.select(F.col("call_id").alias("parent_id"), F.when(~F.col("open"), F.col("at")).alias("at"), (F.col("far") + 1).alias("more"))
+        waiting = cut(join_spread(ends, places, "parent_id").select("waits", "at", "more"), "op4-waiting")
+        done = cut(done, "op4-done")
+        while True:
+            ready = join_spread(waiting, done, "at").groupBy("waits").agg(F.max(F.col("level") + F.col("more")).alias("level"), (F.count("level") == F.count("*")).alias("_all")).where("_all")
+            ready = cut(ready.select(F.col("waits").alias("at"), "level"), "op4-ready")
+            if ready.isEmpty():
+                break
+            waiting = cut(waiting.join(ready.select(F.col("at").alias("waits")), "waits", "left_anti"), "op4-waiting")
+            done = cut(done.unionByName(ready), "op4-done")
+    return join_spread(step, cut(done, "op4-levels"), "at").select("call_id", F.when(~F.col("open"), F.col("level") + F.col("far")).alias("level"))
 
 
 def _order() -> list[Column]:
@@ -93,11 +119,11 @@ def _order() -> list[Column]:
     return [F.col("conv_id"), F.col("turn"), F.coalesce("arguments", F.lit("")).alias("_"), *map(F.col, ("arguments", "up", "tool", "call_id"))]
 
 
-def _linked(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Messages of the calls that are linked, one an ``id``, and of all results; calls have ``up``, the id of their parent."""
+def _linked(calls: DataFrame, results: DataFrame, depends: DataFrame) -> DataFrame:
+    """Messages of the calls that are linked, one an ``id``, and of all results; calls have ``up``, the id of their parent, and ``depends`` more of these (id, up)."""
     first = calls.where("id is not null").groupBy("id").agg(F.min(F.struct(*_order())).alias("c"))
     one = cut(first.select("id", "c.conv_id", "c.turn", "c.up", "c.tool", "c.arguments", "c.call_id"), "op4-calls")
-    order = levels(one.select(F.col("id").alias("call_id"), F.col("up").alias("parent_id"))).withColumnRenamed("call_id", "id")
+    order = cut(levels(one.select(F.col("id").alias("call_id")), one.select("id", "up").unionByName(depends).where("up is not null").toDF("call_id", "parent_id")).withColumnRenamed("call_id", "id"), "op4-order")
     answers = results.groupBy("id").agg(F.count("*").alias("answers"))
     asked = one.join(order, "id").join(answers, "id", "left").select(
         "conv_id", "turn", F.lit(0).alias("kind"), "call_id", "level", F.coalesce("answers", F.lit(0)).cast("long").alias("answers"), "tool", F.col("arguments").alias("body"), F.when(F.col("level").isNull(), "cycle").alias("note")
@@ -122,14 +148,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     conv_id, turn, kind (0 call, 1 result), call_id, level, answers, valid, problems, json.
     Of calls with one id the one with the smallest conversation, turn and arguments stays; calls without an id go.
     """
-    return _messages(_linked(calls.withColumns({"id": F.col("call_id"), "up": F.col("parent_id")}), results.withColumn("id", F.col("call_id"))), schemas)
+    named = calls.withColumns({"id": F.col("call_id"), "up": F.col("parent_id")})
+    return _messages(_linked(named, results.withColumn("id", F.col("call_id")), named.select("id", "up").where("false")), schemas)
 
 
-def chat(calls: DataFrame, results: DataFrame, plain: DataFrame, schemas: Schemas) -> DataFrame:
+def chat(calls: DataFrame, results: DataFrame, plain: DataFrame, schemas: Schemas, depends: DataFrame | None = None) -> DataFrame:
     """One row a message: conv_id, turn, kind (0 call, 1 result, 2 plain), call_id, level, answers, valid, problems, json.
 
     ``calls`` has conv_id, turn, call_id, parent_id, tool, arguments (JSON text); ``results``
-    has conv_id, turn, call_id, content; ``plain`` has conv_id, turn, role, content. Other
+    has conv_id, turn, call_id, content; ``plain`` has conv_id, turn, role, content; ``depends``
+    has conv_id, call_id, depends_on: parents beside the one in the call. Other
     columns are not read. Ids need to be unique within a conversation only.
     """
     inside = lambda name: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"), F.col(name))
@@ -137,7 +165,8 @@ def chat(calls: DataFrame, results: DataFrame, plain: DataFrame, schemas: Schema
     read = calls.select("conv_id", "turn", "call_id", "parent_id", "tool", "arguments")
     # each call has a number of its own, written once
     calls = cut(read.withColumns({"id": inside("call_id"), "up": inside("parent_id"), "nr": F.monotonically_increasing_id()}), "op4-every")
-    linked = _linked(calls, results.withColumn("id", inside("call_id")))
+    more_parents = calls.select("id", "up").where("false") if depends is None else depends.select(inside("call_id").alias("id"), inside("depends_on").alias("up"))
+    linked = _linked(calls, results.withColumn("id", inside("call_id")), more_parents)
     taken = calls.where("id is not null").groupBy("id").agg(F.min(F.struct(*_order(), "nr")).alias("c")).select("c.nr")
     left = calls.join(taken, "nr", "left_anti")
     more = left.select("conv_id", "turn", F.lit(0).alias("kind"), "call_id", none("long").alias("level"), F.lit(0).cast("long").alias("answers"), "tool", F.col("arguments").alias("body"), F.when(F.col("id").isNull(), "no id").otherwise("repeated id").alias("note"))

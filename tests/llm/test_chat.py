@@ -1,6 +1,7 @@
 """Every turn of a conversation has a row in the formatted output."""
 
 import json
+import random
 
 import duckdb
 
@@ -59,3 +60,40 @@ def test_calls_that_repeat_an_id_or_have_none_stay(spark):
     assert rest == [(2, 5, "call_1", 0, "repeated id"), (2, 5, "call_1", 0, "repeated id"), (2, 7, "", 0, "no id"), (3, 1, "", 0, "no JSON object; no id")]
     answers = {(r.conv_id, r.turn): (r.level, r.problems) for r in rows if r.kind == 1}
     assert answers == {(1, 2): (0, ""), (2, 2): (0, ""), (2, 4): (1, ""), (3, 3): (None, "no call"), (3, 4): (None, "no call")}
+
+
+def longest(calls, edges):
+    """Level of each call by brute force; None on or behind a cycle."""
+    up = {c: {p for a, p in edges if a == c and p in calls} for c in calls}
+    level = {}
+    while True:
+        ready = {c: 1 + max((level[p] for p in up[c]), default=-1) for c in calls if c not in level and all(p in level for p in up[c])}
+        if not ready:
+            return {c: level.get(c) for c in calls}
+        level |= ready
+
+
+def test_calls_that_depend_on_several(spark):
+    """A random graph of calls with none, one and several parents, a long chain into a merge, repeats, strangers and cycles."""
+    rng = random.Random(8)
+    names = [f"c{i:03d}" for i in range(160)]
+    edges = [(names[i], names[rng.randrange(i)]) for i in range(1, 120) for _ in range(rng.choice([0, 1, 1, 2, 4]))]
+    edges += [(names[i], names[i - 1]) for i in range(121, 150)] + [(names[150], names[149]), (names[150], names[3]), (names[151], names[150])]
+    edges += [(names[152], names[153]), (names[153], names[152]), (names[154], names[152]), (names[155], names[154]), (names[155], names[1]), (names[156], names[156])]
+    edges += [(names[157], "gone"), (names[5], "gone"), *edges[:9]]
+    hot = [f"h{i:03d}" for i in range(300)]
+    edges += [(h, names[2]) for h in hot] + [(h, names[4]) for h in hot[:100]]
+    want = longest([*names, *hot], edges)
+    table = spark.createDataFrame([(c,) for c in [*names, *hot]], "call_id string")
+    got = {r.call_id: r.level for r in toolcalls.levels(table, spark.createDataFrame(edges, "call_id string, parent_id string")).collect()}
+    assert got == want and want[names[151]] > 30 and sum(v is None for v in want.values()) == 5
+
+
+def test_more_parents_within_a_conversation(spark):
+    """Parents of the call and of the table together; ids of another conversation don't count."""
+    rows = [(k, i, f"t{i}", f"t{i - 1}" if i in (1, 2) else None, "search", '{"text":"a"}') for k in (1, 2) for i in range(5)]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, parent_id string, tool string, arguments string")
+    depends = spark.createDataFrame([(1, "t4", "t2"), (1, "t4", "t3"), (1, "t4", "t3"), (1, "t2", "t4x"), (2, "t3", "t4"), (2, None, "t1"), (2, "t1", None)], "conv_id long, call_id string, depends_on string")
+    none = (spark.createDataFrame([], "conv_id long, turn long, call_id string, content string"), spark.createDataFrame([], "conv_id long, turn long, role string, content string"))
+    got = {(r.conv_id, r.turn): r.level for r in toolcalls.chat(calls, *none, TOOLS, depends).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 0, (1, 4): 3, (2, 0): 0, (2, 1): 1, (2, 2): 2, (2, 3): 1, (2, 4): 0}
