@@ -13,9 +13,10 @@ stay empty; ``on_target`` marks the slots before the first empty one, and the gu
 holds for them.
 
 Defined cases: all sources that the weights don't name, and null, are one stream of one
-unit; a null doc_id stands anywhere in its source; rows of one id follow each other, but
-where a range of hashes holds over a thousandth of all rows (one id on very many rows) its
-rows are ordered by a number of the rows; an empty table gives no rows. Extra columns
+unit; a null doc_id stands by the hash of its row; rows of one id follow each other in the order
+of a hash of all their columns, but where a range of hashes holds over a thousandth of all rows (one id
+on very many rows) the hash of the row goes first. Positions don't depend on partitions or files: only copies of
+a row in all columns may change places. An empty table gives no rows. Extra columns
 stay; those with the name of an output column are replaced.
 """
 
@@ -60,7 +61,7 @@ def mix(docs: DataFrame, units: dict[str, int], block: int = 64, names: tuple[st
         rest += "_"
     source = F.when(F.col("source").isin(*units), F.col("source")).otherwise(F.lit(rest)) if units else F.lit(rest)
     # one row a weight, and one
-    got = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).collect()
+    got = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).collect()
     if not got:
         return docs.withColumns({n: F.lit(v).cast(kind) for n, v, kind in zip(names, (0, 0, 0, True), ("long", "long", "long", "boolean"), strict=True)})
     counts = {r.s: r.n for r in got}
@@ -72,25 +73,32 @@ def mix(docs: DataFrame, units: dict[str, int], block: int = 64, names: tuple[st
 
     total = sum(counts.values())
     bits = min(20, max(0, math.ceil(math.log2(max(1, total / GROUP_ROWS)))))
+    limit = max(8 * GROUP_ROWS, total // 1000)
     key = F.conv(F.substring(F.md5(F.col("row.doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
-    pack = lambda df, number: df.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), number.alias("number"))
-    ranged = lambda df: df.withColumn("key", F.coalesce(key, F.shiftrightunsigned(F.xxhash64("number"), 32))).withColumn("range", F.shiftright("key", 32 - bits) if bits else F.lit(0).cast("long"))
-    keyed = ranged(pack(docs, F.lit(0).cast("long"))).withColumn("part", F.lit(0))
+    # maps have no hash
+    told = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), F.monotonically_increasing_id().alias("number")).withColumn("content", F.xxhash64(*told))
+    ranged = lambda df: df.withColumn("key", F.coalesce(key, F.shiftrightunsigned("content", 32))).withColumn("range", F.shiftright("key", 32 - bits) if bits else F.lit(0).cast("long"))
+    many = lambda df, *by: df.groupBy("source", *by).count().where(F.col("count") > limit).select("source", *by)
+    none = F.lit(0).cast("long")
+    keyed = ranged(packed).withColumns({"part": none, "same": none, "salt": none})
     # each over a thousandth of all rows: a thousand at most
-    heavy = keyed.groupBy("source", "range").count().where(F.col("count") > max(8 * GROUP_ROWS, total // 1000)).select("source", "range")
-    if any(r.ids < r.n for r in got) or not heavy.isEmpty():
+    if not many(keyed, "range").isEmpty():
         # rows have a number of their own, written once
-        numbered = cut(pack(docs, F.monotonically_increasing_id()), "mix")
-        keyed = ranged(numbered)
-        heavy = keyed.groupBy("source", "range").count().where(F.col("count") > max(8 * GROUP_ROWS, total // 1000)).select("source", "range")
-        part = F.when(F.col("hot"), F.pmod(F.xxhash64("number", F.lit(5)), F.lit(1024))).otherwise(0).cast("int")
-        keyed = keyed.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), ["source", "range"], "left").withColumn("part", part)
-    groups = keyed.groupBy("source", "range", "part").agg(F.count("*").alias("n"))
-    # the ranges of a source, then the parts of a range
+        keyed = ranged(cut(packed, "mix"))
+        heavy = F.broadcast(many(keyed, "range").withColumn("hot", F.lit(True)))
+        part = F.when(F.col("hot"), F.shiftrightunsigned("content", 54)).otherwise(none)
+        keyed = keyed.join(heavy, ["source", "range"], "left").withColumn("part", part)
+        crowd = F.broadcast(many(keyed.where("hot"), "range", "part").withColumn("crowd", F.lit(True)))
+        # copies of a row in all its columns may stand for each other, so they are dealt by number
+        keyed = keyed.join(crowd, ["source", "range", "part"], "left").withColumns({"same": F.when(F.col("crowd"), F.col("content")).otherwise(none), "salt": F.when(F.col("crowd"), F.pmod(F.xxhash64("number", F.lit(5)), F.lit(1024))).otherwise(none)})
+    group = ["source", "range", "part", "same", "salt"]
+    groups = keyed.groupBy(*group).agg(F.count("*").alias("n"))
+    # the ranges of a source, then the parts of a range, its contents and its copies
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = groups.select("source", "range", "part", before(Window.partitionBy("source").orderBy("range", "part")).alias("base"))
-    inside = Window.partitionBy("source", "range", "part").orderBy("key", "row.doc_id", "number")
-    blocks = keyed.withColumn("nth", F.row_number().over(inside)).join(bases, ["source", "range", "part"]).withColumn("seq", F.col("base") + F.col("nth") - 1).withColumn("block", F.floor(F.col("seq") / block).cast("long"))
+    bases = groups.select(*group, before(Window.partitionBy("source").orderBy(*group[1:])).alias("base"))
+    inside = Window.partitionBy(*group).orderBy("key", "row.doc_id", "content", "number")
+    blocks = keyed.withColumn("nth", F.row_number().over(inside)).join(bases, group).withColumn("seq", F.col("base") + F.col("nth") - 1).withColumn("block", F.floor(F.col("seq") / block).cast("long"))
     own = spark.createDataFrame([(s, i, slot) for s, i, slot in schedule], "source string, turn long, at long")
     sizes = spark.createDataFrame(list(share.items()), "source string, units long")
     # one row a weight, and one row a unit of weight

@@ -158,3 +158,17 @@ def test_long_chain_and_no_calls(spark):
     rows = toolcalls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
     assert sorted((r.turn, r.level) for r in rows) == [(i, i) for i in range(300)]
     assert toolcalls.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).count() == 0
+
+
+@pytest.mark.parametrize("group_rows", [4, 2_048])
+def test_positions_are_the_same_for_any_layout(spark, monkeypatch, group_rows):
+    """A hot id on different rows, a hot row in many copies, ids of null: the same rows at the same positions however the table is dealt."""
+    monkeypatch.setattr(mixing, "GROUP_ROWS", group_rows)
+    rows = [(7, f"s{i % 2}", f"text {i}") for i in range(150)] + [(8, "s0", "copy")] * 120 + [(None, "s1", f"n{i % 40}") for i in range(90)] + [(i, f"s{i % 3}", "t") for i in range(100, 300)]
+    tables = [spark.createDataFrame(some, "doc_id long, source string, text string").repartition(n) for some, n in ((rows, 1), (rows[::-1], 5), (rows[100:] + rows[:100], 3))]
+    found = [sorted((tuple(r) for r in mixing.mix(df, {"s0": 3, "s1": 1, "s2": 2}, 8).select("doc_id", "source", "text", "block", "slot", "position").collect()), key=str) for df in tables]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert len({r[5] for r in found[0]}) == len(rows)
+    for name in ("s0", "s1", "s2"):
+        mine = sorted(r[5] for r in found[0] if r[1] == name)
+        assert len({p // 8 for p in mine}) == -(-len(mine) // 8)  # whole blocks, the last one shorter
