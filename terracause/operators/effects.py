@@ -84,6 +84,23 @@ def bootstrap_summary(df: DataFrame, keys: list[str], value: str, level: float =
     return g.select(*keys, "boot_n", "boot_mean", F.col("_q")[0].alias("boot_median"), "boot_sd", F.col("_q")[1].alias("ci_low"), F.col("_q")[2].alias("ci_high"), (F.col("_q")[2] - F.col("_q")[1]).alias("ci_width"), "p_positive", "p_negative", ((F.col("_q")[1] > 0) | (F.col("_q")[2] < 0)).alias("excludes_zero"))
 
 
+def fit_and_replicates(df: DataFrame, keys: list[str], fit: list[str], values: list[str], counts: Column, level: float = 0.95) -> DataFrame:
+    """One row a key with a fit (replicate 0), from one aggregation: the fit's columns, and for each value mean, deviation, interval and signs over the replicates (1 and up) that count.
+
+    ``n_counted`` is how many replicates those are.
+    """
+    a, used = (1 - level) / 2, (F.col("replicate") > 0) & counts
+    first = F.col("replicate") == 0
+    parts = [F.max(first.cast("int")).alias("_has"), F.sum(used.cast("int")).alias("n_counted"), *[F.max(F.when(first, F.col(c))).alias(c) for c in fit]]
+    out = [F.col(k) for k in keys] + [F.col(c) for c in [*fit, "n_counted"]]
+    for v in values:
+        x = F.when(used, F.col(v))
+        parts += [F.avg(x).alias(f"{v}_boot_mean"), F.stddev_samp(x).alias(f"{v}_boot_sd"), F.percentile(x, [a, 1 - a]).alias(f"_q_{v}"), F.avg((x > 0).cast("int")).alias(f"{v}_p_positive")]
+        low, high = F.col(f"_q_{v}")[0], F.col(f"_q_{v}")[1]
+        out += [F.col(f"{v}_boot_mean"), F.col(f"{v}_boot_sd"), low.alias(f"{v}_ci_low"), high.alias(f"{v}_ci_high"), F.col(f"{v}_p_positive"), ((low > 0) | (high < 0)).alias(f"{v}_excludes_zero")]
+    return df.groupBy(*keys).agg(*parts).where("_has = 1").select(*out)
+
+
 def effect_table(edges: DataFrame, panel: DataFrame, sources: list[str], target: str, variables: list[str], low: float = 0.1, high: float = 0.9) -> DataFrame:
     """One row a pixel and source: total effect, scaled, with bootstrap interval."""
     total = total_effects(edges, len(variables)).where((F.col("child") == target) & F.col("parent").isin(*sources)).withColumnRenamed("parent", "source").drop("child")

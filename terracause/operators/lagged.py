@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terracause.operators.effects import bootstrap_summary, total_effects
+from terracause.operators.effects import fit_and_replicates, total_effects
 from terracause.operators.graphmatrix import finite, graph_rows, impulse, keys_of, map_graphs, matrices, multipliers, radii, reduced
 from terracause.operators.interventions import Scenario, Values
 
@@ -67,15 +67,10 @@ def dynamic_table(effects: DataFrame, contrasts: DataFrame, graphs: DataFrame) -
     tgt = contrasts.select(*KEYS, F.col("variable").alias("target"), F.col("delta").alias("_t"))
     scale = F.try_divide("_s", F.when(F.col("_t") != 0, F.col("_t")))
     each = effects.join(src, [*KEYS, "source"], "left").join(tgt, [*KEYS, "target"], "left").withColumn("scaled", F.col("effect") * scale).withColumn("scaled_cumulative", F.col("cumulative") * scale).drop("_s", "_t")
-    point = each.where("replicate = 0").drop("replicate")
     sizes = graphs.where("replicate > 0").groupBy(*KEYS).agg(F.countDistinct("replicate").alias("n_replicates"))
-    steady = each.where("stable or replicate = 0")
-    out = point
-    for value in ("effect", "cumulative", "scaled"):
-        summary = bootstrap_summary(steady, pair, value)
-        names = ["boot_mean", "boot_sd", "ci_low", "ci_high", "p_positive", "excludes_zero"]
-        out = out.join(summary.select(*pair, *(["boot_n"] if value == "effect" else []), *[F.col(c).alias(f"{value}_{c}") for c in names]), pair, "left")
-    return out.withColumnRenamed("boot_n", "n_stable").join(sizes, KEYS, "left").withColumn("n_stable", F.coalesce("n_stable", F.lit(0)))
+    fit = ["direct", "lag_slice", "effect", "cumulative", "radius", "stable", "scaled", "scaled_cumulative"]
+    out = fit_and_replicates(each, pair, fit, ["effect", "cumulative", "scaled"], F.col("stable"))
+    return out.withColumnRenamed("n_counted", "n_stable").join(sizes, KEYS, "left")
 
 
 def stability_radius(edges: DataFrame, names: list[str]) -> DataFrame:
@@ -240,13 +235,9 @@ def var_scenario_table(edges: DataFrame, panel: DataFrame, names: list[str], sce
     """Scenarios x targets x horizons of the fit, with intervals over stable replicates; a pixel without the window asked for has an error row a scenario."""
     paths = var_paths(edges, panel, names, scenarios, targets, horizon, duration, start, threshold)
     keys = [*KEYS, "scenario", "target", "horizon"]
-    point = paths.where("replicate = 0").drop("replicate")
-    steady = paths.where("replicate = 0 or stable")
-    out = point
-    for value in ("effect", "cumulative"):
-        boot = bootstrap_summary(steady, keys, value)
-        out = out.join(boot.select(*keys, *([F.col("boot_n").alias("n_stable")] if value == "effect" else []), *[F.col(c).alias(f"{value}_{c}") for c in ("boot_mean", "ci_low", "ci_high", "excludes_zero")]), keys, "left")
-    out = out.withColumn("error", F.lit(None).cast("string"))
+    out = fit_and_replicates(paths, keys, ["active", "factual", "counterfactual", "effect", "cumulative", "stable"], ["effect", "cumulative"], F.col("stable"))
+    gone = [f"{v}_{c}" for v in ("effect", "cumulative") for c in ("boot_sd", "p_positive")]
+    out = out.drop(*gone).withColumnRenamed("n_counted", "n_stable").withColumn("error", F.lit(None).cast("string"))
     deepest = edges.agg(F.max("lag")).first()[0] or 0
     wrong = var_windows(panel, names, scenarios, start, deepest, horizon).where("error is not null").select(*KEYS, F.explode(F.array(*[F.lit(s.name) for s in scenarios])).alias("scenario"), "error")
     return out.unionByName(wrong, allowMissingColumns=True)
