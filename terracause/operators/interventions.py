@@ -134,7 +134,10 @@ def cut_incoming(edges: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def change_mechanisms(edges: DataFrame, changes: tuple[Mechanism, ...]) -> DataFrame:
-    """Edge weights after the changes, in order."""
+    """Edge weights after the changes, in order; graphs that would get an edge that ``new`` doesn't allow have none left (see ``mechanism_refusals``)."""
+    loops = [m.parent for m in changes if m.parent == m.child]
+    if loops:
+        raise ValueError(f"self-loops: {', '.join(loops)}")
     out = edges
     for m in changes:
         here = (F.col("parent") == m.parent) & (F.col("child") == m.child)
@@ -143,6 +146,8 @@ def change_mechanisms(edges: DataFrame, changes: tuple[Mechanism, ...]) -> DataF
         if m.new and m.how != "scale":
             lacking = out.select(*GRAPH).distinct().join(out.where(here).select(*GRAPH), GRAPH, "left_anti")
             changed = changed.unionByName(lacking.select(*GRAPH, F.lit(m.parent).alias("parent"), F.lit(m.child).alias("child"), F.lit(m.amount).alias("weight")))
+        elif m.how != "scale" and m.amount:
+            changed = changed.join(out.where(here & (F.col("weight") != 0)).select(*GRAPH).distinct(), GRAPH, "left_semi")
         out = changed
     return out
 
@@ -159,7 +164,7 @@ def hard_intervention(edges: DataFrame, values: DataFrame, variable: str, target
 def mechanism_change(edges: DataFrame, panel: DataFrame, changes: tuple[Mechanism, ...], targets: list[str], variables: int) -> DataFrame:
     """Change of targets at each event when edges change and the event's disturbances stay: row, col, replicate, year, month, target, delta.
 
-    The sum over changed edges of (new - old weight) x the parent's distance from its pixel's mean x
+    Graphs that refuse a change have no rows. The sum over changed edges of (new - old weight) x the parent's distance from its pixel's mean x
     the response of the target to the child in the changed graph.
     """
     new = change_mechanisms(edges, changes)

@@ -128,3 +128,16 @@ def test_new_edges_where_allowed(spark):
     edges = spark.createDataFrame([(0, 0, 0, "a", "b", 0.5)], "row int, col int, replicate int, parent string, child string, weight double")
     out = I.scenario_table(edges, panel, [I.Scenario("s", mechanisms=(I.Mechanism("a", "c", "set", 2.0, new=True),))], NAMES, NAMES, "none").collect()
     assert sorted((r.month, r.target, r.effect) for r in out) == [(i + 1, "c", 2.0 * (i - 2)) for i in range(5)]
+
+
+def test_changes_of_edges_that_are_not_there(spark):
+    """Only the graph that has the edge is changed; with ``new`` both; self-loops are refused at once."""
+    schema = "row int, col int, replicate int, parent string, child string, weight double"
+    edges = spark.createDataFrame([(0, 0, 0, "a", "b", 0.5), (0, 0, 0, "b", "c", 2.0), (0, 1, 0, "b", "c", 3.0)], schema)
+    add = lambda **k: {(r["col"], r.parent, r.child): r.weight for r in I.change_mechanisms(edges, (I.Mechanism("a", "b", "add", 0.25, **k),)).collect()}
+    assert add() == {(0, "a", "b"): 0.75, (0, "b", "c"): 2.0}
+    assert add(new=True) == {(0, "a", "b"): 0.75, (0, "b", "c"): 2.0, (1, "a", "b"): 0.25, (1, "b", "c"): 3.0}
+    refused = I.mechanism_refusals(edges, (I.Mechanism("a", "b", "add", 0.25),), NAMES).collect()
+    assert [(r["col"], r.error) for r in refused] == [(1, "no edge: a->b")]
+    with pytest.raises(ValueError, match="self-loops: a"):
+        I.change_mechanisms(edges, (I.Mechanism("a", "a", "scale", 2.0),))
