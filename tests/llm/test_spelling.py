@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from terracause.llm import spelling
-from tests.llm.fixtures import documents, frame
+from tests.llm.fixtures import documents
 
 
 def vocabulary(rows):
