@@ -137,11 +137,16 @@ def graph_order(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def graph_cluster(df: DataFrame, features: list[str], k: int, seed: int = 1) -> tuple[DataFrame, float]:
-    """Clusters by bisecting k-means, which scales where a Ward tree over all pixels doesn't; and their silhouette."""
+    """Clusters by bisecting k-means, which scales where a Ward tree over all pixels doesn't; and their silhouette.
+
+    The rows are written once, since every round of the fit reads them.
+    """
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    data = assembled(df, features)
+    from terracause.sources.tables import scratch, table_replace
+
+    data = assembled(table_replace(df, scratch(df.sparkSession, "vectors")), features)
     out = BisectingKMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(data).transform(data)
     several = out.select("cluster").distinct().count() > 1
     score = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(out) if several else float("nan")
