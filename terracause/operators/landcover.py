@@ -125,11 +125,13 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def graph_order(df: DataFrame, features: list[str]) -> DataFrame:
-    """Score on the first principal component; its sign makes the largest loading positive."""
+    """Score on the first principal component; its sign makes the largest loading positive. The rows are written once: the fit and the scores read them."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
-    data = assembled(df, features)
+    from terracause.sources.tables import scratch, table_replace
+
+    data = assembled(table_replace(df, scratch(df.sparkSession, "vectors")), features)
     model = PCA(k=1, inputCol="_x", outputCol="_p").fit(data)
     load = model.pc.toArray()[:, 0]
     sign = 1.0 if load[abs(load).argmax()] >= 0 else -1.0
