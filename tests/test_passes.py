@@ -5,7 +5,7 @@ import pytest
 from terracause.plans import fixtures, registry
 
 
-@pytest.mark.parametrize("name", ["graph_cluster", "predict_response", "predict_residual_to_raw", "predict_level", "var_scenario_table", "graph_order", "var_counterfactual", "var_mean_path"])
+@pytest.mark.parametrize("name", ["graph_cluster", "predict_response", "predict_residual_to_raw", "predict_level", "var_scenario_table", "graph_order", "var_counterfactual", "var_mean_path", "graph_groups"])
 def test_line_items_are_read_once(spark, sf_dir, monkeypatch, name):
     made, lines = [], fixtures.lines
     monkeypatch.setattr(fixtures, "lines", lambda s, d: made.append(d) or lines(s, d))
