@@ -57,10 +57,11 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    """Along the first axis."""
-    e = np.exp(x - x.max(0))
-    e /= e.sum(0)
-    return e
+    """Along the first axis, in place."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
 
 
 def start_weights(classes: int, seed: int = 3) -> dict[str, np.ndarray]:
@@ -176,27 +177,53 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, left, right, first, last
 
 
+def blocks(w: dict[str, np.ndarray], way: str) -> tuple[np.ndarray, np.ndarray]:
+    """What each byte adds to update gate, reset gate and new state (3 x 256 x units), and the recurrent weights (3 x units x units), halved for the new state."""
+    apart = lambda x: np.ascontiguousarray(x.reshape(len(x), 3, UNITS).swapaxes(0, 1))
+    return apart(inputs(w, way).T), apart(w[f"{way}_rec"]) * np.array([1, 1, 0.5], np.float32)[:, None, None]
+
+
 def label(w: dict[str, np.ndarray], data: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Class probabilities (classes x longest x rows) of the bytes from ``left`` to ``right``; rows from the longest on."""
+    """Class probabilities (longest x classes x rows) of the bytes from ``left`` to ``right``; rows from the longest on.
+
+    The steps are those of :func:`step`, in place and with a row's units side by side, so that the
+    rows at work are the first ones: with gates (1 + s) / 2 the state after a step is
+    ((h + new) + s (h - new)) / 2. Backwards a row joins at its last byte.
+    """
     size = right - left
-    longest, n = int(size[0]), len(size)
+    longest, n, u = int(size[0]), len(size), UNITS
     active = np.searchsorted(-size, -np.arange(longest), side="left").tolist()
-    out = np.zeros((len(w["bias"]), longest, n), np.float32)
+    out = np.zeros((longest, len(w["bias"]), n), np.float32)
     for way in "fb":
-        table, rec, h = inputs(w, way), np.ascontiguousarray(w[f"{way}_rec"].T), np.zeros((UNITS, n), np.float32)
-        share = np.ascontiguousarray((w["out"][:UNITS] if way == "f" else w["out"][UNITS:]).T)
-        for t, k in enumerate(active):
-            if k < h.shape[1]:
-                h = np.ascontiguousarray(h[:, :k])
-            at = left[:k] + t if way == "f" else right[:k] - 1 - t
-            h = step(table.take(data[at], axis=1), h, rec)[0]
-            if way == "f":
-                out[:, t, :k] = share @ h
-            elif size[k - 1] == longest:
-                out[:, longest - 1 - t, :k] += share @ h
-            else:
-                out[:, size[:k] - 1 - t, np.arange(k)] += share @ h
-    return softmax(out + w["bias"][:, None, None])
+        table, rec = blocks(w, way)
+        share = np.ascontiguousarray((w["out"][:u] if way == "f" else w["out"][u:]).T)
+        state, wide = np.zeros((n, u), np.float32), 0
+        for t in range(longest) if way == "f" else range(longest - 1, -1, -1):
+            k = active[t]
+            if k != wide:
+                wide, h, at = k, state[:k], left[:k]
+                x, r, below = (np.empty((m, k, u), np.float32) for m in (3, 3, 2))
+                gates, new, half, apart = x[:2], x[2], r[2], r[0]
+            table.take(data.take(at + t), axis=1, out=x, mode="clip")
+            np.matmul(h, rec, out=r)
+            gates += r[:2]
+            np.abs(gates, out=below)
+            below += 1
+            gates /= below
+            new += half
+            half *= gates[1]
+            new += half
+            np.abs(new, out=below[0])
+            below[0] += 1
+            new /= below[0]
+            np.subtract(h, new, out=apart)
+            apart *= gates[0]
+            h += new
+            h += apart
+            h *= 0.5
+            out[t, :, :k] += share @ h.T
+    out += w["bias"][:, None]
+    return softmax(out.swapaxes(0, 1)).swapaxes(0, 1)
 
 
 @dataclass
@@ -220,9 +247,9 @@ class Model:
             for c in range(0, len(order), ROWS):
                 some = order[c : c + ROWS]
                 p = label(self.weights, part, left[some], right[some])
-                place = np.arange(p.shape[1])[:, None]
-                p *= (place >= first[some] - left[some]) & (place < last[some] - left[some])
-                np.add.at(sums, row[some], p.sum(1).T)
+                place = np.arange(len(p))[:, None]
+                p *= ((place >= first[some] - left[some]) & (place < last[some] - left[some]))[:, None]
+                np.add.at(sums, row[some], p.sum(0).T)
             out[a:b] = sums / np.maximum(np.diff(at), 1)[:, None]
         return out
 

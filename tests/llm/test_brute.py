@@ -58,3 +58,21 @@ def test_probabilities_of_whole_texts(monkeypatch):
                 e = np.exp(np.concatenate([f[p], back[p]]) @ w["out"] + w["bias"])
                 total += e / e.sum()
         assert np.allclose(total / max(len(raw), 1), got[i], atol=1e-4)
+
+
+def test_rows_of_uneven_lengths_step_alike():
+    w, rng = language.start_weights(3, seed=2), np.random.default_rng(4)
+    size = np.array([9, 9, 7, 4, 4, 1])
+    data, left = rng.integers(0, 256, size.sum()).astype(np.uint8), np.cumsum(size) - size
+    got = language.label(w, data, left, left + size)
+    assert got.shape == (9, 3, 6)
+    for i, (a, n) in enumerate(zip(left, size)):
+        states = []
+        for way in "fb":
+            h, table, rec, of = np.zeros((language.UNITS, 1), np.float32), language.inputs(w, way), w[f"{way}_rec"].T, []
+            for c in data[a : a + n] if way == "f" else data[a : a + n][::-1]:
+                h = language.step(table[:, [c]], h, rec)[0]
+                of.append(h)
+            states.append(np.hstack(of if way == "f" else of[::-1]))
+        want = language.softmax(w["out"].T @ np.vstack(states) + w["bias"][:, None])
+        assert np.allclose(got[:n, :, i].T, want, atol=1e-6)
