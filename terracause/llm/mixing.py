@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracause.llm.shared import cut
@@ -53,8 +53,17 @@ def pattern(units: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, units: dict[str, int], block: int = 64, names: tuple[str, ...] = NAMES) -> DataFrame:
-    """``docs`` with block, slot, position (its place in the mix, with gaps) and on_target, under ``names``."""
+def content_of(docs: DataFrame, within: str = "") -> Column:
+    """Hash of all columns of a row, or of the fields of the struct ``within``."""
+    # maps have no hash
+    return F.xxhash64(*[F.col(f"{within}`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+
+
+def mix(docs: DataFrame, units: dict[str, int], block: int = 64, names: tuple[str, ...] = NAMES, content: str | None = None) -> DataFrame:
+    """``docs`` with block, slot, position (its place in the mix, with gaps) and on_target, under ``names``.
+
+    ``content`` names a column with the :func:`content_of` of rows that have had more columns: they get the places that the whole rows have.
+    """
     spark, docs = docs.sparkSession, docs.drop(*names)
     rest = ""  # the stream of all sources without a weight
     while rest in units:
@@ -75,9 +84,8 @@ def mix(docs: DataFrame, units: dict[str, int], block: int = 64, names: tuple[st
     bits = min(20, max(0, math.ceil(math.log2(max(1, total / GROUP_ROWS)))))
     limit = max(8 * GROUP_ROWS, total // 1000)
     key = F.conv(F.substring(F.md5(F.col("row.doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
-    # maps have no hash
-    told = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), F.monotonically_increasing_id().alias("number")).withColumn("content", F.xxhash64(*told))
+    told = F.col(f"row.`{content}`") if content else content_of(docs, "row.")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), F.monotonically_increasing_id().alias("number")).withColumn("content", told)
     ranged = lambda df: df.withColumn("key", F.coalesce(key, F.shiftrightunsigned("content", 32))).withColumn("range", F.shiftright("key", 32 - bits) if bits else F.lit(0).cast("long"))
     many = lambda df, *by: df.groupBy("source", *by).count().where(F.col("count") > limit).select("source", *by)
     none = F.lit(0).cast("long")
